@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, line_dedup, mixing
+from millrace.llm import chat, line_dedup, mixing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op3_simhash": simhash.query,
     "op5_line_dedup": line_dedup.query,
     "op7_chat_formatting": chat.query,
 }
