@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, line_dedup, mixing, simhash
+from millrace.llm import chat, decontam, kd_search, line_dedup, mixing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op3_simhash": simhash.query,
     "op5_line_dedup": line_dedup.query,
     "op7_chat_formatting": chat.query,
+    "op8_decontamination": decontam.query,
+    "op10_top_k": kd_search.query,
 }
 
 SQL = {
     "op1_mixing": mixing.SQL,
     "op5_line_dedup": line_dedup.SQL,
+    "op10_top_k": kd_search.SQL,
 }
