@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontam, kd_search, line_dedup, mixing, simhash
+from millrace.llm import chat, decontam, kd_search, line_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op3_simhash": simhash.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_toxicity": toxicity.query,
     "op7_chat_formatting": chat.query,
     "op8_decontamination": decontam.query,
     "op10_top_k": kd_search.query,
