@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontam, kd_search, line_dedup, mixing, simhash, toxicity
+from millrace.llm import chat, decontam, kd_search, line_dedup, lm_scoring, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_lm_scoring": lm_scoring.query,
     "op3_simhash": simhash.query,
     "op5_line_dedup": line_dedup.query,
     "op6_toxicity": toxicity.query,
