@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontam, kd_search, line_dedup, lm_scoring, mixing, simhash, toxicity
+from millrace.llm import chat, decontam, kd_search, licenses, line_dedup, lm_scoring, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_lm_scoring": lm_scoring.query,
     "op3_simhash": simhash.query,
+    "op4_license_scan": licenses.query,
     "op5_line_dedup": line_dedup.query,
     "op6_toxicity": toxicity.query,
     "op7_chat_formatting": chat.query,
