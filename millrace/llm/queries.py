@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontam, kd_search, licenses, line_dedup, lm_scoring, mixing, simhash, toxicity
+from millrace.llm import chat, cotraining, decontam, kd_search, licenses, line_dedup, lm_scoring, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_chat_formatting": chat.query,
     "op8_decontamination": decontam.query,
+    "op9_cotraining": cotraining.query,
     "op10_top_k": kd_search.query,
 }
 
