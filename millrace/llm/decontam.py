@@ -185,9 +185,12 @@ def hits(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``docs`` with the words of the spans taken out of the text; a text without spans stays as it is, to the letter."""
-    rows = find(docs, benchmark, text, **how)
+def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", rounds: int = 2, **how) -> DataFrame:
+    """``docs`` with the words of the spans taken out of the text; a text without spans stays as it is, to the letter.
+
+    What a cut brings together can be a phrase again, so texts that were cut are
+    searched once more, ``rounds`` times in all.
+    """
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -205,7 +208,14 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how)
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    return rows.withColumn(text, F.when(F.size("spans") > 0, cut(text, "spans")).otherwise(F.col(text))).select(docs.columns)
+    check, own = fresh("check"), [F.col(c) for c in docs.columns]
+    given = docs.withColumn(check, F.col(text))
+    for _ in range(rounds):
+        rows = find(given, benchmark, check, **how)
+        hit = F.size("spans") > 0
+        given = rows.withColumn(check, F.when(hit, cut(F.when(hit, F.col(check)), F.when(hit, F.col("spans")).otherwise(F.expr("cast(array() as array<struct<start: long, end: long>>)")))))
+        given = given.withColumn(text, F.coalesce(check, text)).drop("n_words", "spans", "items")
+    return given.select(*own)
 
 
 def query(spark, sf_dir):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, checkpointed, null_safe_join, table
+from millrace.llm.common import WORD, checkpointed, fresh, null_safe_join, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -89,6 +89,21 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     return out.select("doc_id", "size", "source", "source_size", "weight", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix reads them: each row as often as it is taken, with the column ``copy`` counting from 1.
+
+    Rows that agree in id and text are read together: as often in all as each of
+    them is taken. A column named ``copy`` is replaced.
+    """
+    same, key = fresh("same"), fresh("key")
+    taken = mix(docs.withColumn(same, F.xxhash64("text")), keep=(same,), **how)
+    taken = taken.groupBy("doc_id", same).agg(F.sum("copies").alias("copy")).filter("copy > 0").withColumnsRenamed({"doc_id": key})
+    own = [c for c in docs.columns if c != "copy"]
+    found = docs.select(own).join(taken, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(same)))
+    first = F.row_number().over(W.partitionBy("doc_id", same).orderBy(F.lit(0)))
+    return found.withColumn(key, first).filter(F.col(key) == 1).select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copy"))).alias("copy"))
+
+
 def query(spark, sf_dir):
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
