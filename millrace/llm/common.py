@@ -54,6 +54,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of an Arrow batch that carries whole texts, at most. Texts run to thousands of characters, so the default of 10,000 rows can be tens to hundreds of MB.
+TEXT_ROWS = 500
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches kept small enough for rows with texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if now <= 0 or now > TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def fresh(name: str) -> str:
     """A column name that no input column can clash with."""
     return f"__{name}_{uuid.uuid4().hex[:8]}"

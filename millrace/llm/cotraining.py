@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_bucket, fresh, table
+from millrace.llm.common import crc_bucket, fresh, table, text_batches
 
 PER_CLASS, POOL = 3000, 4000
 ROWS = 1 << 15
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     ids = docs.select(F.col(doc_id).alias("__id")).filter(F.col("__id").isNotNull()).join(every.select("__id"), "__id", "left_anti").filter(bucket != 0)
     picked.append(ids.orderBy(F.xxhash64("__id"), "__id").limit(pool).distinct().select("__id", F.lit(-1).alias("__y")))
     chosen = picked[0].unionByName(picked[1]).unionByName(picked[2])
-    found = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source")).join(F.broadcast(chosen), "__id")
+    found = text_batches(docs).select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source")).join(F.broadcast(chosen), "__id")
     found = found.select("__id", F.col("__y").cast("int").alias("y"), bucket.cast("int").alias("part"), "lang", "source", "t")
 
     def features(batches):
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: CoTrained, text: str = "text", lang: str = "la
             out = m.scores(raw, m.page.raw(pages)) if batch.num_rows else np.zeros((0, 3))
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], *[pa.array(np.ascontiguousarray(out[:, k])) for k in range(3)]], names=[*batch.schema.names[3:], *added])
 
-    given = docs.select(F.col(text).cast("binary").alias(data), F.col(lang).cast("string").alias(a), F.col(source).cast("string").alias(b), *keep)
+    given = text_batches(docs).select(F.col(text).cast("binary").alias(data), F.col(lang).cast("string").alias(a), F.col(source).cast("string").alias(b), *keep)
     schema = given.drop(data, a, b).schema
     for name in added:
         schema = schema.add(name, "double")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, table
+from millrace.llm.common import fresh, table, text_batches
 
 WINDOW = 10
 #: Words of a shard, unless one document has more.
@@ -99,6 +99,33 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), reach[np.r_[np.flatnonzero(new)[1:] - 1, len(start) - 1]].tolist()))
 
 
+def _search(texts: list[bytes | None], block: Phrases):
+    """(words, (phrase, start, length) arrays) of each text; texts are gathered into shards."""
+    known, ids, total, out = block.ids.get, [], 0, []
+
+    def shard():
+        ends = np.cumsum([len(x) for x in ids])
+        phrase, start, length = search_shard(np.concatenate(ids) if ids else np.zeros(0, np.int64), ends, block)
+        doc = np.searchsorted(ends, start, side="right")
+        order = np.argsort(doc, kind="stable")
+        phrase, start, length, doc = phrase[order], start[order], length[order], doc[order]
+        bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
+        for d, x in enumerate(ids):
+            own = slice(bounds[d], bounds[d + 1])
+            out.append((len(x), phrase[own], start[own] - (ends[d] - len(x)), length[own]))
+        ids.clear()
+
+    for t in texts:
+        words = words_of(t)
+        ids.append(np.fromiter((known(w, 0) for w in words), np.int64, len(words)))
+        total += len(words)
+        if total >= SHARD_WORDS:
+            shard()
+            total = 0
+    shard()
+    return out
+
+
 def _pass(phrases, data: str, before: bool):
     """For mapInArrow over (data, n_words, spans, items, and the other columns): adds what one block of the benchmark finds."""
 
@@ -106,47 +133,34 @@ def _pass(phrases, data: str, before: bool):
         import pyarrow as pa
 
         block = phrases.value
-        known = block.ids.get
         spans_type, items_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
-
-        def shard(batch, ids, sizes):
-            doc_ends = np.cumsum(sizes)
-            phrase, start, length = search_shard(np.concatenate(ids) if ids else np.zeros(0, np.int64), doc_ends, block)
-            doc = np.searchsorted(doc_ends, start, side="right")
-            order = np.argsort(doc, kind="stable")
-            phrase, start, length, doc = phrase[order], start[order], length[order], doc[order]
-            bounds = np.searchsorted(doc, np.arange(len(sizes) + 1))
-            spans, items = [], []
-            for d, size in enumerate(sizes):
-                own, base = slice(bounds[d], bounds[d + 1]), doc_ends[d] - size
-                s, e = start[own] - base, start[own] - base + length[own]
-                names = {x for p in set(phrase[own].tolist()) for x in block.items[p]}
+        for batch in batches:
+            sizes, spans, items = [], [], []
+            for d, (size, phrase, start, length) in enumerate(_search(batch.column(data).cast(pa.large_binary()).to_pylist(), block)):
+                s, e = start, start + length
+                names = {x for p in set(phrase.tolist()) for x in block.items[p]}
                 if before:
                     old = batch.column("spans")[d].as_py()
                     s, e = np.r_[s, [x["start"] for x in old]].astype(np.int64), np.r_[e, [x["end"] for x in old]].astype(np.int64)
                     names |= set(batch.column("items")[d].as_py())
+                sizes.append(size)
                 spans.append([{"start": a, "end": b} for a, b in merge_spans(s, e)])
                 items.append(sorted(names))
             new = {"n_words": pa.array(sizes, pa.int64()), "spans": pa.array(spans, spans_type), "items": pa.array(items, items_type)}
-            return pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
-
-        for batch in batches:
-            ids, sizes, since, total = [], [], 0, 0
-            texts = batch.column(data).cast(pa.large_binary())
-            for i in range(batch.num_rows):
-                words = words_of(texts[i].as_py())
-                ids.append(np.fromiter((known(w, 0) for w in words), np.int64, len(words)))
-                sizes.append(len(words))
-                total += len(words)
-                if total >= SHARD_WORDS:
-                    yield shard(batch.slice(since, i + 1 - since), ids, sizes)
-                    ids, sizes, since, total = [], [], i + 1, 0
-            if sizes or not batch.num_rows:
-                yield shard(batch.slice(since), ids, sizes)
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
     return run
 
 
+def cut_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words of the spans, and what stands between them."""
+    places, out, since = [m.span() for m in _WORDS.finditer(data.translate(_KEEP))], [], 0
+    for start, end in spans:
+        out.append(data[since : places[start][0]])
+        since = places[end - 1][1]
+    return b"".join([*out, data[since:]])
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str, chars: int):
     """The benchmark's items in blocks of about ``chars`` characters, one in memory at a time."""
     block, size = [], 0
@@ -171,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     added = ("n_words", "spans", "items")
     keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in added)
     data = fresh("data")
-    df = docs.select(F.col(text).cast("binary").alias(data), *keep, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start: long, end: long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    df = text_batches(docs).select(F.col(text).cast("binary").alias(data), *keep, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start: long, end: long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     sc, schema, first = docs.sparkSession.sparkContext, df.schema, True
     for block in _blocks(benchmark, item, item_text, block_chars):
         df = df.mapInArrow(_pass(sc.broadcast(Phrases(block, window)), data, before=not first), schema)
@@ -185,37 +199,38 @@ def hits(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", rounds: int = 2, **how) -> DataFrame:
+def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with the words of the spans taken out of the text; a text without spans stays as it is, to the letter.
 
-    What a cut brings together can be a phrase again, so texts that were cut are
-    searched once more, ``rounds`` times in all.
+    What a cut brings together can be a phrase again, so a text that was cut is
+    searched again until it holds none of the block. Edge cases are those of
+    ``find``; no column is replaced but the text.
     """
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        def one(t, s):
-            if t is None or not len(s):
-                return t
-            data, out, since = t.encode(), [], 0
-            places = [m.span() for m in _WORDS.finditer(data.translate(_KEEP))]
-            for x in s:
-                out.append(data[since : places[x["start"]][0]])
-                since = places[x["end"] - 1][1]
-            return b"".join([*out, data[since:]]).decode()
-
-        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
-
-    check, own = fresh("check"), [F.col(c) for c in docs.columns]
-    given = docs.withColumn(check, F.col(text))
-    for _ in range(rounds):
-        rows = find(given, benchmark, check, **how)
-        hit = F.size("spans") > 0
-        given = rows.withColumn(check, F.when(hit, cut(F.when(hit, F.col(check)), F.when(hit, F.col("spans")).otherwise(F.expr("cast(array() as array<struct<start: long, end: long>>)")))))
-        given = given.withColumn(text, F.coalesce(check, text)).drop("n_words", "spans", "items")
-    return given.select(*own)
+    sc, schema = docs.sparkSession.sparkContext, docs.schema
+    place = docs.columns.index(text)
+
+    def cutting(told):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                texts = batch.column(place).cast(pa.binary()).to_pylist()
+                todo = [i for i, t in enumerate(texts) if t]
+                while todo:
+                    found = _search([texts[i] for i in todo], told.value)
+                    hit = [(i, start, start + length) for i, (_, _, start, length) in zip(todo, found) if len(start)]
+                    for i, s, e in hit:
+                        texts[i] = cut_words(texts[i], merge_spans(s, e))
+                    todo = [i for i, _, _ in hit]
+                new = pa.array(texts, pa.binary()).cast(batch.column(place).type)
+                yield pa.RecordBatch.from_arrays([new if k == place else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+        return run
+
+    df = text_batches(docs)
+    for block in _blocks(benchmark, item, item_text, block_chars):
+        df = df.mapInArrow(cutting(sc.broadcast(Phrases(block, window))), schema)
+    return df
 
 
 def query(spark, sf_dir):

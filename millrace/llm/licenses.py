@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, fresh, table
+from millrace.llm.common import checkpointed, fresh, table, text_batches
 
 THRESHOLD = 0.6
 #: Lines of a run that are joined to one header, at most; longer runs are read in pieces of as many, overlapping by half.
@@ -166,7 +166,7 @@ def holding(files: DataFrame, text: str) -> tuple[int, dict[bytes, int]]:
                 seen.update(VOCABULARY.intersection(terms_of(x.as_py() or b"")))
         yield pa.RecordBatch.from_arrays([pa.array([b"", *seen], pa.binary()), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
 
-    rows = files.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = text_batches(files).select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {bytes(r.term): r.n for r in rows}
     return counts.pop(b"", 0), counts
 

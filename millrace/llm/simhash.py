@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, UPPER, checkpointed, fresh, null_safe_join, table
+from millrace.llm.common import LOWER, UPPER, checkpointed, fresh, null_safe_join, table, text_batches
 from millrace.llm.components import components
 
 SHINGLE, RADIUS = 3, 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, text: str, keep: tuple[str, ...], out: str = "
             got = pa.array([fingerprint(x.as_py(), shingle) for x in data], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], got], names=[*batch.schema.names[1:], out])
 
-    given = docs.select(F.col(text).cast("binary").alias(fresh("text")), *keep)
+    given = text_batches(docs).select(F.col(text).cast("binary").alias(fresh("text")), *keep)
     schema = given.select(*keep).schema.add(out, "long")
     return given.mapInArrow(run, schema)
 
