@@ -310,8 +310,13 @@ def text_is_number(t) -> bool:
 def compare(op: str, a: Value, b: Value) -> Column:
     if op in ("==", "!="):
         return same(a, b) if op == "==" else ~same(a, b)
+    return F.coalesce(raw_compare(op, a, b), F.lit(False))
+
+
+def raw_compare(op: str, a: Value, b: Value) -> Column:
+    """An order comparison as it is, null where a side is missing."""
     x, y = (moment(a), moment(b)) if "date" in (a.kind, b.kind) or all(v.kind == "text" and isinstance(v.literal, str) and _ISO.match(v.literal) for v in (a, b)) else (number(a, None), number(b, None))
-    return F.coalesce({">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y}[op], F.lit(False))
+    return {">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y}[op]
 
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
@@ -504,6 +509,7 @@ class Lowering:
         self.df, self.order_by, self.row_name = df, order_by, row_name
         self.names = names or [c for c in df.columns if c not in (RID, "__rowname")]
         self.steps: list[tuple[str, str, object]] = []  # kind, name, what
+        self.known: dict[tuple, Value] = {}
         self.numbered = RID in df.columns
 
     def column(self, name: str) -> Value:
@@ -572,8 +578,14 @@ class Lowering:
         return self.rid().between(*ends)
 
     def lower(self, node: Node, depth: int = 0) -> Value:
+        """The value of a node; the same node again gives the same value, and no helper twice."""
         if depth > 100:
             raise FormulaError("the formula is nested too deeply")
+        if (node,) not in self.known:
+            self.known[(node,)] = self._lower(node, depth)
+        return self.known[(node,)]
+
+    def _lower(self, node: Node, depth: int) -> Value:
         low = lambda n: self.lower(n, depth + 1)
         k, v = node.kind, node.value
         if k == "number":
@@ -606,6 +618,16 @@ class Lowering:
             return Value(F.array(*[c.column.cast("string") for c in vs]), "text", several=vs)
         return self.call(node, depth)
 
+    def predicate(self, node: Node) -> Column:
+        """The formula as a filter, where null and false are the same: comparisons stay bare, so that a scan can take them."""
+        if node.kind == "binary" and node.value in ("&&", "||"):
+            a, b = (self.predicate(p) for p in node.parts)
+            return a & b if node.value == "&&" else a | b
+        if node.kind == "compare" and not set(node.value) & {"==", "!="} and not any(n.kind in ("call", "access", "index") for n in node.walk()):
+            vs = [self.lower(p) for p in node.parts]
+            return reduce(lambda a, b: a & b, [raw_compare(op, a, b) for op, a, b in zip(node.value, vs, vs[1:])])
+        return F.coalesce(boolean(self.lower(node)), F.lit(False))
+
     def access(self, node: Node) -> Value:
         base, at = self.lower(node.parts[0]), node.parts[1]
         # A row at a fixed distance is a shift; any other row is picked by an aggregate.
@@ -733,8 +755,10 @@ def with_column(df: DataFrame, name: str, formula: str | Node, order_by=None, ro
 
 def filter_rows(df: DataFrame, formula: str, order_by=None, row_name: str | None = None) -> DataFrame:
     """Rows for which a formula is true."""
-    planned, value = Lowering(df, order_by, row_name=row_name).plan(parse(formula))
-    return planned.filter(F.coalesce(boolean(value), F.lit(False))).select(*df.columns)
+    lowering = Lowering(df, order_by, row_name=row_name)
+    node = parse(formula)
+    planned, _ = lowering.plan(node)
+    return planned.filter(lowering.predicate(node)).select(*df.columns)
 
 
 def execute(df: DataFrame, script: str, order_by=None, row_name: str | None = None) -> DataFrame:

@@ -88,14 +88,21 @@ def aggregate_column(df: DataFrame, source: str | None, op: str, order: Column |
 def group_aggregate(df: DataFrame, keys: list[str], aggs: Iterable[Agg], order_by: str | None = None, nan_on_empty: bool = False) -> DataFrame:
     """One row per group; null and NaN keys are groups. An empty aggregate is null, or NaN where asked for."""
     order = F.col(order_by) if order_by else (F.col(RID) if RID in df.columns else None)
-    out = []
+    plain, custom, names = [], [], []
     for a in aggs:
         op = OP_NAMES.get(a.op, a.op)
         c = aggregate_column(df, a.source, a.op, order, a.custom)
         if nan_on_empty and op in ("sum", "mean", "median", "min", "max", "std", "stdp", "var", "varp"):
             c = F.coalesce(c, F.lit(float("nan")))
-        out.append(c.alias(a.alias or ("count_all" if op == "countall" and a.source is None else f"{a.source}_{op}")))
-    return df.groupBy(*keys).agg(*out)
+        names.append(a.alias or ("count_all" if op == "countall" and a.source is None else f"{a.source}_{op}"))
+        (custom if op == "custom" else plain).append(c.alias(names[-1]))
+    if not custom:
+        return df.groupBy(*keys).agg(*plain)
+    # Python aggregates can't stand beside others: they are computed on their own and meet them by the keys.
+    theirs = df.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(*custom)
+    ours = df.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("__n")]))
+    both = ours.join(theirs, [ours[k].eqNullSafe(theirs[f"__key{i}"]) for i, k in enumerate(keys)])
+    return both.select(*keys, *names)
 
 
 def aggregate_all(df: DataFrame, keys: list[str], op: str, order_by: str | None = None) -> DataFrame:

@@ -161,14 +161,14 @@ def _fill_ordered(df: DataFrame, columns: Sequence[str], order_by, by: Sequence[
     keys = ordering.order_columns(order_by)
     if not by:
         # Over a whole table: the last value so far is a running value, and so is the row that held it.
-        numbered = ordering.number_rows(df, order_by)
-        top = numbered.agg(F.max(RID)).first()[0]
+        at = "__fill_rid"
+        numbered = ordering.number_rows(df, order_by, at)
         if back:
-            numbered = numbered.withColumn(RID, F.lit(top) - F.col(RID))
+            numbered = numbered.withColumn(at, -F.col(at) + F.lit(numbered.agg(F.max(at)).first()[0]))
         seen = lambda c: ~missing(df, c)
-        parts = {f"__v_{c}": (F.when(seen(c), F.col(c)), "last") for c in columns} | {f"__at_{c}": (F.when(seen(c), F.col(RID)), "last") for c in columns}
-        out = ordering.running(numbered, parts)
-        near = lambda c: F.lit(True) if limit <= 0 else F.col(RID) - F.col(f"__at_{c}") <= limit
+        parts = {f"__v_{c}": (F.when(seen(c), F.col(c)), "last") for c in columns} | {f"__at_{c}": (F.when(seen(c), F.col(at)), "last") for c in columns}
+        out = ordering.running(numbered, parts, at)
+        near = lambda c: F.lit(True) if limit <= 0 else F.col(at) - F.col(f"__at_{c}") <= limit
         return out.withColumns({c: F.when(missing(df, c) & near(c) & F.col(f"__v_{c}").isNotNull(), F.col(f"__v_{c}")).otherwise(F.col(c)) for c in columns}).select(df.columns)
     w = W.partitionBy(*by).orderBy(*keys)
     numbered = df.withColumn("__at", F.row_number().over(w))

@@ -39,15 +39,17 @@ def order_columns(order_by: str | Column | Sequence) -> list[Column]:
 
 
 def number_rows(df: DataFrame, order_by, name: str = RID) -> DataFrame:
-    """``df`` with the zero-based place of each row in ``order_by``; ties stand in any order.
+    """``df`` with the zero-based place of each row in ``order_by`` (None: as read); ties stand in any order.
 
     The rows are sorted by range partitions and checkpointed once, so that every
     later use sees the same numbers; only one count per partition meets in one
     place.
     """
-    keys = order_columns(order_by)
     place = F.monotonically_increasing_id()  # partition number, then place in the partition
-    ordered = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", place))
+    if order_by is not None:
+        keys = order_columns(order_by)
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = checkpointed(df.withColumn("__at", place))
     part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

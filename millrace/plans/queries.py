@@ -74,7 +74,7 @@ simple("describe_numeric", "part", lambda t: A.describe(t), """
   WITH a AS (SELECT count(*)::DOUBLE AS c, avg(p_partkey) AS m1, stddev_samp(p_partkey) AS s1, quantile_cont(p_partkey::DOUBLE, [0, .25, .5, .75, 1]) AS q1, avg(p_size) AS m2, stddev_samp(p_size) AS s2, quantile_cont(p_size::DOUBLE, [0, .25, .5, .75, 1]) AS q2, avg(p_retailprice) AS m3, stddev_samp(p_retailprice) AS s3, quantile_cont(p_retailprice, [0, .25, .5, .75, 1]) AS q3 FROM part)
   SELECT unnest(['count', 'missing', 'mean', 'std', 'min', '25%', '50%', '75%', 'max']) AS stat, unnest([c, 0, m1, s1, q1[1], q1[2], q1[3], q1[4], q1[5]]) AS p_partkey, unnest([c, 0, m2, s2, q2[1], q2[2], q2[3], q2[4], q2[5]]) AS p_size, unnest([c, 0, m3, s3, q3[1], q3[2], q3[3], q3[4], q3[5]]) AS p_retailprice FROM a""", rounded="p_partkey p_size p_retailprice")
 simple("describe_grouped", "lineitem", lambda t: A.group_describe(t.select("l_returnflag", "l_tax"), ["l_returnflag"], [0.5]), """
-  SELECT l_returnflag, count(l_tax)::DOUBLE AS l_tax_count, 0.0 AS l_tax_missing, avg(l_tax) AS l_tax_mean, stddev_samp(l_tax) AS l_tax_std, min(l_tax) AS l_tax_min, median(l_tax) AS "l_tax_50%", max(l_tax) AS l_tax_max FROM lineitem GROUP BY ALL""", rounded="l_tax_mean l_tax_std", digits=9)
+  SELECT l_returnflag, count(l_tax)::DOUBLE AS l_tax_count, 0.0::DOUBLE AS l_tax_missing, avg(l_tax) AS l_tax_mean, stddev_samp(l_tax) AS l_tax_std, min(l_tax) AS l_tax_min, median(l_tax) AS "l_tax_50%", max(l_tax) AS l_tax_max FROM lineitem GROUP BY ALL""", rounded="l_tax_mean l_tax_std", digits=9)
 simple("column_stats", "part", lambda t: A.column_stats(t, "p_retailprice"), """
   WITH s AS (SELECT p_retailprice AS x, row_number() OVER (ORDER BY p_retailprice) AS r, count(*) OVER () AS n FROM part),
   q AS (SELECT p, (SELECT x FROM s WHERE r = floor(p * (n + 1))) AS lo, (SELECT x FROM s WHERE r = floor(p * (n + 1)) + 1) AS hi, p * (n + 1) - floor(p * (n + 1)) AS f FROM (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS p, (SELECT count(*) FROM part) AS n)),
@@ -231,11 +231,11 @@ formula_query("ccl_logic_case", "orders", ["o_orderkey", "o_orderstatus", "o_tot
 formula_query("ccl_string", "customer", ["c_custkey", "c_name", "c_mktsegment"], "NEW('a') = UPPER(B) & '-' & LOWER(C) & '-' & A; NEW('l') = LEN(B); NEW('s') = MID(B, 3, 4) & LEFT(C, 2) & RIGHT(C, 2); NEW('f') = FIND('e', C); NEW('r') = REPLACE(B, '0', 'o'); NEW('c') = CONTAINS(C, 'ING'); NEW('e') = STARTSWITH(C, 'A') || ENDSWITH(C, 'Y'); NEW('m') = REGEX_MATCH(C, '^[A-M]')",
               "SELECT c_custkey, c_name, c_mktsegment, upper(c_name) || '-' || lower(c_mktsegment) || '-' || c_custkey AS a, length(c_name)::DOUBLE AS l, substr(c_name, 3, 4) || left(c_mktsegment, 2) || right(c_mktsegment, 2) AS s, strpos(c_mktsegment, 'e')::DOUBLE AS f, replace(c_name, '0', 'o') AS r, contains(c_mktsegment, 'ING') AS c, starts_with(c_mktsegment, 'A') OR ends_with(c_mktsegment, 'Y') AS e, regexp_matches(c_mktsegment, '^[A-M]') AS m FROM customer")
 formula_query("ccl_date", "orders", ["o_orderkey", "o_orderdate"], "NEW('y') = YEAR(B) * 100 + MONTH(B); NEW('d') = DAYOFMONTH(B); NEW('w') = WEEKDAY(B); NEW('n') = DATEADD(B, 10, 'day'); NEW('diff') = DATEDIFF(['n'], B, 'hour'); NEW('days') = DAY(['n'] - B); NEW('t') = FORMAT_DATE(B, '2006/01/02')",
-              "SELECT o_orderkey, o_orderdate, (year(o_orderdate) * 100 + month(o_orderdate))::DOUBLE AS y, day(o_orderdate)::DOUBLE AS d, dayofweek(o_orderdate)::DOUBLE AS w, o_orderdate + INTERVAL 10 DAY AS n, 240.0 AS diff, 10.0 AS days, strftime(o_orderdate, '%Y/%m/%d') AS t FROM orders")
+              "SELECT o_orderkey, o_orderdate, (year(o_orderdate) * 100 + month(o_orderdate))::DOUBLE AS y, day(o_orderdate)::DOUBLE AS d, dayofweek(o_orderdate)::DOUBLE AS w, o_orderdate + INTERVAL 10 DAY AS n, 240.0::DOUBLE AS diff, 10.0::DOUBLE AS days, strftime(o_orderdate, '%Y/%m/%d') AS t FROM orders")
 formula_query("ccl_math", "part", ["p_partkey", "p_size", "p_retailprice"], "NEW('r') = ROUND(C / 7, 2); NEW('f') = FLOOR(C) + CEIL(C) + TRUNC(-C); NEW('s') = SQRT(B) + POW(B, 2) + EXP(B / 100); NEW('l') = LN(C) + LOG10(C) + LOG(C, 2); NEW('g') = SIGN(B - 25) * ABS(B - 25) + MOD(B, 4)",
               "SELECT p_partkey, p_size, p_retailprice, sign(p_retailprice) * floor(abs(p_retailprice / 7) * 100 + 0.5) / 100 AS r, floor(p_retailprice) + ceil(p_retailprice) + ceil(-p_retailprice) AS f, sqrt(p_size) + p_size ^ 2 + exp(p_size / 100) AS s, ln(p_retailprice) + log10(p_retailprice) + ln(p_retailprice) / ln(2) AS l, (sign(p_size - 25) * abs(p_size - 25) + p_size % 4)::DOUBLE AS g FROM part")
 formula_query("ccl_convert", "orders", ["o_orderkey", "o_orderpriority"], "NEW('n') = TONUM(LEFT(B, 1)); NEW('t') = TOSTR(A) & '!'; NEW('b') = TOBOOL(LEFT(B, 1)); NEW('i') = IFNULL(TONUM(B), 0 - 1); NEW('c') = COALESCE(nil, TONUM(B), A)",
-              "SELECT o_orderkey, o_orderpriority, CAST(left(o_orderpriority, 1) AS DOUBLE) AS n, o_orderkey || '!' AS t, CASE left(o_orderpriority, 1) WHEN '1' THEN true END AS b, -1.0 AS i, o_orderkey::DOUBLE AS c FROM orders")
+              "SELECT o_orderkey, o_orderpriority, CAST(left(o_orderpriority, 1) AS DOUBLE) AS n, o_orderkey || '!' AS t, CASE left(o_orderpriority, 1) WHEN '1' THEN true END AS b, -1.0::DOUBLE AS i, o_orderkey::DOUBLE AS c FROM orders")
 formula_query("ccl_aggregate_broadcast", "part", ["p_partkey", "p_size", "p_retailprice"], "NEW('share') = C / SUM(C); NEW('z') = (B - AVG(B)) / STDEV(B); NEW('t') = SUM(B * C) + COUNT(A) + MAX(B) - MIN(B:C) + MEDIAN(B)",
               "SELECT p_partkey, p_size, p_retailprice, p_retailprice / (SELECT sum(p_retailprice) FROM part) AS share, (p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_samp(p_size) FROM part) AS z, (SELECT sum(p_size * p_retailprice) + count(*) + max(p_size) - least(min(p_size), min(p_retailprice)) + median(p_size) FROM part) AS t FROM part")
 formula_query("ccl_sequence", "events", ["event_id", "ts", "value"], "NEW('l') = LAG(C, 1); NEW('d') = DIFF(C, 2); NEW('p') = PCT_CHANGE(C); NEW('cs') = CUMSUM(C); NEW('cm') = CUMMAX(C); NEW('rm') = ROLLING_MEAN(C, 3); NEW('rs') = ROLLING_STD(C, 4)",
@@ -264,7 +264,7 @@ def stat_query(name: str, table: str, build: Callable[[DataFrame], dict], sql: s
 stat_query("covariance_correlation", "lineitem", lambda t: {"cov": S.covariance(t, "l_quantity", "l_tax"), "pearson": S.pearson(t, "l_quantity", "l_extendedprice").statistic}, "SELECT covar_samp(l_quantity, l_tax) AS cov, corr(l_quantity, l_extendedprice) AS pearson FROM lineitem")
 stat_query("correlation_spearman", "part", lambda t: {"rho": S.spearman(t, "p_size", "p_retailprice").statistic}, "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS b FROM part) SELECT corr(a, b) AS rho FROM r")
 stat_query("correlation_kendall", "supplier", lambda t: {"tau": S.kendall(t, "s_nationkey", "s_acctbal").statistic}, "WITH p AS (SELECT sign(a.s_nationkey - b.s_nationkey) AS x, sign(a.s_acctbal - b.s_acctbal) AS y FROM supplier a, supplier b WHERE a.s_suppkey < b.s_suppkey) SELECT sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS tau FROM p")
-stat_query("moments", "part", lambda t: {"skew": S.skewness(t, "p_retailprice"), "kurt": S.kurtosis(t, "p_retailprice"), "m3": S.moment(t, "p_size", 3) / 1e3}, "WITH m AS (SELECT avg(p_retailprice) AS m, avg(p_size) AS ms FROM part) SELECT avg((p_retailprice - m) ^ 3) / avg((p_retailprice - m) ^ 2) ^ 1.5 AS skew, avg((p_retailprice - m) ^ 4) / avg((p_retailprice - m) ^ 2) ^ 2 - 3 AS kurt, avg((p_size - ms) ^ 3) / 1e3 AS m3 FROM part, m")
+stat_query("moments", "part", lambda t: {"skew": S.skewness(t, "p_retailprice"), "kurt": S.kurtosis(t, "p_retailprice"), "m4": S.moment(t, "p_size", 4) / 1e3}, "WITH m AS (SELECT avg(p_retailprice) AS m, avg(p_size) AS ms FROM part) SELECT avg((p_retailprice - m) ^ 3) / avg((p_retailprice - m) ^ 2) ^ 1.5 AS skew, avg((p_retailprice - m) ^ 4) / avg((p_retailprice - m) ^ 2) ^ 2 - 3 AS kurt, avg((p_size - ms) ^ 4) / 1e3 AS m4 FROM part, m")
 _two = "(SELECT count(*) AS n1, avg(l_quantity) AS m1, var_samp(l_quantity) AS v1 FROM lineitem WHERE l_returnflag = 'A'), (SELECT count(*) AS n2, avg(l_quantity) AS m2, var_samp(l_quantity) AS v2 FROM lineitem WHERE l_returnflag = 'R')"
 _ar = lambda t: ((t.filter("l_returnflag = 'A'"), "l_quantity"), (t.filter("l_returnflag = 'R'"), "l_quantity"))
 stat_query("ttest_single", "lineitem", lambda t: {"t": S.t_test_single((t, "l_quantity"), 25.0).statistic}, "SELECT (avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))) AS t FROM lineitem")
