@@ -264,7 +264,7 @@ def stat_query(name: str, table: str, build: Callable[[DataFrame], dict], sql: s
 stat_query("covariance_correlation", "lineitem", lambda t: {"cov": S.covariance(t, "l_quantity", "l_tax"), "pearson": S.pearson(t, "l_quantity", "l_extendedprice").statistic}, "SELECT covar_samp(l_quantity, l_tax) AS cov, corr(l_quantity, l_extendedprice) AS pearson FROM lineitem")
 stat_query("correlation_spearman", "part", lambda t: {"rho": S.spearman(t, "p_size", "p_retailprice").statistic}, "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS b FROM part) SELECT corr(a, b) AS rho FROM r")
 stat_query("correlation_kendall", "supplier", lambda t: {"tau": S.kendall(t, "s_nationkey", "s_acctbal").statistic}, "WITH p AS (SELECT sign(a.s_nationkey - b.s_nationkey) AS x, sign(a.s_acctbal - b.s_acctbal) AS y FROM supplier a, supplier b WHERE a.s_suppkey < b.s_suppkey) SELECT sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS tau FROM p")
-stat_query("moments", "part", lambda t: {"skew": S.skewness(t, "p_retailprice"), "kurt": S.kurtosis(t, "p_retailprice"), "m4": S.moment(t, "p_size", 4) / 1e3}, "WITH m AS (SELECT avg(p_retailprice) AS m, avg(p_size) AS ms FROM part) SELECT avg((p_retailprice - m) ^ 3) / avg((p_retailprice - m) ^ 2) ^ 1.5 AS skew, avg((p_retailprice - m) ^ 4) / avg((p_retailprice - m) ^ 2) ^ 2 - 3 AS kurt, avg((p_size - ms) ^ 4) / 1e3 AS m4 FROM part, m")
+stat_query("moments", "lineitem", lambda t: {"skew": S.skewness(t, "l_extendedprice"), "kurt": S.kurtosis(t, "l_extendedprice"), "m4": S.moment(t, "l_quantity", 4) / 1e3}, "WITH m AS (SELECT avg(l_extendedprice) AS m, avg(l_quantity) AS ms FROM lineitem) SELECT avg((l_extendedprice - m) ^ 3) / avg((l_extendedprice - m) ^ 2) ^ 1.5 AS skew, avg((l_extendedprice - m) ^ 4) / avg((l_extendedprice - m) ^ 2) ^ 2 - 3 AS kurt, avg((l_quantity - ms) ^ 4) / 1e3 AS m4 FROM lineitem, m")
 _two = "(SELECT count(*) AS n1, avg(l_quantity) AS m1, var_samp(l_quantity) AS v1 FROM lineitem WHERE l_returnflag = 'A'), (SELECT count(*) AS n2, avg(l_quantity) AS m2, var_samp(l_quantity) AS v2 FROM lineitem WHERE l_returnflag = 'R')"
 _ar = lambda t: ((t.filter("l_returnflag = 'A'"), "l_quantity"), (t.filter("l_returnflag = 'R'"), "l_quantity"))
 stat_query("ttest_single", "lineitem", lambda t: {"t": S.t_test_single((t, "l_quantity"), 25.0).statistic}, "SELECT (avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))) AS t FROM lineitem")
@@ -347,3 +347,27 @@ query("fin_amortization", """
   SELECT period, round(p, 4) AS payment, round(interest, 4) AS interest, round(principal, 4) AS principal, round(balance, 3) + 0.0 AS balance FROM s, c WHERE period > 0""")(
     lambda spark, d: finance.schedule_table(spark, "0.005", 24, 100000).select("period", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("payment", "interest", "principal")], (F.round(F.col("balance").cast("double"), 3) + 0.0).alias("balance"))
 )
+
+# Parquet, SQL, time windows.
+
+from millrace.sources import parquet as parquet_source  # noqa: E402
+from millrace.sources import sql as sql_source  # noqa: E402
+from millrace.streaming import events as streams  # noqa: E402
+
+query("scan_parquet_columns", "SELECT o_orderkey, o_totalprice FROM orders")(lambda spark, d: parquet_source.read(spark, f"{d}/orders.parquet", ["o_orderkey", "o_totalprice"]))
+query("parquet_formula_filter", "SELECT * FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.02")(lambda spark, d: parquet_source.filter_formula(spark, f"{d}/lineitem.parquet", "['l_quantity'] > 45 && ['l_discount'] <= 0.02"))
+
+
+@query("sql_query", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
+def _sql_query(spark, d):
+    read(spark, d, "nation").createOrReplaceTempView("nation_of_query")
+    return sql_source.read(spark, sql_source.Query(table="nation_of_query", columns=["n_name", "n_regionkey"], where="n_regionkey = 1"))
+
+
+simple("tumbling_window", "events", lambda t: streams.tumbling(t, "ts", "1 hour", ["event_type"], {"n": ("value", "count"), "hi": ("value", "max")}),
+       "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(value) AS n, max(value) AS hi FROM events GROUP BY ALL")
+simple("sessions", "events", lambda t: streams.sessions(t, "ts", "2 hours", ["user_id"], {"n": ("event_id", "count")}), """
+  WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+simple("time_bucket", "orders", lambda t: t.groupBy(streams.time_bucket(F.col("o_orderdate"), "month").alias("month")).agg(F.count(F.lit(1)).alias("n")), "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS n FROM orders GROUP BY 1")
