@@ -22,7 +22,8 @@ def read_folder(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 
 
 def _watched(df: DataFrame, ts: str, late: str | None) -> DataFrame:
-    return df.withWatermark(ts, late) if late else df
+    """A watermark needs a timestamp with a time zone; one without is taken in the session's."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else df
 
 
 def tumbling(df: DataFrame, ts: str, length: str, by: Sequence[str], aggs: dict[str, tuple[str, str]], late: str | None = None, slide: str | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def time_bucket(ts: Column, unit: str) -> Column:
 
 def deduplicated(df: DataFrame, keys: Sequence[str], ts: str, late: str) -> DataFrame:
     """The first of the events with the same keys within the watermark."""
-    return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
+    return _watched(df, ts, late).dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
 
 
 def smoothed(df: DataFrame, key: str, value: str, order_by: str, alpha: float) -> DataFrame:
