@@ -82,7 +82,8 @@ def html_lines(html: Column) -> Column:
 
 def query(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(F.col("url"), HOST, 1)).alias("host"), html_lines(F.col("html")).alias("text"))
-    out = dedup_lines(pages, "host", "text")
+    # The lines are read twice; the markup is taken off once.
+    out = dedup_lines(checkpointed(pages), "host", "text")
     return out.select("page_id", "host", F.length("text").cast("long").alias("n_chars"), "n_lines_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
