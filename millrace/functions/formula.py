@@ -762,17 +762,26 @@ def filter_rows(df: DataFrame, formula: str, order_by=None, row_name: str | None
 
 
 def execute(df: DataFrame, script: str, order_by=None, row_name: str | None = None) -> DataFrame:
-    """Run a script's assignments in turn, each seeing what came before."""
-    for target, new, node in statements(script):
+    """Run a script's assignments in turn, each seeing what came before. Rows are numbered once, if any statement needs their order."""
+    script_of = statements(script)
+    added = order_by is not None and RID not in df.columns and any(needs_order(node) for _, _, node in script_of)
+    if added:
+        df = ordering.number_rows(df, order_by)
+    for target, new, node in script_of:
+        names = [c for c in df.columns if c not in (RID, "__rowname")]
         if target.startswith("\0"):
             bare = target[1:]
-            names = [c for c in df.columns if c not in (RID, "__rowname")]
             i = letter_to_number(bare) if bare.isalpha() else -1
             target = names[i] if 0 <= i < len(names) else bare
-        if not new and target not in df.columns:
+        if not new and target not in names:
             raise FormulaError(f"no column {target!r} to assign to")
         df = with_column(df, target, node, order_by, row_name)
-    return df
+    return df.drop(RID) if added else df
+
+
+def needs_order(node: Node) -> bool:
+    """Whether the value depends on the order of the rows."""
+    return any(n.kind in ("index", "access") or n.kind == "call" and n.value in SEQUENCE for n in node.walk())
 
 
 def is_row_dependent(node: Node) -> bool:

@@ -212,24 +212,40 @@ def fill_with(df: DataFrame, columns: Sequence[str], how: str, order_by: str | N
     return df.crossJoin(F.broadcast(row)).withColumns(filled).select([c for c in df.columns if c != "__at"])
 
 
-def fill_interpolated(df: DataFrame, columns: Sequence[str], order_by, by: Sequence[str], extrapolate: bool = False) -> DataFrame:
-    """Linear between the known cells of a group, by position; the edges only with ``extrapolate``, along the outermost two."""
-    w = W.partitionBy(*by).orderBy(*ordering.order_columns(order_by))
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    d = df.withColumn("__at", F.row_number().over(w))
+def _neighbours(df: DataFrame, columns: Sequence[str], order_by, by: Sequence[str] | None) -> DataFrame:
+    """``df`` with each row's place (``__at``) and, by column, the nearest known points (i, v) up to it and from it on."""
+    point = lambda c, at: F.when(~missing(df, c), F.struct(F.col(at).alias("i"), F.col(c).cast("double").alias("v")))
+    if by:
+        w = W.partitionBy(*by).orderBy(*ordering.order_columns(order_by))
+        back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+        d = df.withColumn("__at", F.row_number().over(w).cast("long"))
+        return d.withColumns({f"__l_{c}": F.last(point(c, "__at"), ignorenulls=True).over(back) for c in columns} | {f"__r_{c}": F.first(point(c, "__at"), ignorenulls=True).over(ahead) for c in columns})
+    d = ordering.number_rows(df, order_by, "__at")
+    d = ordering.running(d, {f"__l_{c}": (point(c, "__at"), "last") for c in columns}, "__at")
+    d = d.withColumn("__back", -F.col("__at") + F.lit(d.agg(F.max("__at")).first()[0]))
+    return ordering.running(d, {f"__r_{c}": (point(c, "__at"), "last") for c in columns}, "__back").drop("__back")
+
+
+def fill_interpolated(df: DataFrame, columns: Sequence[str], order_by, by: Sequence[str] | None = None, extrapolate: bool = False) -> DataFrame:
+    """Linear between the known cells of a group, or of the table, by position; the edges only with ``extrapolate``, along the outermost two."""
+    d = _neighbours(df, columns, order_by, by)
+    along = lambda p, q: p["v"] + (q["v"] - p["v"]) * (F.col("__at") - p["i"]) / (q["i"] - p["i"])
     for c in columns:
-        have = ~missing(df, c)
-        known = F.when(have, F.struct(F.col("__at").alias("i"), F.col(c).cast("double").alias("v")))
-        left, right = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
-        along = lambda p, q: p["v"] + (q["v"] - p["v"]) * (F.col("__at") - p["i"]) / (q["i"] - p["i"])
-        value = F.when(have, F.col(c).cast("double")).when(left.isNotNull() & right.isNotNull(), along(left, right))
+        own, left, right = F.when(~missing(df, c), F.col(c).cast("double")), F.col(f"__l_{c}"), F.col(f"__r_{c}")
+        value = F.coalesce(own, F.when(left.isNotNull() & right.isNotNull(), along(left, right)))
         if extrapolate:
-            every = F.array_compact(F.array_agg(known).over(W.partitionBy(*by)))
-            s = F.array_sort(every)
-            ends = F.when(F.size(s) == 1, s[0]["v"]).when(F.size(s) > 1, F.when(left.isNull(), along(F.get(s, F.lit(0)), F.get(s, F.lit(1)))).otherwise(along(F.get(s, F.size(s) - 2), F.get(s, F.size(s) - 1))))
-            value = F.coalesce(value, ends)
-        d = d.withColumn(c, F.coalesce(value, F.col(c).cast("double")))
-    return d.drop("__at")
+            # The outermost two points of each group: the first known one, and the first known one after it.
+            keys = list(by or [])
+            known = d.filter(~missing(df, c)).select(*keys, F.struct(F.col("__at").alias("i"), F.col(c).cast("double").alias("v")).alias("p"))
+            ends = known.groupBy(*[F.col(k).alias(f"__j_{k}") for k in keys]).agg(F.min("p").alias("a"), F.max("p").alias("z"))
+            met = known.join(ends, [known[k].eqNullSafe(ends[f"__j_{k}"]) for k in keys]) if keys else known.crossJoin(F.broadcast(ends))
+            inner = met.groupBy(*keys).agg(F.first("a").alias("a"), F.first("z").alias("z"), F.min(F.when(F.col("p.i") > F.col("a.i"), F.col("p"))).alias("b"), F.max(F.when(F.col("p.i") < F.col("z.i"), F.col("p"))).alias("y"))
+            inner = inner.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.struct("a", "b", "y", "z").alias(f"__e_{c}"))
+            d = d.join(inner if keys else F.broadcast(inner), [d[k].eqNullSafe(inner[f"__k_{k}"]) for k in keys] or F.lit(True), "left").drop(*[f"__k_{k}" for k in keys])
+            e = F.col(f"__e_{c}")
+            value = F.coalesce(value, F.when(e["b"].isNull(), e["a"]["v"]).when(left.isNull(), along(e["a"], e["b"])).otherwise(along(e["y"], e["z"])))
+        d = d.withColumn(f"__f_{c}", value)
+    return d.select(*[F.col(f"__f_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 # Interpolation of a series at a point, over its positions 0, 1, 2 ...

@@ -49,12 +49,12 @@ def number_rows(df: DataFrame, order_by, name: str = RID) -> DataFrame:
     if order_by is not None:
         keys = order_columns(order_by)
         df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered = checkpointed(df.withColumn("__at", place))
-    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = checkpointed(df.withColumn("__row_place", place))
+    part, within = F.shiftright("__row_place", 33), F.col("__row_place").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return ordered.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__before", "__at")
+    return ordered.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__before", "__row_place")
 
 
 def bounded_frame(df: DataFrame, columns: dict, before: int, after: int, rid: str = RID, chunk: int = CHUNK) -> DataFrame:

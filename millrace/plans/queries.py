@@ -371,3 +371,74 @@ simple("sessions", "events", lambda t: streams.sessions(t, "ts", "2 hours", ["us
   s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
   SELECT min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 simple("time_bucket", "orders", lambda t: t.groupBy(streams.time_bucket(F.col("o_orderdate"), "month").alias("month")).agg(F.count(F.lit(1)).alias("n")), "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS n FROM orders GROUP BY 1")
+
+# Files and the rest of the inventory.
+
+import uuid  # noqa: E402
+
+from millrace.operators import ordering  # noqa: E402
+from millrace.sources import text as text_source  # noqa: E402
+from millrace.table import Table  # noqa: E402
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder beside the session's checkpoints, which all executors share."""
+    ordering.checkpointed(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+@query("scan_csv_types", "SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_nationkey::DOUBLE AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def _csv(spark, d):
+    at = _folder(spark)
+    text_source.write_csv(read(spark, d, "customer"), at)
+    return text_source.read_csv(spark, f"{at}/*.csv", encoding="utf-8")
+
+
+@query("scan_json", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def _json(spark, d):
+    at = _folder(spark)
+    text_source.write_json(read(spark, d, "nation"), at)
+    return spark.read.json(at)
+
+
+@query("table_chain", "SELECT o_orderpriority, sum(o_totalprice) AS total, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
+def _chain(spark, d):
+    t = Table(read(spark, d, "orders"), order_by="o_orderkey").filter("['o_totalprice'] > 1000").group_by("o_orderpriority").aggregate(Agg("o_totalprice", "sum", "total"), Agg(None, "countall", "n"))
+    return t.df.drop("__rid")
+
+
+simple("label_lexicographic", "orders", lambda t: E.LabelEncoder("o_orderpriority", "lexicographic").fit(t := t.select("o_orderkey", "o_orderpriority")).transform(t), "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INT) AS o_orderpriority FROM orders")
+simple("onehot_drop_first", "orders", lambda t: E.OneHotEncoder("o_orderstatus", drop_first=True, keep_original=True).fit(t := t.select("o_orderkey", "o_orderstatus"), "lexicographic").transform(t), "SELECT o_orderkey, o_orderstatus, (o_orderstatus = 'O')::INT AS \"o_orderstatus_O\", (o_orderstatus = 'P')::INT AS \"o_orderstatus_P\" FROM orders")
+simple("weighted_moving_average", "events", lambda t: WN.weighted_moving_average(t.select("event_id", "user_id", "ts", "value"), "value", 2, (1.0, 3.0), _ORDER, _BY), "SELECT * FROM (SELECT event_id, user_id, ts, value, (lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 3 * value) / 4 AS weighted_moving_average FROM events) WHERE weighted_moving_average IS NOT NULL", rounded="weighted_moving_average", digits=8)
+simple("moving_stdev", "events", lambda t: WN.moving_stdev(t.select("event_id", "user_id", "ts", "value"), "value", 3, _ORDER, _BY), "SELECT * FROM (SELECT event_id, user_id, ts, value, CASE WHEN count(*) OVER w = 3 THEN stddev_samp(value) OVER w END AS moving_stdev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING)) WHERE moving_stdev IS NOT NULL", rounded="moving_stdev")
+simple("normalize_standardize", "part", lambda t: t.crossJoin(F.broadcast(A.column_stats(t, "p_retailprice").select("min", "range", "mean", "stdev"))).select("p_partkey", ((F.col("p_retailprice") - F.col("min")) / F.col("range")).alias("n"), ((F.col("p_retailprice") - F.col("mean")) / F.col("stdev")).alias("s")),
+       "SELECT p_partkey, (p_retailprice - (SELECT min(p_retailprice) FROM part)) / (SELECT max(p_retailprice) - min(p_retailprice) FROM part) AS n, (p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_samp(p_retailprice) FROM part) AS s FROM part", rounded="n s", digits=9)
+simple("drop_columns_value", "nation", lambda t: C.drop_columns(t, values=[24]), "SELECT n_name, n_regionkey FROM nation")
+simple("find_rows_substring", "nation", lambda t: C.find_rows(t, part="AN", rid="n_nationkey"), "SELECT n_nationkey FROM nation WHERE contains(n_name, 'AN')")
+simple("replace_nulls_text", "orders", lambda t: C.replace_missing(t.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("s")), "none"), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'none' ELSE o_orderstatus END AS s FROM orders")
+simple("fill_backward", "events", lambda t: C.fill_backward(_events(t), ["v"], _ORDER), f"{_EV} SELECT event_id, user_id, ts, first_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM e")
+simple("ccl_filter_functions", "customer", lambda t: formula.filter_rows(t, "CONTAINS(['c_mktsegment'], 'U') && ['c_acctbal'] > AVG(['c_acctbal'])"), "SELECT * FROM customer WHERE contains(c_mktsegment, 'U') AND c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+formula_query("ccl_concat_trim", "customer", ["c_custkey", "c_name"], "NEW('a') = CONCAT(B, '/', A); NEW('t') = TRIM('  ' & B & ' '); NEW('r') = REPEAT(LEFT(B, 1), 3); NEW('u') = SUBSTR(B, 1, 4)", "SELECT c_custkey, c_name, c_name || '/' || c_custkey AS a, c_name AS t, repeat(left(c_name, 1), 3) AS r, substr(c_name, 1, 4) AS u FROM customer")
+formula_query("ccl_cumulative_kinds", "nation", ["n_nationkey", "n_name", "n_regionkey"], "NEW('s') = CUMSUM(C); NEW('m') = CUMMIN(C); NEW('p') = CUMPROD(C + 1); NEW('w') = ROLLING_SUM(C, 3); NEW('lo') = ROLLING_MIN(C, 2); NEW('l') = LEAD(A, 2)",
+              "SELECT n_nationkey, n_name, n_regionkey, sum(n_regionkey) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS s, min(n_regionkey) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS m, product(n_regionkey + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS p, CASE WHEN count(*) OVER (w ROWS 2 PRECEDING) = 3 THEN sum(n_regionkey) OVER (w ROWS 2 PRECEDING)::DOUBLE END AS w, CASE WHEN count(*) OVER (w ROWS 1 PRECEDING) = 2 THEN min(n_regionkey) OVER (w ROWS 1 PRECEDING)::DOUBLE END AS lo, lead(n_nationkey, 2) OVER w AS l FROM nation WINDOW w AS (ORDER BY n_nationkey)", ["n_nationkey"])
+stat_query("anova_two_way", "lineitem", lambda t: {"f": S.anova_two_way(t.filter("l_returnflag <> 'N'"), "l_quantity", "l_returnflag", "l_linenumber")["a"].statistic}, None)
+stat_query("correlation_matrix", "lineitem", lambda t: dict(zip(("ab", "ac", "bc"), (lambda r: (r[0, 1], r[0, 2], r[1, 2]))(S.correlation_matrix(t, ["l_quantity", "l_discount", "l_extendedprice"])[0]))), "SELECT corr(l_quantity, l_discount) AS ab, corr(l_quantity, l_extendedprice) AS ac, corr(l_discount, l_extendedprice) AS bc FROM lineitem")
+stat_query("wilcoxon_single", "supplier", lambda t: {"v": S.wilcoxon_single((t, "s_acctbal"), 4000.0).statistic}, "WITH d AS (SELECT s_acctbal - 4000 AS d FROM supplier WHERE s_acctbal <> 4000), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d) SELECT coalesce(sum(r) FILTER (d > 0), 0) AS v FROM r")
+stat_query("bartlett_sphericity", "lineitem", lambda t: {"chi2": S.bartlett_sphericity(t, ["l_quantity", "l_discount", "l_tax"]).statistic}, None)
+
+
+@query("factor_analysis")
+def _factors(spark, d):
+    cols = [f"x{i}" for i in range(6)]
+    t = read(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    f = multivariate.factor_analysis(t, cols, 2)
+    return spark.createDataFrame([(c, float(r[0]), float(r[1]), float(u)) for c, r, u in zip(cols, f.loadings, f.uniquenesses)], "column string, f1 double, f2 double, uniqueness double")
+
+
+@query("clusters_of_suppliers")
+def _clusters(spark, d):
+    t = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("a"), (F.col("s_acctbal") / 1000).alias("b"))
+    x = multivariate.rows_of(t, ["a", "b"], "s_suppkey")
+    tree, scan = multivariate.cut_tree(multivariate.hierarchical(x, "average"), k=min(3, len(x))), multivariate.dbscan(x, 2.0, 3)
+    ids = [r[0] for r in t.orderBy("s_suppkey").select("s_suppkey").collect()]
+    return spark.createDataFrame([(i, int(a), int(b)) for i, a, b in zip(ids, tree, scan)], "s_suppkey long, tree int, dbscan int")

@@ -321,8 +321,7 @@ class Table:
         if how == "backward":
             return self._with(clean.fill_backward(df, names, RID, limit=limit))
         if how == "interpolate":
-            both = self._with(df.withColumn("__all", F.lit(0)))
-            return self._with(clean.fill_interpolated(both.df, names, RID, ["__all"]).drop("__all"))
+            return self._with(clean.fill_interpolated(df, names, RID))
         return self._with(clean.fill_with(df, names, how, RID if how == "mode" else None))
 
     # Formulas, joins, reshaping, order.

@@ -134,6 +134,12 @@ def test_impute(spark):
     assert [r[0] for r in t.fill("mean").collect()] == [1, 2.5, 2.5, 4, 2.5]
     assert [r[1] for r in t.fill("mode", ["s"]).collect()] == ["x", "x", "y", "x", "x"]
     assert [r[0] for r in t.fill("interpolate", ["n"]).collect()][:4] == [1, 2, 3, 4]
+    grouped = clean.fill_interpolated(t.df.selectExpr("__rid", "n", "'g' as g"), ["n"], "__rid", ["g"], extrapolate=True)
+    assert [r.n for r in grouped.orderBy("__rid").collect()] == [1, 2, 3, 4, 5]
+    whole = clean.fill_interpolated(Table.of(spark, {"n": [None, None, 3.0, None, 7.0]}).df, ["n"], "__rid", extrapolate=True)
+    assert [r.n for r in whole.orderBy("__rid").collect()] == [-1, 1, 3, 5, 7]
+    alone = clean.fill_interpolated(Table.of(spark, {"n": [None, 3.0, None]}).df, ["n"], "__rid", extrapolate=True)
+    assert [r.n for r in alone.collect()] == [3, 3, 3]
     assert [clean.interpolate_at([0, 1, 4, 9], 1.5, h) for h in ("linear", "quadratic", "lagrange", "newton", "nearest")] == pytest.approx([2.5, 2.25, 2.25, 2.25, 4])
     assert clean.interpolate_at([0, 1, 4], 1.5, "hermite", [0, 2, 4]) == pytest.approx(2.25)
 
