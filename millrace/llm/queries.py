@@ -20,5 +20,6 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.SQL,
     "op5_line_dedup": line_dedup.SQL,
+    "op8_decontamination": decontam.SQL,
     "op10_top_k": kd_search.SQL,
 }
