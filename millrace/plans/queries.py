@@ -234,8 +234,8 @@ formula_query("ccl_date", "orders", ["o_orderkey", "o_orderdate"], "NEW('y') = Y
               "SELECT o_orderkey, o_orderdate, (year(o_orderdate) * 100 + month(o_orderdate))::DOUBLE AS y, day(o_orderdate)::DOUBLE AS d, dayofweek(o_orderdate)::DOUBLE AS w, o_orderdate + INTERVAL 10 DAY AS n, 240.0::DOUBLE AS diff, 10.0::DOUBLE AS days, strftime(o_orderdate, '%Y/%m/%d') AS t FROM orders")
 formula_query("ccl_math", "part", ["p_partkey", "p_size", "p_retailprice"], "NEW('r') = ROUND(C / 7, 2); NEW('f') = FLOOR(C) + CEIL(C) + TRUNC(-C); NEW('s') = SQRT(B) + POW(B, 2) + EXP(B / 100); NEW('l') = LN(C) + LOG10(C) + LOG(C, 2); NEW('g') = SIGN(B - 25) * ABS(B - 25) + MOD(B, 4)",
               "SELECT p_partkey, p_size, p_retailprice, sign(p_retailprice) * floor(abs(p_retailprice / 7) * 100 + 0.5) / 100 AS r, floor(p_retailprice) + ceil(p_retailprice) + ceil(-p_retailprice) AS f, sqrt(p_size) + p_size ^ 2 + exp(p_size / 100) AS s, ln(p_retailprice) + log10(p_retailprice) + ln(p_retailprice) / ln(2) AS l, (sign(p_size - 25) * abs(p_size - 25) + p_size % 4)::DOUBLE AS g FROM part")
-formula_query("ccl_convert", "orders", ["o_orderkey", "o_orderpriority"], "NEW('n') = TONUM(LEFT(B, 1)); NEW('t') = TOSTR(A) & '!'; NEW('b') = TOBOOL(LEFT(B, 1)); NEW('i') = IFNULL(TONUM(B), 0 - 1); NEW('c') = COALESCE(nil, TONUM(B), A)",
-              "SELECT o_orderkey, o_orderpriority, CAST(left(o_orderpriority, 1) AS DOUBLE) AS n, o_orderkey || '!' AS t, CASE left(o_orderpriority, 1) WHEN '1' THEN true END AS b, -1.0::DOUBLE AS i, o_orderkey::DOUBLE AS c FROM orders")
+formula_query("ccl_convert", "orders", ["o_orderkey", "o_orderpriority"], "NEW('n') = TONUM(LEFT(B, 1)); NEW('t') = TOSTR(A) & '!'; NEW('b') = IFNULL(TOBOOL(LEFT(B, 1)), false); NEW('i') = IFNULL(TONUM(B), 0 - 1); NEW('c') = COALESCE(nil, TONUM(B), A)",
+              "SELECT o_orderkey, o_orderpriority, CAST(left(o_orderpriority, 1) AS DOUBLE) AS n, o_orderkey || '!' AS t, left(o_orderpriority, 1) = '1' AS b, -1.0::DOUBLE AS i, o_orderkey::DOUBLE AS c FROM orders")
 formula_query("ccl_aggregate_broadcast", "part", ["p_partkey", "p_size", "p_retailprice"], "NEW('share') = C / SUM(C); NEW('z') = (B - AVG(B)) / STDEV(B); NEW('t') = SUM(B * C) + COUNT(A) + MAX(B) - MIN(B:C) + MEDIAN(B)",
               "SELECT p_partkey, p_size, p_retailprice, p_retailprice / (SELECT sum(p_retailprice) FROM part) AS share, (p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_samp(p_size) FROM part) AS z, (SELECT sum(p_size * p_retailprice) + count(*) + max(p_size) - least(min(p_size), min(p_retailprice)) + median(p_size) FROM part) AS t FROM part")
 formula_query("ccl_sequence", "events", ["event_id", "ts", "value"], "NEW('l') = LAG(C, 1); NEW('d') = DIFF(C, 2); NEW('p') = PCT_CHANGE(C); NEW('cs') = CUMSUM(C); NEW('cm') = CUMMAX(C); NEW('rm') = ROLLING_MEAN(C, 3); NEW('rs') = ROLLING_STD(C, 4)",
