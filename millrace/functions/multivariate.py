@@ -104,8 +104,8 @@ def _principal_axes(r, h, n):
     return vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
 
 
-def factor_analysis(df: DataFrame, columns: Sequence[str], n: int, extraction: str = "paf", rotation: str = "varimax", max_iter: int = 500, tol: float = 1e-7) -> Factors:
-    """Extraction by pca, paf, minres or ml; rotation none, varimax, quartimax, equamax, promax or oblimin-like (promax)."""
+def factor_analysis(df: DataFrame, columns: Sequence[str], n: int, extraction: str = "paf", rotation: str = "oblimin", max_iter: int = 500, tol: float = 1e-7) -> Factors:
+    """Extraction by pca, paf, minres or ml; rotation none, of the varimax family, promax, or one of ``CRITERIA``."""
     d = complete(df, *columns)
     r, _ = correlation_matrix(d, columns)
     p, converged = len(columns), True
@@ -141,11 +141,92 @@ def factor_analysis(df: DataFrame, columns: Sequence[str], n: int, extraction: s
     return Factors(rotated, h, 1 - h, turn, phi, kmo(r), bartlett_sphericity(d, columns).p, list(columns), bool(converged))
 
 
-def rotate(loadings: np.ndarray, method: str, max_iter: int = 500, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rotated loadings, rotation, factor correlations)."""
+# Rotations: closed planar form for the varimax family, gradient projection (Bernaards and Jennrich, 2005) for the rest.
+
+
+def _oblimin(l, gamma):
+    s = l**2
+    other = s.sum(axis=1, keepdims=True) - s
+    other = other - gamma * other.mean(axis=0, keepdims=True)
+    return (s * other).sum() / 4, l * other
+
+
+def _geomin(l, delta):
+    s = l**2 + delta
+    product = np.exp(np.log(s).mean(axis=1, keepdims=True))
+    return product.sum(), 2 / l.shape[1] * l / s * product
+
+
+def _bentler(l, _):
+    s = l**2
+    m = s.T @ s
+    return (np.log(np.diagonal(m)).sum() - np.linalg.slogdet(m)[1]) / 4, l * (s @ (np.diag(1 / np.diagonal(m)) - np.linalg.inv(m)))
+
+
+def _simplimax(l, zeros):
+    s = l**2
+    small = s <= np.sort(s, axis=None)[int(zeros or len(l)) - 1]
+    return s[small].sum(), 2 * l * small
+
+
+#: Criterion, its parameter, and whether factors may correlate.
+CRITERIA = {
+    "quartimin": (_oblimin, 0.0, True), "oblimin": (_oblimin, 0.0, True), "geominT": (_geomin, 0.01, False), "geominQ": (_geomin, 0.01, True),
+    "bentlerT": (_bentler, 0.0, False), "bentlerQ": (_bentler, 0.0, True), "simplimax": (_simplimax, 0.0, True),
+}
+
+
+def _project(loadings, criterion, parameter, oblique, turn, max_iter, tol):
+    """Descend along the gradient projected to the rotations; (value, rotated, turn)."""
+    shape = (lambda t: loadings @ np.linalg.inv(t).T) if oblique else (lambda t: loadings @ t)
+    l = shape(turn)  # noqa: E741
+    value, slope = criterion(l, parameter)
+    step = 1.0
+    for _ in range(max_iter):
+        if oblique:
+            g = -(l.T @ slope @ np.linalg.inv(turn)).T
+            down = g - turn * (turn * g).sum(axis=0)
+        else:
+            g = loadings.T @ slope
+            m = turn.T @ g
+            down = g - turn @ (m + m.T) / 2
+        size = np.sqrt((down**2).sum())
+        if size < tol:
+            break
+        step *= 2
+        for _ in range(40):
+            t = turn - step * down
+            if oblique:
+                t = t / np.sqrt((t**2).sum(axis=0))
+            else:
+                u, _, v = np.linalg.svd(t)
+                t = u @ v
+            new = shape(t)
+            now, new_slope = criterion(new, parameter)
+            if now < value - 0.5 * step * size**2:
+                break
+            step /= 2
+        else:
+            break
+        turn, l, value, slope = t, new, now, new_slope  # noqa: E741
+    return value, l, turn
+
+
+def rotate(loadings: np.ndarray, method: str, max_iter: int = 500, tol: float = 1e-6, parameter: float | None = None, restarts: int = 10, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rotated loadings, rotation, factor correlations). ``parameter`` is oblimin's gamma, geomin's delta, simplimax's zeros or promax's power."""
     p, k = loadings.shape
     if method == "none" or k < 2:
         return loadings, np.eye(k), np.eye(k)
+    if method in CRITERIA:
+        criterion, usual, oblique = CRITERIA[method]
+        rng, best = np.random.default_rng(seed), None
+        for start in range(restarts + 1):
+            turn = np.eye(k) if not start else np.linalg.qr(rng.normal(size=(k, k)))[0]
+            got = _project(loadings, criterion, usual if parameter is None else parameter, oblique, turn, max_iter, tol)
+            if best is None or got[0] < best[0] - 1e-9:
+                best = got
+        _, rotated, turn = best
+        return rotated, turn, turn.T @ turn if oblique else np.eye(k)
     gamma = {"varimax": 1.0, "quartimax": 0.0, "equamax": k / 2, "parsimax": p * (k - 1) / (p + k - 2), "promax": 1.0}.get(method)
     if gamma is None:
         raise ValueError(f"unknown rotation {method!r}")
@@ -156,13 +237,13 @@ def rotate(loadings: np.ndarray, method: str, max_iter: int = 500, tol: float =
         b = a @ turn
         u, s, vt = np.linalg.svd(a.T @ (b**3 - gamma / p * b @ np.diag((b**2).sum(axis=0))))
         turn = u @ vt
-        if s.sum() < last * (1 + tol):
+        if s.sum() < last * (1 + 1e-10):
             break
         last = s.sum()
     rotated = loadings @ turn
     if method != "promax":
         return rotated, turn, np.eye(k)
-    target = np.sign(rotated) * np.abs(rotated) ** 4
+    target = np.sign(rotated) * np.abs(rotated) ** (parameter or 4)
     q = np.linalg.lstsq(rotated, target, rcond=None)[0]
     q = q @ np.diag(np.sqrt(np.diagonal(np.linalg.inv(q.T @ q))))
     inverse = np.linalg.inv(q)

@@ -146,7 +146,7 @@ def test_components_and_factors(spark):
     c = M.pca(df, cols)
     assert c.values == pytest.approx(np.sort(np.linalg.eigvalsh(np.corrcoef(data.T)))[::-1]) and c.explained.sum() == pytest.approx(1)
     for extraction in ("pca", "paf", "ml"):
-        for rotation in ("varimax", "promax", "none"):
+        for rotation in ("varimax", "promax", "oblimin", "geominT", "geominQ", "bentlerT", "bentlerQ", "simplimax", "none"):
             f = M.factor_analysis(df, cols, 2, extraction, rotation)
             assert f.communalities.max() < 1.01 and 0.5 < f.kmo < 1 and f.bartlett_p < 1e-6
             if rotation != "none":
@@ -179,3 +179,25 @@ def test_neighbours(spark):
     assert {r.id: r.predicted for r in M.knn_regress(train, test, "v", "y", 3, "id", "id").collect()} == {100: 2.0, 101: 11.0}
     assert M.knn_classify(train, train, "v", "label", 3, "id", "id", "distance").count() == 6
     assert [r.neighbor_id for r in M.nearest_neighbors(train, test.filter("id = 100"), "v", 2, "id", "id").orderBy("rank").collect()] == [0, 1]
+
+
+@pytest.mark.parametrize("method", ["varimax", "quartimax", "equamax", "parsimax", "promax", *M.CRITERIA])
+def test_rotations_keep_what_is_common(method):
+    """Rotated loadings with the factor correlations give the same common variance; orthogonal ones keep a right angle."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(9, 3))
+    l, t, phi = M.rotate(a, method)  # noqa: E741
+    assert l @ phi @ l.T == pytest.approx(a @ a.T) and np.diagonal(phi) == pytest.approx(np.ones(3))
+    if method in M.CRITERIA:
+        criterion, parameter, oblique = M.CRITERIA[method]
+        assert criterion(l, parameter)[0] <= criterion(a, parameter)[0] + 1e-12
+        # The gradients are those of the criterion.
+        x, g = rng.normal(size=(9, 3)), None
+        g = criterion(x, parameter)[1]
+        for i, j in ((0, 0), (4, 2), (8, 1)):
+            y, z = x.copy(), x.copy()
+            y[i, j] += 1e-6
+            z[i, j] -= 1e-6
+            assert g[i, j] == pytest.approx((criterion(y, parameter)[0] - criterion(z, parameter)[0]) / 2e-6, rel=1e-4, abs=1e-6)
+        if not oblique:
+            assert t.T @ t == pytest.approx(np.eye(3), abs=1e-9)
