@@ -259,6 +259,57 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     return found.withColumn("__at", F.row_number().over(first)).filter(F.col("__at") == 1).drop("__at")
 
 
+#: Documents whose keys are sent to all executors (24 bytes each), at most; more are met by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def similarity(a: bytes | None, b: bytes | None, shingle: int) -> float:
+    """Jaccard similarity of the sets of word shingles of two texts; texts without words are equal."""
+    low = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+    def shingles(data):
+        w = (data or b"").translate(low).split()
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 6, least: float = 0.8) -> DataFrame:
+    """``docs`` without those that are near copies, by exact similarity, of a document that stays.
+
+    Fingerprints of ``shingle`` words within ``radius`` bits make groups, each
+    kept by its smallest id. A member goes only if the set similarity of its
+    shingles with that document's is ``least`` or more, so a chance closeness of
+    fingerprints drops nothing. Rows of one id and one text are one document
+    here. Only members and the documents that keep their groups are compared,
+    one comparison each. Edge cases are those of ``dedup``.
+    """
+    linked = checkpointed(near_duplicates(docs, doc_id, text, shingle, radius).select("doc_id", "same", "part").distinct())
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
+    stays = linked.groupBy("part").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = checkpointed(linked.join(stays, "part").filter(key != F.col("k")).select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), F.col("k.doc_id").alias("__to"), F.col("k.same").alias("__to_same")))
+    few = members.count() <= BROADCAST_KEYS
+    sent = F.broadcast if few else (lambda d: d)
+    of = docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("s"), F.col(text).cast("binary").alias("t"))
+    kept = members.select("__to", "__to_same").distinct()
+    bases = of.join(sent(kept), of["i"].eqNullSafe(F.col("__to")) & (of["s"] == F.col("__to_same")), "left_semi").dropDuplicates(["i", "s"]).select(F.col("i").alias("bi"), F.col("s").alias("bs"), F.col("t").alias("bt"))
+    texts = of.join(sent(members), of["i"].eqNullSafe(F.col("__id")) & (of["s"] == F.col("__same"))).select("__id", "__same", "__to", "__to_same", "t")
+    pairs = texts.join(bases, texts["__to"].eqNullSafe(bases["bi"]) & (texts["__to_same"] == bases["bs"])).select("__id", "__same", "t", "bt")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = b.column(2).cast(pa.large_binary()), b.column(3).cast(pa.large_binary())
+            near = pa.array([similarity(p.as_py(), q.as_py(), shingle) >= least for p, q in zip(x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["__id", "__same"]).filter(near)
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    gone = checkpointed(text_batches(pairs).mapInArrow(compare, f"__id {kind}, __same long"))
+    return docs.join(sent(gone), docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__same")), "left_anti")
+
+
 def query(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

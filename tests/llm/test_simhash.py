@@ -99,3 +99,30 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[1001 + i] == 1000 for i in range(300)) and len(got) == 500
+
+
+def test_near_copies_go_only_for_one_that_stays(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(2000)]
+    rows, copies = [], 0
+    for i in range(150):
+        w = rng.choices(words, k=rng.randint(100, 900))
+        rows.append((len(rows), " ".join(w)))
+        if i % 2:
+            x = list(w)
+            x[rng.randrange(len(x))] = "changed"
+            rows.append((len(rows), " ".join(x)))
+            copies += 1
+    rows += [(9000, None), (9001, ""), (9002, "a b c"), (None, "q r s t u v")]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n int, part string")
+    out = simhash.drop_similar(df)
+    assert out.columns == df.columns
+    left = {r.doc_id: r.text for r in out.collect()}
+    gone = [r for r in rows if r[0] not in left]
+    assert len(gone) >= 0.6 * copies
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows if t}
+    for i, t in gone:
+        assert t == "" or max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in left if left[j] and j is not None and j < i) >= 0.8
+    assert None in left and 9002 in left and (9000 in left) and 9001 not in left
+    assert simhash.drop_similar(df.limit(0)).count() == 0
+    assert simhash.similarity(b"A b c d e f", b"a B c d e g", 5) == pytest.approx(1 / 3)
