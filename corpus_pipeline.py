@@ -6,7 +6,9 @@ return the columns of ``documents``.
 1. toxicity: documents whose score reaches their language's threshold go.
 2. line_dedup: lines on more than the given share of a source's documents are
    cut. A document made of such lines alone is left to the next stage.
-3. simhash: one document of each near-duplicate group stays.
+3. simhash: one document of each near-duplicate group stays (3-word shingles,
+   3 bits); then documents go whose 5-word shingles are at a similarity of 0.8
+   or more with one that stays, as far as fingerprints within 6 bits tell them.
 4. decontamination: words inside benchmark phrases are cut.
 5. mixing: documents as often as the mix of sources takes them.
 """
@@ -37,7 +39,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return simhash.drop_similar(written(simhash.dedup(docs), "simhash"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
