@@ -183,8 +183,11 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
     nothing. Paths part at ``/``; the root directory is the empty string. Of
     several licence files of a directory the highest cosine decides, then the
     first name and path. Repeated rows are files of their own. Very long texts
-    are read whole. An empty table gives an empty table.
+    are read whole. An empty table gives an empty table. Columns in ``keep``
+    that have the name of a result are left out.
     """
+    keep = tuple(c for c in keep if c not in (path, "own_license", "own_score", "license", "inherited_from"))
+    here, near = fresh("dir"), fresh("near")
     scanner = files.sparkSession.sparkContext.broadcast(Scanner(*holding(files, text), threshold))
 
     def run(batches):
@@ -199,18 +202,18 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
     own = checkpointed(given.mapInArrow(run, given.drop(data).schema.add("own_license", "string").add("own_score", "double")))
     folder = F.when(F.col(at).contains("/"), parent(F.col(at))).when(F.col(at).isNotNull(), F.lit(""))
     name = F.element_at(F.split(F.col(at), "/"), -1)
-    own = own.withColumn("dir", folder)
+    own = own.withColumn(here, folder)
     named = own.filter(name.rlike(LICENCE_FILE) & F.col("own_license").isNotNull())
-    granted = named.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("l"), F.col(at).alias("p"))).alias("g")).select(F.col("dir").alias("from"), F.col("g.l").alias("granted"))
-    dirs = own.select("dir").filter(F.col("dir").isNotNull()).distinct()
-    parts = F.split("dir", "/")
+    granted = named.groupBy(here).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("l"), F.col(at).alias("p"))).alias("g")).select(F.col(here).alias("from"), F.col("g.l").alias("granted"))
+    dirs = own.select(here).filter(F.col(here).isNotNull()).distinct()
+    parts = F.split(here, "/")
     above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
-    found = dirs.select("dir", F.explode(F.array_distinct(above)).alias("up")).join(granted, F.col("up") == F.col("from"))
-    nearest = checkpointed(found.groupBy("dir").agg(F.max_by(F.struct("granted", "from"), F.length("from")).alias("near")))
+    found = dirs.select(here, F.explode(F.array_distinct(above)).alias("up")).join(granted, F.col("up") == F.col("from"))
+    nearest = checkpointed(found.groupBy(here).agg(F.max_by(F.struct("granted", "from"), F.length("from")).alias(near)))
     small = nearest.count() <= BROADCAST_DIRS
-    out = own.join(F.broadcast(nearest) if small else nearest, "dir", "left")
+    out = own.join(F.broadcast(nearest) if small else nearest, here, "left")
     inherits = F.col("own_license").isNull()
-    return out.select(F.col(at).alias(path), *keep, "own_license", "own_score", F.coalesce("own_license", "near.granted").alias("license"), F.when(inherits, F.col("near.from")).alias("inherited_from"))
+    return out.select(F.col(at).alias(path), *keep, "own_license", "own_score", F.coalesce("own_license", f"{near}.granted").alias("license"), F.when(inherits, F.col(f"{near}.from")).alias("inherited_from"))
 
 
 def query(spark, sf_dir):

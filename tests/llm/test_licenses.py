@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import licenses
 
@@ -73,7 +74,8 @@ def test_against_brute_force(spark):
     rows += [(None, statements[0]), (None, None), ("a/b/x", None), ("a/b/y", ""), ("/abs/f", "x")] + rows[:5]
     df = spark.createDataFrame([(*r, "dir", 2.0) for r in rows], "path string, text string, `from` string, own_score double")
     for threshold in (0.6, 0.8):
-        got = licenses.scan(df, threshold=threshold).collect()
+        got = licenses.scan(df.withColumn("dir", F.lit("x")).withColumn("near", F.lit(1)), threshold=threshold, keep=("dir", "near", "from", "own_score")).collect()
+        assert {r.dir for r in got} == {"x"}
         assert sorted(((r.path, r.own_license, r.own_score and round(r.own_score, 9), r.license, r.inherited_from) for r in got), key=str) == brute(rows, threshold)
 
 
