@@ -205,9 +205,9 @@ def _compare(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, blocks: int | None = None) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in column fp that connect whatever lies within the radius."""
-    k = blocks_for(fps.count(), radius)
+    k = blocks or blocks_for(fps.count(), radius)
     bins = _bins(fps, k, radius)
     crowded = checkpointed(bins.groupBy("choice", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile_rows).select("choice", "value", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles")))
     bins = null_safe_join(bins, crowded, ["choice", "value"], "left", small=crowded.count() <= BROADCAST_BINS)
@@ -220,17 +220,17 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     return found.distinct()
 
 
-def groups(prints: DataFrame, doc_id: str, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def groups(prints: DataFrame, doc_id: str, radius: int = RADIUS, tile_rows: int = TILE_ROWS, blocks: int | None = None) -> DataFrame:
     """(fp, part, component_id, first): each distinct fingerprint with its component, named by a fingerprint and by the smallest id in it, and the smallest id of its own rows."""
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(doc_id).alias("first")))
-    roots = components(near_links(nodes.select("fp"), radius, tile_rows))
+    roots = components(near_links(nodes.select("fp"), radius, tile_rows, blocks))
     nodes = nodes.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     nodes = checkpointed(nodes)
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     return nodes.join(least, "root").select("fp", F.col("root").alias("part"), "component_id", "first")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile_rows: int = TILE_ROWS, blocks: int | None = None) -> DataFrame:
     """(doc_id, same, fp, part, component_id), one row per input row; ``same`` is a hash of the text, ``part`` a fingerprint that names the component.
 
     Null and empty texts, and those of white space alone, have fingerprint zero
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     prints = checkpointed(fingerprints(given, "text", ("doc_id", "same"), "fp", shingle))
-    return prints.join(groups(prints, "doc_id", radius, tile_rows).drop("first"), "fp").select("doc_id", "same", "fp", "part", "component_id")
+    return prints.join(groups(prints, "doc_id", radius, tile_rows, blocks).drop("first"), "fp").select("doc_id", "same", "fp", "part", "component_id")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -253,10 +253,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     """
     linked = near_duplicates(docs, doc_id, text, shingle, radius)
     keep = linked.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("__id"), F.col("k.same").alias("__same"))
-    found = docs.join(keep, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__same")), "left_semi")
+    own_id, own_same, at = fresh("id"), fresh("same"), fresh("at")
+    keep = keep.select(F.col("k.doc_id").alias(own_id), F.col("k.same").alias(own_same))
+    found = docs.join(keep, docs[doc_id].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text]) == F.col(own_same)), "left_semi")
     first = W.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(0))
-    return found.withColumn("__at", F.row_number().over(first)).filter(F.col("__at") == 1).drop("__at")
+    return found.withColumn(at, F.row_number().over(first)).filter(F.col(at) == 1).drop(at)
 
 
 #: Documents whose keys are sent to all executors (24 bytes each), at most; more are met by a shuffle.
@@ -275,17 +276,18 @@ def similarity(a: bytes | None, b: bytes | None, shingle: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 6, least: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 6, least: float = 0.8, blocks: int = 8) -> DataFrame:
     """``docs`` without those that are near copies, by exact similarity, of a document that stays.
 
     Fingerprints of ``shingle`` words within ``radius`` bits make groups, each
     kept by its smallest id. A member goes only if the set similarity of its
     shingles with that document's is ``least`` or more, so a chance closeness of
-    fingerprints drops nothing. Rows of one id and one text are one document
+    fingerprints drops nothing. The number of blocks is fixed, so that the rows
+    of the bins are the same multiple of the documents at every size. Rows of one id and one text are one document
     here. Only members and the documents that keep their groups are compared,
     one comparison each. Edge cases are those of ``dedup``.
     """
-    linked = checkpointed(near_duplicates(docs, doc_id, text, shingle, radius).select("doc_id", "same", "part").distinct())
+    linked = checkpointed(near_duplicates(docs, doc_id, text, shingle, radius, blocks=blocks).select("doc_id", "same", "part").distinct())
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
     stays = linked.groupBy("part").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpointed(linked.join(stays, "part").filter(key != F.col("k")).select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), F.col("k.doc_id").alias("__to"), F.col("k.same").alias("__to_same")))
@@ -307,7 +309,9 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
     kind = docs.schema[doc_id].dataType.simpleString()
     gone = checkpointed(text_batches(pairs).mapInArrow(compare, f"__id {kind}, __same long"))
-    return docs.join(sent(gone), docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__same")), "left_anti")
+    gone_id, gone_same = fresh("id"), fresh("same")
+    gone = gone.select(F.col("__id").alias(gone_id), F.col("__same").alias(gone_same))
+    return docs.join(sent(gone), docs[doc_id].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text]) == F.col(gone_same)), "left_anti")
 
 
 def query(spark, sf_dir):

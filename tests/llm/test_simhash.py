@@ -114,7 +114,7 @@ def test_near_copies_go_only_for_one_that_stays(spark):
             rows.append((len(rows), " ".join(x)))
             copies += 1
     rows += [(9000, None), (9001, ""), (9002, "a b c"), (None, "q r s t u v")]
-    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n int, part string")
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, __id int, part string")
     out = simhash.drop_similar(df)
     assert out.columns == df.columns
     left = {r.doc_id: r.text for r in out.collect()}
