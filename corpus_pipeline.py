@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.
 
 1. toxicity: documents whose score reaches their language's threshold go.
-2. line_dedup: lines on more than the given share of a source's documents are
-   cut. A document made of such lines alone is left to the next stage.
+2. line_dedup: lines on more than ``LINE_SHARE`` of a source's documents, and on
+   five at least, are cut. A document made of such lines alone is left to the
+   next stage.
 3. simhash: one document of each near-duplicate group stays (3-word shingles,
    3 bits); then documents go whose 5-word shingles are at a similarity of 0.8
    or more with one that stays, as far as fingerprints within 6 bits tell them.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from millrace.llm import decontam, line_dedup, mixing, simhash, toxicity
 from millrace.llm.common import table, written
 
+#: Share of a source's documents above which a line is boilerplate. A source is no site with one layout, as the hosts of pages are: its documents share less.
+LINE_SHARE = 0.05
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -35,7 +38,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _whole(line_dedup.dedup_lines(docs, "source", "text", keep_whole=True), docs)
+    return _whole(line_dedup.dedup_lines(docs, "source", "text", LINE_SHARE, keep_whole=True), docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
