@@ -9,7 +9,7 @@ return the columns of ``documents``.
    next stage.
 3. simhash: one document of each near-duplicate group stays (3-word shingles,
    3 bits); then documents go whose 5-word shingles are at a similarity of 0.8
-   or more with one that stays, as far as fingerprints within 6 bits tell them.
+   or more with one that stays, in the order of ids.
 4. decontamination: words inside benchmark phrases are cut.
 5. mixing: documents as often as the mix of sources takes them.
 """

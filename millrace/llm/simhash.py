@@ -22,6 +22,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from millrace.llm.common import LOWER, UPPER, checkpointed, fresh, null_safe_join, table, text_batches
 from millrace.llm.components import components
@@ -260,44 +261,68 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     return found.withColumn(at, F.row_number().over(first)).filter(F.col(at) == 1).drop(at)
 
 
-#: Documents whose keys are sent to all executors (24 bytes each), at most; more are met by a shuffle.
-BROADCAST_KEYS = 500_000
+#: Documents whose keys are sent to all executors (50 bytes each), at most; more are met by a shuffle.
+BROADCAST_KEYS = 200_000
+#: Least hashes that make a bin, and bins of a document: two at a similarity of 0.8 meet in none with a chance of 3 in a million.
+ROWS, BANDS = 5, 32
+#: Members of a bin that all others of it are compared with in a round.
+LEADS = 8
+
+
+def words_low(data: bytes | None) -> list[bytes]:
+    return (data or b"").translate(bytes.maketrans(UPPER.encode(), LOWER.encode())).split()
 
 
 def similarity(a: bytes | None, b: bytes | None, shingle: int) -> float:
     """Jaccard similarity of the sets of word shingles of two texts; texts without words are equal."""
-    low = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
     def shingles(data):
-        w = (data or b"").translate(low).split()
+        w = words_low(data)
         return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
 
     x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 6, least: float = 0.8, blocks: int = 8) -> DataFrame:
-    """``docs`` without those that are near copies, by exact similarity, of a document that stays.
+def bins_of(data: bytes | None, shingle: int):
+    """The ``BANDS`` bins of a text: hashes of ``ROWS`` least hashes of its set of shingles each. A text without words has one bin."""
+    import numpy as np
+    import xxhash
 
-    Fingerprints of ``shingle`` words within ``radius`` bits make groups, each
-    kept by its smallest id. A member goes only if the set similarity of its
-    shingles with that document's is ``least`` or more, so a chance closeness of
-    fingerprints drops nothing. The number of blocks is fixed, so that the rows
-    of the bins are the same multiple of the documents at every size. Rows of one id and one text are one document
-    here. Only members and the documents that keep their groups are compared,
-    one comparison each. Edge cases are those of ``dedup``.
-    """
-    linked = checkpointed(near_duplicates(docs, doc_id, text, shingle, radius, blocks=blocks).select("doc_id", "same", "part").distinct())
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
-    stays = linked.groupBy("part").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = checkpointed(linked.join(stays, "part").filter(key != F.col("k")).select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), F.col("k.doc_id").alias("__to"), F.col("k.same").alias("__to_same")))
-    few = members.count() <= BROADCAST_KEYS
-    sent = F.broadcast if few else (lambda d: d)
-    of = docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("s"), F.col(text).cast("binary").alias("t"))
-    kept = members.select("__to", "__to_same").distinct()
-    bases = of.join(sent(kept), of["i"].eqNullSafe(F.col("__to")) & (of["s"] == F.col("__to_same")), "left_semi").dropDuplicates(["i", "s"]).select(F.col("i").alias("bi"), F.col("s").alias("bs"), F.col("t").alias("bt"))
-    texts = of.join(sent(members), of["i"].eqNullSafe(F.col("__id")) & (of["s"] == F.col("__same"))).select("__id", "__same", "__to", "__to_same", "t")
-    pairs = texts.join(bases, texts["__to"].eqNullSafe(bases["bi"]) & (texts["__to_same"] == bases["bs"])).select("__id", "__same", "t", "bt")
+    words = words_low(data)
+    if not words:
+        return np.zeros(1, np.int64)
+    digest = xxhash.xxh64_intdigest
+    h = np.array(list({digest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))}), np.uint64)
+    by = np.random.default_rng(5).integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.min([(h[at : at + 1024, None] * by).min(axis=0) for at in range(0, len(h), 1024)], axis=0)
+    return np.array([digest(b"%d " % i + x.tobytes()) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def meeting(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(k, bin) of the documents that share a bin with another; k is (no id, id, hash of the text)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            got = pa.array([bins_of(x.as_py(), shingle) for x in batch.column(0).cast(pa.large_binary())], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], got], names=["id", "same", "bins"])
+
+    given = text_batches(docs).select(F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("same"))
+    prints = checkpointed(given.mapInArrow(run, given.select("id", "same").schema.add("bins", ArrayType(LongType()))))
+    bins = prints.select(F.struct(F.col("id").isNull().alias("none"), "id", "same").alias("k"), F.explode("bins").alias("bin"))
+    shared = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bin")
+    return checkpointed(bins.join(shared, "bin").select("k", "bin").distinct())
+
+
+def near_pairs(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (k, lead) whose similarity is ``least`` or more."""
+    sent = F.broadcast if pairs.count() <= BROADCAST_KEYS else (lambda d: d)
+    of = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("same")).alias("own"), F.col(text).cast("binary").alias("t"))
+    leads = of.join(sent(pairs.select(F.col("lead").alias("own")).distinct()), "own", "left_semi").dropDuplicates(["own"]).select(F.col("own").alias("lead"), F.col("t").alias("bt"))
+    # Rows of one id and text are one document; a pair that is compared twice is only once in the outcome.
+    texts = of.join(sent(pairs), F.col("own") == F.col("k")).select("k", "lead", "t").join(leads, "lead").select("k", "lead", "t", "bt")
 
     def compare(batches):
         import pyarrow as pa
@@ -305,12 +330,54 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         for b in batches:
             x, y = b.column(2).cast(pa.large_binary()), b.column(3).cast(pa.large_binary())
             near = pa.array([similarity(p.as_py(), q.as_py(), shingle) >= least for p, q in zip(x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["__id", "__same"]).filter(near)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], schema=b.select(["k", "lead"]).schema).filter(near)
+
+    return checkpointed(text_batches(texts).mapInArrow(compare, pairs.select("k", "lead").schema).distinct())
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    gone = checkpointed(text_batches(pairs).mapInArrow(compare, f"__id {kind}, __same long"))
+
+def settle(near: DataFrame, unsure: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k that go, pairs left) of pairs (k, lead) with lead < k: in the order of the keys, a document goes if one that stays is near it.
+
+    What ``unsure`` (k) holds can go, but stays only once it has been compared with all before it.
+    """
+    gone = None
+    while True:
+        later = near.select("k").unionByName(unsure).distinct()
+        new = near.join(later.select(F.col("k").alias("lead")), "lead", "left_anti").select("k").distinct()
+        new = checkpointed(new)
+        if new.isEmpty():
+            return (new if gone is None else gone), near
+        gone = new if gone is None else gone.unionByName(new)
+        near = checkpointed(near.join(new, "k", "left_anti").join(new.select(F.col("k").alias("lead")), "lead", "left_anti").select("k", "lead"))
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, leads: int = LEADS) -> DataFrame:
+    """``docs`` without those that are near copies, by exact similarity, of a document that stays.
+
+    In the order of ids, a document goes if the set similarity of its shingles
+    with one that stays is ``least`` or more; so no two that are compared and
+    stay are that similar, whatever group they are of. Compared are documents
+    that share a bin of least hashes. In a round the first ``leads`` of each bin
+    are compared with all of it, so pairs grow with the members, not with their
+    square; what is not settled then goes to another round. Rows of one id and
+    one text are one document here. Edge cases are those of ``dedup``.
+    """
+    linked, gone = meeting(docs, doc_id, text, shingle), None
+    while not linked.isEmpty():
+        first = F.row_number().over(W.partitionBy("bin").orderBy("k"))
+        ahead = checkpointed(linked.withColumn("rank", first).filter(F.col("rank") <= leads).select("bin", F.col("k").alias("lead")))
+        pairs = checkpointed(linked.join(ahead, "bin").filter(F.col("k") > F.col("lead")).select("k", "lead").distinct())
+        unsure = checkpointed(linked.join(ahead.withColumnRenamed("lead", "k"), ["bin", "k"], "left_anti").select("k").distinct())
+        new, open_pairs = settle(near_pairs(docs, pairs, doc_id, text, shingle, least), unsure)
+        gone = new if gone is None else gone.unionByName(new)
+        rest = unsure.unionByName(open_pairs.select("k")).distinct().join(new, "k", "left_anti")
+        linked = checkpointed(linked.join(rest, "k", "left_semi"))
+    if gone is None:
+        return docs
+    gone = checkpointed(gone.distinct())
+    sent = F.broadcast if gone.count() <= BROADCAST_KEYS else (lambda d: d)
     gone_id, gone_same = fresh("id"), fresh("same")
-    gone = gone.select(F.col("__id").alias(gone_id), F.col("__same").alias(gone_same))
+    gone = gone.select(F.col("k.id").alias(gone_id), F.col("k.same").alias(gone_same))
     return docs.join(sent(gone), docs[doc_id].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text]) == F.col(gone_same)), "left_anti")
 
 

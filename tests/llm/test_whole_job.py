@@ -1,6 +1,9 @@
 """What operators left undone before; each test failed then."""
 
 import importlib
+import random
+
+from millrace.llm import simhash
 
 
 def test_lines_of_documents_are_cut(spark):
@@ -10,3 +13,39 @@ def test_lines_of_documents_are_cut(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in pipeline.line_dedup_stage(spark, df, "").collect()}
     assert got == {i: t.replace("again and again\n", "") for i, t, *_ in rows}
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def greedy(rows, least=0.8):
+    """In the order of ids, what isn't as near as that to any that stays."""
+    sets, stays = {i: shingles(t) for i, t in rows}, []
+    for i in sorted(sets):
+        if all(len(sets[i] & sets[j]) < least * len(sets[i] | sets[j]) for j in stays):
+            stays.append(i)
+    return stays
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"x{rng.randrange(10**6)}"
+    return out
+
+
+def left_of(spark, rows, **more):
+    return sorted(r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect())
+
+
+def test_near_copies_down_to_the_similarity_go(spark):
+    """Copies at 0.8 to 0.95, whose fingerprints differ in far more than 6 bits."""
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 400))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited(rng, w, max(1, len(w) * (1 + i % 4) // 200))))]
+    want = greedy(rows)
+    assert len(want) < 65
+    assert left_of(spark, rows) == want
