@@ -3,6 +3,8 @@
 import importlib
 import random
 
+import pytest
+
 from millrace.llm import simhash
 
 
@@ -49,3 +51,18 @@ def test_near_copies_down_to_the_similarity_go(spark):
     want = greedy(rows)
     assert len(want) < 65
     assert left_of(spark, rows) == want
+
+
+@pytest.mark.parametrize("leads", [8, 1])
+def test_members_of_a_group_are_held_against_each_other(spark, leads):
+    """Chains of versions, each near the one before it and far from the first."""
+    rng, rows = random.Random(6), []
+    for c in range(4):
+        w = [f"c{c}w{rng.randrange(3000)}" for _ in range(600)]
+        for v in range(12):
+            rows.append((c + 4 * v, " ".join(w)))
+            at = rng.randrange(580)
+            w = [*w[:at], *(f"x{rng.randrange(10**6)}" for _ in range(20)), *w[at + 20 :]]
+    want = greedy(rows)
+    assert 4 < len(want) < 40
+    assert left_of(spark, rows, leads=leads) == want
