@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, table, text_batches
+from millrace.llm.common import checkpointed, fresh, table, text_batches
 
 WINDOW = 10
 #: Words of a shard, unless one document has more.
@@ -203,11 +203,16 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     """``docs`` with the words of the spans taken out of the text; a text without spans stays as it is, to the letter.
 
     What a cut brings together can be a phrase again, so a text that was cut is
-    searched again until it holds none of the block. Edge cases are those of
-    ``find``; no column is replaced but the text.
+    searched again until it holds none. A benchmark of several blocks is searched
+    whole before each cut, so the outcome doesn't depend on the blocks. Edge cases
+    are those of ``find``; no column is replaced but the text.
     """
     sc, schema = docs.sparkSession.sparkContext, docs.schema
     place = docs.columns.index(text)
+    blocks = _blocks(benchmark, item, item_text, block_chars)
+    block = next(blocks, None)
+    if next(blocks, None) is not None:
+        return _cut_in_rounds(docs, benchmark, text, item, item_text, window, block_chars)
 
     def cutting(told):
         def run(batches):
@@ -227,10 +232,29 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
 
         return run
 
-    df = text_batches(docs)
-    for block in _blocks(benchmark, item, item_text, block_chars):
-        df = df.mapInArrow(cutting(sc.broadcast(Phrases(block, window))), schema)
-    return df
+    return text_batches(docs).mapInArrow(cutting(sc.broadcast(Phrases(block, window))), schema) if block else docs
+
+
+def _cut_in_rounds(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, block_chars: int) -> DataFrame:
+    """``cut_spans`` over several blocks: rows with spans of any block are cut once and searched again by all."""
+    names = [fresh("c") for _ in docs.columns]
+    place = docs.columns.index(text)
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist())
+            new = pa.array([cut_words(t, [(x["start"], x["end"]) for x in spans]) for t, spans in rows], pa.binary()).cast(batch.column(place).type)
+            yield pa.RecordBatch.from_arrays([new if k == place else batch.column(k) for k in range(len(names))], names=names)
+
+    rest, out = docs.toDF(*names), None
+    while out is None or not rest.isEmpty():
+        found = checkpointed(find(rest, benchmark, names[place], item, item_text, None, window, block_chars))
+        clean = found.filter(F.size("spans") == 0).select(names)
+        out = clean if out is None else out.unionByName(clean)
+        rest = checkpointed(text_batches(found.filter(F.size("spans") > 0)).mapInArrow(cut, rest.schema))
+    return out.toDF(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from millrace.llm import simhash
+from millrace.llm import decontam, simhash
 
 
 def test_lines_of_documents_are_cut(spark):
@@ -66,3 +66,16 @@ def test_members_of_a_group_are_held_against_each_other(spark, leads):
     want = greedy(rows)
     assert 4 < len(want) < 40
     assert left_of(spark, rows, leads=leads) == want
+
+
+def test_cuts_do_not_depend_on_the_blocks_of_the_benchmark(spark):
+    """Windows of two blocks overlap, and a cut for the second brings together a phrase of the first."""
+    items = [(1, "a b c d e"), (2, "d e f g h"), (3, "p q r s t")]
+    docs = [(1, "x a b c d e f g h y"), (2, "x a b p q r s t c d e y"), (3, None), (4, "none here")]
+    d = spark.createDataFrame([(*r, 7, "k") for r in docs], "doc_id long, text string, spans long, items string")
+    b = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    for chars in (1, 100_000):
+        got = decontam.cut_spans(d, b, window=5, block_chars=chars)
+        assert got.schema == d.schema
+        assert {r.doc_id: r.text and r.text.split() for r in got.collect()} == {1: ["x", "y"], 2: ["x", "y"], 3: None, 4: ["none", "here"]}
+        assert all((r.spans, r["items"]) == (7, "k") for r in got.collect())
