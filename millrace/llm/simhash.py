@@ -17,6 +17,7 @@ them, and skips what is already connected. Components come from those forests.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -263,8 +264,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
 #: Documents whose keys are sent to all executors (50 bytes each), at most; more are met by a shuffle.
 BROADCAST_KEYS = 200_000
-#: Least hashes that make a bin, and bins of a document: two at a similarity of 0.8 meet in none with a chance of 3 in a million.
-ROWS, BANDS = 5, 32
+#: Least hashes that make a bin, and bins of a document: two at a similarity of 0.8 meet in none with a chance of 8 in a million, two at 0.3 in one with a chance of 4 in a thousand.
+ROWS, BANDS = 8, 64
 #: Members of a bin that all others of it are compared with in a round.
 LEADS = 8
 
@@ -284,6 +285,14 @@ def similarity(a: bytes | None, b: bytes | None, shingle: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+@lru_cache
+def factors():
+    """Odd factors, each of which orders hashes in another way."""
+    import numpy as np
+
+    return np.random.default_rng(5).integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def bins_of(data: bytes | None, shingle: int):
     """The ``BANDS`` bins of a text: hashes of ``ROWS`` least hashes of its set of shingles each. A text without words has one bin."""
     import numpy as np
@@ -294,8 +303,8 @@ def bins_of(data: bytes | None, shingle: int):
         return np.zeros(1, np.int64)
     digest = xxhash.xxh64_intdigest
     h = np.array(list({digest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))}), np.uint64)
-    by = np.random.default_rng(5).integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.min([(h[at : at + 1024, None] * by).min(axis=0) for at in range(0, len(h), 1024)], axis=0)
+    by = factors()
+    least = np.min([(h[at : at + 256, None] * by).min(axis=0) for at in range(0, len(h), 256)], axis=0)
     return np.array([digest(b"%d " % i + x.tobytes()) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
@@ -307,13 +316,14 @@ def meeting(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
 
         for batch in batches:
             got = pa.array([bins_of(x.as_py(), shingle) for x in batch.column(0).cast(pa.large_binary())], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], got], names=["id", "same", "bins"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], got], names=["id", "same", "node", "bins"])
 
-    given = text_batches(docs).select(F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("same"))
-    prints = checkpointed(given.mapInArrow(run, given.select("id", "same").schema.add("bins", ArrayType(LongType()))))
-    bins = prints.select(F.struct(F.col("id").isNull().alias("none"), "id", "same").alias("k"), F.explode("bins").alias("bin"))
+    given = text_batches(docs).select(F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("same"), F.monotonically_increasing_id().alias("node"))
+    prints = checkpointed(given.mapInArrow(run, given.drop("t").schema.add("bins", ArrayType(LongType()))))
+    bins = prints.select("node", F.explode("bins").alias("bin"))
     shared = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bin")
-    return checkpointed(bins.join(shared, "bin").select("k", "bin").distinct())
+    keys = prints.select("node", F.struct(F.col("id").isNull().alias("none"), "id", "same").alias("k"))
+    return checkpointed(bins.join(shared, "bin").join(keys, "node").select("k", "bin").distinct())
 
 
 def near_pairs(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
