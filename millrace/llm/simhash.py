@@ -267,7 +267,9 @@ BROADCAST_KEYS = 200_000
 #: Least hashes that make a bin, and bins of a document: two at a similarity of 0.8 meet in none with a chance of 8 in a million, two at 0.3 in one with a chance of 4 in a thousand.
 ROWS, BANDS = 8, 64
 #: Members of a bin that all others of it are compared with in a round.
-LEADS = 8
+LEADS = 32
+#: How far a similarity estimated from one bit of each least hash may fall short, in standard deviations, before texts are not compared.
+SIGMAS = 6.0
 
 
 def words_low(data: bytes | None) -> list[bytes]:
@@ -294,36 +296,57 @@ def factors():
 
 
 def bins_of(data: bytes | None, shingle: int):
-    """The ``BANDS`` bins of a text: hashes of ``ROWS`` least hashes of its set of shingles each. A text without words has one bin."""
+    """(bins, sketch) of a text: hashes of ``ROWS`` least hashes of its set of shingles for each bin, and one bit of every least hash. A text without words has one bin."""
     import numpy as np
     import xxhash
 
     words = words_low(data)
     if not words:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int64), np.zeros(ROWS * BANDS // 64, np.int64)
     digest = xxhash.xxh64_intdigest
     h = np.array(list({digest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))}), np.uint64)
     by = factors()
     least = np.min([(h[at : at + 256, None] * by).min(axis=0) for at in range(0, len(h), 256)], axis=0)
-    return np.array([digest(b"%d " % i + x.tobytes()) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    bins = np.array([digest(b"%d " % i + x.tobytes()) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    # A product's low bit is that of the hash, so a bit from the middle of another product is taken.
+    return bins, np.packbits(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(1)).astype(bool), bitorder="little").view(np.int64)
 
 
-def meeting(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(k, bin) of the documents that share a bin with another; k is (no id, id, hash of the text)."""
+def far_bits(least: float) -> int:
+    """Bits by which the sketches of two texts at a similarity of ``least`` may differ: they agree in (1 + least) / 2 of them on average."""
+    n, p = ROWS * BANDS, (1 - least) / 2
+    return int(n * p + SIGMAS * (n * p * (1 - p)) ** 0.5)
+
+
+def meeting(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """((k, bin), (k, sketch)) of the documents that share a bin with another; k is (no id, id, hash of the text)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = pa.array([bins_of(x.as_py(), shingle) for x in batch.column(0).cast(pa.large_binary())], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], got], names=["id", "same", "node", "bins"])
+            got = [bins_of(x.as_py(), shingle) for x in batch.column(0).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array([x[i] for x in got], pa.list_(pa.int64())) for i in (0, 1)]], names=["id", "same", "node", "bins", "sketch"])
 
     given = text_batches(docs).select(F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("same"), F.monotonically_increasing_id().alias("node"))
-    prints = checkpointed(given.mapInArrow(run, given.drop("t").schema.add("bins", ArrayType(LongType()))))
+    prints = checkpointed(given.mapInArrow(run, given.drop("t").schema.add("bins", ArrayType(LongType())).add("sketch", ArrayType(LongType()))))
     bins = prints.select("node", F.explode("bins").alias("bin"))
     shared = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bin")
     keys = prints.select("node", F.struct(F.col("id").isNull().alias("none"), "id", "same").alias("k"))
-    return checkpointed(bins.join(shared, "bin").join(keys, "node").select("k", "bin").distinct())
+    linked = checkpointed(bins.join(shared, "bin").join(keys, "node").select("k", "bin").distinct())
+    # Equal keys are equal texts, so any of their sketches will do.
+    sketches = prints.select(F.struct(F.col("id").isNull().alias("none"), "id", "same").alias("k"), "sketch").dropDuplicates(["k"])
+    return linked, sketches
+
+
+def alike(pairs: DataFrame, sketches: DataFrame, bits: int) -> DataFrame:
+    """Those of the pairs (k, lead) whose sketches differ in ``bits`` at most."""
+    sent = F.broadcast if pairs.count() <= BROADCAST_KEYS else (lambda d: d)
+    of_lead = sketches.select(F.col("k").alias("lead"), F.col("sketch").alias("other"))
+    near = sketches.join(sent(pairs), "k").select("k", "lead", "sketch")
+    near = near.join(of_lead, "lead")
+    differ = F.aggregate(F.zip_with("sketch", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    return checkpointed(near.filter(differ <= bits).select("k", "lead"))
 
 
 def near_pairs(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
@@ -367,19 +390,38 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     In the order of ids, a document goes if the set similarity of its shingles
     with one that stays is ``least`` or more; so no two that are compared and
     stay are that similar, whatever group they are of. Compared are documents
-    that share a bin of least hashes. In a round the first ``leads`` of each bin
-    are compared with all of it, so pairs grow with the members, not with their
-    square; what is not settled then goes to another round. Rows of one id and
-    one text are one document here. Edge cases are those of ``dedup``.
+    that share a bin of least hashes and whose sketches don't rule it out. A
+    round has two steps. The documents that are the first of each of their bins
+    stay for certain; the others of those bins are compared with them, which
+    settles large groups of copies by one comparison a member. Then the first
+    ``leads`` of each bin are compared with all of it. So pairs grow with the
+    members, not with their square; what is not settled goes to another round.
+    Rows of one id and one text are one document here. Edge cases are those of
+    ``dedup``.
     """
-    linked, gone = meeting(docs, doc_id, text, shingle), None
+    linked, sketches = meeting(docs, doc_id, text, shingle)
+    gone, bits = None, far_bits(least)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        return near_pairs(docs, alike(checkpointed(pairs.filter(F.col("k") > F.col("lead")).select("k", "lead").distinct()), sketches, bits), doc_id, text, shingle, least)
+
+    def without(linked: DataFrame, *settled: DataFrame) -> DataFrame:
+        for s in settled:
+            linked = linked.join(s, "k", "left_anti")
+        return checkpointed(linked)
+
+    first = F.row_number().over(W.partitionBy("bin").orderBy("k"))
     while not linked.isEmpty():
-        first = F.row_number().over(W.partitionBy("bin").orderBy("k"))
+        ahead = checkpointed(linked.withColumn("rank", first).filter(F.col("rank") == 1).select("bin", F.col("k").alias("lead")))
+        bins_in, bins_led = linked.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ahead.groupBy(F.col("lead").alias("k")).agg(F.count(F.lit(1)).alias("led"))
+        stay = checkpointed(bins_led.join(bins_in, "k").filter("led = n").select("k"))
+        new = checkpointed(close(linked.join(ahead.join(stay.select(F.col("k").alias("lead")), "lead", "left_semi"), "bin")).select("k").distinct())
+        gone = new if gone is None else gone.unionByName(new)
+        linked = without(linked, new, stay)
         ahead = checkpointed(linked.withColumn("rank", first).filter(F.col("rank") <= leads).select("bin", F.col("k").alias("lead")))
-        pairs = checkpointed(linked.join(ahead, "bin").filter(F.col("k") > F.col("lead")).select("k", "lead").distinct())
         unsure = checkpointed(linked.join(ahead.withColumnRenamed("lead", "k"), ["bin", "k"], "left_anti").select("k").distinct())
-        new, open_pairs = settle(near_pairs(docs, pairs, doc_id, text, shingle, least), unsure)
-        gone = new if gone is None else gone.unionByName(new)
+        new, open_pairs = settle(close(linked.join(ahead, "bin")), unsure)
+        gone = gone.unionByName(new)
         rest = unsure.unionByName(open_pairs.select("k")).distinct().join(new, "k", "left_anti")
         linked = checkpointed(linked.join(rest, "k", "left_semi"))
     if gone is None:
