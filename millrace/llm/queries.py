@@ -20,6 +20,7 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.SQL,
     "op5_line_dedup": line_dedup.SQL,
+    "op7_chat_formatting": chat.SQL,
     "op8_decontamination": decontam.SQL,
     "op10_top_k": kd_search.SQL,
 }
