@@ -1,60 +1,59 @@
 """Quality classifier by co-training of two views.
 
 The text view reads what is written: hashed words and word shapes, linear in
-their shares of the text. The page view reads what a crawler records of a page:
-language, source, lengths, line and character counts, repetition. Each is a
-logistic model trained in numpy. In every round each view names the documents
-of an unlabelled pool that it is surest of, with the label it gives them, and
+their shares of the text. The page view reads no word: language, source, the
+number of characters, bytes for each, and how long the lines are. Each is a
+logistic model trained in numpy. In every round each view scores all unlabelled
+documents and names those it is surest of, with the label it gives them, and
 these pseudo-labels go to the other view's training set. At the end each view is
 calibrated on labelled rows that it has not seen, and the calibrated log odds are
 combined by a small logistic model fitted on the same rows.
 
-Learning holds a bounded sample at the driver: ``PER_CLASS`` labelled documents
-of each label and ``POOL`` unlabelled ones, picked by a hash of the id. Scoring
-reads all documents in one pass without a shuffle.
+The driver holds ``PER_CLASS`` labelled documents of each label, picked by a
+hash of the id, and the pseudo-labelled ones, ``PASSED`` of a label for a view
+and round; the rounds themselves read every document in a pass without a
+shuffle, which leaves an id and two numbers of each. So does scoring.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_bucket, fresh, table, text_batches
+from millrace.llm.common import checkpointed, crc_bucket, fresh, table, text_batches
 
-PER_CLASS, POOL = 3000, 4000
+PER_CLASS = 3000
 ROWS = 1 << 15
 #: Rounds, and the pseudo-labels of each label that a view passes on in one.
 ROUNDS, PASSED = 4, 150
 #: Words whose weights a task keeps.
 CACHE = 400_000
 
-_UPPER, _DIGIT, _SPACE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\x0b\x0c\r"
-_SYMBOL = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_LETTERS, _LOWERS, _DIGITS = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
+#: Letters and digits by their kind; what follows one of its kind is left out of a word's shape.
+_KINDS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+_AGAIN = re.compile(rb"([Aa0])\1+")
 
 
-def rows_of(word: bytes) -> tuple[int, int]:
-    """Rows of a word and of its shape."""
-    shape = _DIGITS.sub(b"0", _LOWERS.sub(b"a", _LETTERS.sub(b"A", word)))
-    return zlib.crc32(word.lower()) % ROWS, zlib.crc32(shape[:16], 7) % ROWS
+def rows_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each word, and of its shape."""
+    joined = b" ".join(words)
+    low, shapes = joined.lower().split(b" "), _AGAIN.sub(rb"\1", joined.translate(_KINDS)).split(b" ")
+    each = np.fromiter(map(zlib.crc32, low), np.int64, len(low)) % ROWS, np.array([zlib.crc32(s[:16], 7) for s in shapes], np.int64) % ROWS
+    return each if words else (each[0][:0], each[1][:0])
 
 
-def page_features(data: bytes, words: list[bytes], lang: str | None, source: str | None) -> np.ndarray:
-    """What is recorded of a page: logs of counts, shares, and one-hot hashes of language and source."""
-    n, w = max(len(data), 1), max(len(words), 1)
-    without = lambda chars: (len(data) - len(data.translate(None, chars))) / n
-    lines = data.count(b"\n") + 1
-    x = [
-        np.log1p(len(data)), np.log1p(len(words)), np.log1p(lines), np.log1p(len(data) / lines), min(len(data) / w, 40) / 10,
-        without(_UPPER), without(_DIGIT), without(_SYMBOL), without(_SPACE), data.count(b"|") / w,
-        len(set(words)) / w, sum(map(eq, words, words[1:])) / w, len(set(words)) / w**0.7,
-    ]
-    x += [v * v for v in x[:4]] + [v**0.5 for v in x[5:10]]
+def page_features(data: bytes, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """What is recorded of a page: logs of its lengths, shares of its lines by length, and one-hot hashes of language and source."""
+    ends = np.r_[np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data)]
+    lines = np.diff(np.r_[-1, ends]) - 1
+    n = len(data) if n_chars is None else max(n_chars, 0)
+    x = [np.log1p(n), np.log1p(len(data) / max(n, 1)), np.log1p(len(lines)), np.log1p(lines.mean()), np.log1p(lines.max()), np.log1p(lines.std()), np.log1p(lines[-1])]
+    x += [(lines < k).mean() for k in (1, 20, 80, 200)]
+    x += [v * v for v in x[:6]]
     hot = np.zeros(40)
     hot[zlib.crc32((lang or "").encode()) % 8] = 0.5
     hot[8 + zlib.crc32((source or "").encode()) % 32] = 0.5
@@ -114,11 +113,27 @@ class TextView:
 
 def text_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(rows, ten times their shares of the text)."""
-    rows = np.array([r for w in words for r in rows_of(w)], np.int64)
-    i, n = np.unique(rows, return_counts=True)
+    i, n = np.unique(np.concatenate(rows_of(words)), return_counts=True)
     return i, 10.0 * n / max(len(words), 1)
 
 
+class Weights:
+    """A word's weight in the text view, kept for the words seen."""
+
+    def __init__(self, text: TextView):
+        self.text, self.of = text, {}
+
+    def raw(self, texts: list[list[bytes]]) -> list[float]:
+        """What ``TextView.raw`` gives for the words of each text."""
+        if len(self.of) > CACHE:
+            self.of.clear()
+        seen, w = self.of, self.text.w
+        if new := list(set().union(*texts).difference(seen)):
+            words, shapes = rows_of(new)
+            seen.update(zip(new, (w[words] + w[shapes]).tolist()))
+        return [10.0 * sum(map(seen.__getitem__, t)) / max(len(t), 1) + self.text.shift for t in texts]
+
+
 class CoTrained:
     """Both views, their calibration, and how they are combined."""
 
@@ -132,31 +147,29 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def learn(texts, pages, y, part, pool_texts, pool_pages, rounds: int = ROUNDS, passed: int = PASSED) -> CoTrained:
-    """Co-train on labelled documents (those with ``part`` 1 calibrate) and an unlabelled pool."""
+def learn(texts, pages, y, part, ask=None, rounds: int = ROUNDS, passed: int = PASSED) -> CoTrained:
+    """Co-train on labelled documents (those with ``part`` 1 calibrate).
+
+    ``ask(text view, page view, n0, n1, round)`` gives (by the text view, by the
+    page view) the unlabelled documents each is surest of: (features of the text,
+    of the page, label), documents of an earlier round left out.
+    """
     y, part = np.asarray(y, float), np.asarray(part)
     own, rest = np.flatnonzero(part != 1), np.flatnonzero(part == 1)
     width = pages.shape[1]
     text, page = TextView(), Logistic(width)
-    given = [(list(own), []), (list(own), [])]  # labelled rows and (pool row, label) of the text view, of the page view
-    free, wanted = np.ones(len(pool_texts), bool), max(1, min(passed, len(own) // 20))
+    to_text, to_page = [], []
 
     def fit():
-        t_docs, t_y = [texts[i] for i in given[0][0]] + [pool_texts[i] for i, _ in given[0][1]], np.r_[y[given[0][0]], [v for _, v in given[0][1]]]
-        p_x, p_y = np.concatenate([pages[given[1][0]], pool_pages[[i for i, _ in given[1][1]]].reshape(-1, width)]), np.r_[y[given[1][0]], [v for _, v in given[1][1]]]
-        text.fit(t_docs, t_y)
-        page.fit(p_x, p_y)
+        text.fit([texts[i] for i in own] + [t for t, _, _ in to_text], np.r_[y[own], [v for *_, v in to_text]])
+        page.fit(np.concatenate([pages[own], np.array([p for _, p, _ in to_page], float).reshape(-1, width)]), np.r_[y[own], [v for *_, v in to_page]])
 
     fit()
-    share = y[own].mean() if len(own) else 0.5
-    for _ in range(rounds):
-        for to, raw in ((1, text.raw(pool_texts)), (0, page.raw(pool_pages) if len(pool_pages) else np.zeros(0))):
-            order = np.argsort(raw, kind="stable")
-            order = order[free[order]]
-            n1, n0 = max(1, round(wanted * 2 * share)), max(1, round(wanted * 2 * (1 - share)))
-            low, high = [i for i in order[:n0] if raw[i] < -1], [i for i in order[::-1][:n1] if raw[i] > 1]
-            given[to][1].extend([(int(i), 0.0) for i in low] + [(int(i), 1.0) for i in high])
-            free[low] = free[high] = False
+    share, wanted = (y[own].mean() if len(own) else 0.5), max(1, min(passed, len(own) // 20))
+    for r in range(rounds if ask and len(own) else 0):
+        by_text, by_page = ask(text, page, max(1, round(wanted * 2 * (1 - share))), max(1, round(wanted * 2 * share)), r)
+        to_page += by_text
+        to_text += by_page
         fit()
     basis = rest if len(rest) and 0 < y[rest].sum() < len(rest) else own
     t, p = text.raw([texts[i] for i in basis]), page.raw(pages[basis]) if len(basis) else np.zeros(0)
@@ -165,79 +178,114 @@ def learn(texts, pages, y, part, pool_texts, pool_pages, rounds: int = ROUNDS, p
     return CoTrained(text, page, calibrations, Logistic(2, 1e-3).fit(np.clip(each, -10, 10), y[basis]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", held_out: int = 5, per_class: int = PER_CLASS, pool: int = POOL) -> CoTrained:
-    """Learn from rows whose crc32(id as text) mod ``held_out`` is not 0; those with remainder 1 calibrate.
+def _given(docs: DataFrame, text: str, lang: str, source: str, n_chars: str | None) -> tuple[DataFrame, list[str]]:
+    """``docs`` with what the views read in columns of their own names, and those names: data, lang, source, n_chars."""
+    names = [fresh(x) for x in ("data", "lang", "source", "chars")]
+    chars = F.col(n_chars).cast("long") if n_chars and n_chars in docs.columns else F.length(text).cast("long")
+    return text_batches(docs).withColumns(dict(zip(names, (F.col(text).cast("binary"), F.col(lang).cast("string"), F.col(source).cast("string"), F.coalesce(chars, F.lit(0)))))), names
 
-    An id whose labels contradict each other, a null label and an id without a
-    document teach nothing. Unlabelled documents of the pool are never held out.
-    """
-    bucket = crc_bucket(F.col("__id"), held_out)
-    every = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__y"), F.max(label).alias("__z"))
-    known = every.filter((F.col("__y") == F.col("__z")) & (bucket != 0))
-    picked = [known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class).select("__id", F.lit(y).alias("__y")) for y in (0, 1)]
-    ids = docs.select(F.col(doc_id).alias("__id")).filter(F.col("__id").isNotNull()).join(every.select("__id"), "__id", "left_anti").filter(bucket != 0)
-    picked.append(ids.orderBy(F.xxhash64("__id"), "__id").limit(pool).distinct().select("__id", F.lit(-1).alias("__y")))
-    chosen = picked[0].unionByName(picked[1]).unionByName(picked[2])
-    found = text_batches(docs).select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source")).join(F.broadcast(chosen), "__id")
-    found = found.select("__id", F.col("__y").cast("int").alias("y"), bucket.cast("int").alias("part"), "lang", "source", "t")
-
-    def features(batches):
+
+def _read(batch):
+    """(bytes, words, page features) of the rows of a batch that begins with the columns of ``_given``."""
+    import pyarrow as pa
+
+    data = [x.as_py() or b"" for x in batch.column(0).cast(pa.large_binary())]
+    pages = [page_features(d, *more) for d, *more in zip(data, *(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+    return [d.split() for d in data], np.array(pages, float).reshape(len(data), -1)
+
+
+def _features(found: DataFrame, names: list[str], keys: list[str]) -> list:
+    """Rows (the keys, features of text and page) at the driver, one of each id, the first key."""
+
+    def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            langs, sources, xs, ps = b.column(3).to_pylist(), b.column(4).to_pylist(), [], []
-            for i, t in enumerate(b.column(5).cast(pa.large_binary())):
-                data = t.as_py() or b""
-                words = data.split()
-                r, v = text_features(words)
-                xs.append(r.astype(np.uint16).tobytes() + v.astype(np.float32).tobytes())
-                ps.append(page_features(data, words, langs[i], sources[i]).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(xs, pa.binary()), pa.array(ps, pa.binary())], names=["id", "y", "part", "x", "p"])
-
-    kind = found.schema["__id"].dataType.simpleString()
-    rows = sorted(found.mapInArrow(features, f"id {kind}, y int, part int, x binary, p binary").collect(), key=lambda r: (r.id, r.x))
+            words, pages = _read(b)
+            each = [text_features(w) for w in words]
+            xs = pa.array([i.astype(np.uint16).tobytes() + v.astype(np.float32).tobytes() for i, v in each], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[4:], xs, pa.array([p.astype(np.float32).tobytes() for p in pages], pa.binary())], names=[*keys, "x", "p"])
+
+    schema = found.select(keys).schema.add("x", "binary").add("p", "binary")
+    rows = found.select(*names, *keys).mapInArrow(run, schema).groupBy(*keys).agg(F.min(F.struct("x", "p")).alias("f")).select(*keys, "f.x", "f.p").collect()
     unpack = lambda x: (np.frombuffer(x, np.uint16, len(x) // 6).astype(np.int64), np.frombuffer(x, np.float32, len(x) // 6, offset=len(x) // 6 * 2).astype(float))
-    width = len(page_features(b"", [], None, None))
-    pages = lambda own: np.array([np.frombuffer(r.p, np.float32) for r in own], float).reshape(-1, width)
-    own, rest = [r for r in rows if r.y >= 0], [r for r in rows if r.y < 0]
-    return learn([unpack(r.x) for r in own], pages(own), [r.y for r in own], [r.part for r in own], [unpack(r.x) for r in rest], pages(rest))
+    return [(*r[: len(keys)], unpack(r.x), np.frombuffer(r.p, np.float32).astype(float)) for r in sorted(rows, key=lambda r: r[0])]
 
 
-def score(docs: DataFrame, model: CoTrained, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] | None = None) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", n_chars: str | None = "n_chars", held_out: int = 5, per_class: int = PER_CLASS, rounds: int = ROUNDS, passed: int = PASSED) -> CoTrained:
+    """Learn from rows whose crc32(id as text) mod ``held_out`` is not 0; those with remainder 1 calibrate.
+
+    An id whose labels contradict each other, a null label and an id without a
+    document teach nothing; of rows of one id one is read. Unlabelled documents
+    are never held out. Equal scores go by id. Without a column ``n_chars`` the
+    text's length is taken.
+    """
+    i, y, z, part, read = (fresh(x) for x in ("id", "y", "z", "part", "read"))
+    bucket = crc_bucket(F.col(i), held_out)
+    every = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(i)).agg(F.min(label).alias(y), F.max(label).alias(z))
+    known = every.filter((F.col(y) == F.col(z)) & (bucket != 0))
+    picked = [known.filter(F.col(y) == v).orderBy(F.xxhash64(i), i).limit(per_class).select(i, F.lit(v).alias(y), bucket.cast("int").alias(part)) for v in (0, 1)]
+    given, names = _given(docs, text, lang, source, n_chars)
+    given = given.withColumn(read, F.col(doc_id))
+    own = _features(given.join(F.broadcast(picked[0].unionByName(picked[1])), F.col(read) == F.col(i)), names, [i, y, part])
+    width = len(page_features(b"", None, None, 0))
+    used: list = []
+
+    def ask(text_view, page_view, n0, n1, r):
+        def run(batches):
+            import pyarrow as pa
+
+            weights = Weights(text_view)
+            for b in batches:
+                words, pages = _read(b)
+                yield pa.RecordBatch.from_arrays([b.column(4), pa.array(weights.raw(words), pa.float64()), pa.array(page_view.raw(pages))], names=["id", "t", "p"])
+
+        kind = given.schema[read].dataType.simpleString()
+        free = given.filter(F.col(read).isNotNull() & (crc_bucket(F.col(read), held_out) != 0)).select(*names, read)
+        # Only an id and two numbers of each document are kept, so the labelled ones are left out after the pass.
+        free = free.mapInArrow(run, f"id {kind}, t double, p double").join(every.select(F.col(i).alias("id")), "id", "left_anti").groupBy("id").agg(F.min("t").alias("t"), F.min("p").alias("p"))
+        free = checkpointed(free.join(F.broadcast(spark.createDataFrame([(u,) for u in used], f"id {kind}")), "id", "left_anti") if used else free)
+        chosen: list[list] = []
+        for by in ("t", "p"):
+            low, high = free.filter(F.col(by) < -1).orderBy(by, "id").limit(n0 * 3 + n1), free.filter(F.col(by) > 1).orderBy(F.col(by).desc(), "id").limit(n1 * 3 + n0)
+            taken = set(used) | {k for k, _ in (chosen[0] if chosen else [])}
+            chosen.append([pair for d, v, n in ((low, 0.0, n0), (high, 1.0, n1)) for pair in [(x.id, v) for x in d.select("id").collect() if x.id not in taken][:n]])
+        used.extend(k for own in chosen for k, _ in own)
+        wanted = spark.createDataFrame([(k, by, v) for by, own in enumerate(chosen) for k, v in own], f"`{i}` {kind}, `{part}` int, `{y}` double")
+        rows = _features(given.join(F.broadcast(wanted), F.col(read) == F.col(i)), names, [i, part, y])
+        return tuple([(t, p, v) for _, k, v, t, p in rows if k == by] for by in (0, 1))
+
+    spark = docs.sparkSession
+    pages = np.array([r[4] for r in own], float).reshape(-1, width)
+    return learn([r[3] for r in own], pages, [r[1] for r in own], [r[2] for r in own], ask, rounds, passed)
+
+
+def score(docs: DataFrame, model: CoTrained, text: str = "text", lang: str = "lang", source: str = "source", n_chars: str | None = "n_chars", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Columns ``keep`` (all, if None) with text_score, page_score and score, probabilities of label 1.
 
     A null text is an empty one: the text view gives its bias, the page view
     what it makes of a page without text. Null language and source are empty
-    names. Rows are scored each for itself. Columns of the three names are
+    names, a null n_chars is 0. Rows are scored each for itself, repeated ones
+    alike; very long texts are read whole. Columns of the three names are
     replaced. An empty table gives an empty table.
     """
     added = ("text_score", "page_score", "score")
     keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in added)
-    told, data, a, b = docs.sparkSession.sparkContext.broadcast(model), fresh("data"), fresh("lang"), fresh("source")
+    told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
-        m, cache = told.value, {}
-        w = m.text.w
-        for batch in batches:
-            langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            raw, pages = np.zeros(batch.num_rows), np.zeros((batch.num_rows, len(m.page.mean)))
-            for i, t in enumerate(batch.column(0).cast(pa.large_binary())):
-                content = t.as_py() or b""
-                words = content.split()
-                if len(cache) > CACHE:
-                    cache.clear()
-                for x in set(words).difference(cache):
-                    r, s = rows_of(x)
-                    cache[x] = float(w[r] + w[s])
-                raw[i] = 10.0 * sum(map(cache.__getitem__, words)) / max(len(words), 1) + m.text.shift
-                pages[i] = page_features(content, words, langs[i], sources[i])
-            out = m.scores(raw, m.page.raw(pages)) if batch.num_rows else np.zeros((0, 3))
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *[pa.array(np.ascontiguousarray(out[:, k])) for k in range(3)]], names=[*batch.schema.names[3:], *added])
-
-    given = text_batches(docs).select(F.col(text).cast("binary").alias(data), F.col(lang).cast("string").alias(a), F.col(source).cast("string").alias(b), *keep)
-    schema = given.drop(data, a, b).schema
+        m = told.value
+        weights = Weights(m.text)
+        for b in batches:
+            words, pages = _read(b)
+            out = m.scores(np.array(weights.raw(words)), m.page.raw(pages)) if b.num_rows else np.zeros((0, 3))
+            yield pa.RecordBatch.from_arrays([*b.columns[4:], *[pa.array(np.ascontiguousarray(out[:, k])) for k in range(3)]], names=[*b.schema.names[4:], *added])
+
+    given, names = _given(docs, text, lang, source, n_chars)
+    given = given.select(*names, *keep)
+    schema = given.drop(*names).schema
     for name in added:
         schema = schema.add(name, "double")
     return given.mapInArrow(run, schema)
