@@ -1,8 +1,10 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
 A file's own licence is the template nearest to one of its headers: every line,
-and every run of lines without a blank one, that could reach the threshold. A
-file named like a licence file also stands for its directory. A file without a
+every run of lines without a blank one, however long, and every piece of a run of
+2, 3, 4, 6, 8, 12, ... lines (pieces of one length overlap by half), that could
+reach the threshold. So a wrapped header is also found where code follows without
+a blank line. A file named like a licence file also stands for its directory. A file without a
 licence of its own inherits that of the nearest ancestor directory with a
 licence file.
 
@@ -31,8 +33,6 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpointed, fresh, table, text_batches
 
 THRESHOLD = 0.6
-#: Lines of a run that are joined to one header, at most; longer runs are read in pieces of as many, overlapping by half.
-BLOCK_LINES = 40
 #: Directories that are sent to all executors, at most.
 BROADCAST_DIRS = 100_000
 
@@ -132,27 +132,33 @@ class Scanner:
         return (best[1], best[0]) if best else (None, None)
 
     def headers(self, low: bytes):
-        """Spans of the lines with an anchor, and of the runs of lines around them."""
+        """Spans of the lines with an anchor, of the runs of lines around them, and of the pieces of those."""
         starts = np.array([0, *(m.end() for m in re.finditer(rb"\n", low))], np.int64)
         ends = np.r_[starts[1:] - 1, len(low)]
-        hit = sorted({int(np.searchsorted(starts, m.start(), side="right")) - 1 for m in self.find.finditer(low)})
-        blank = None
-        seen = set()
-        for i in hit:
+        hit = np.unique(np.searchsorted(starts, [m.start() for m in self.find.finditer(low)], side="right") - 1)
+        blank = np.array([not low[a:b].strip() for a, b in zip(starts.tolist(), ends.tolist())])
+        gaps = np.r_[-1, np.flatnonzero(blank), len(starts)]
+        for i in hit.tolist():
             yield int(starts[i]), int(ends[i])
-            if blank is None:
-                blank = np.array([not low[a:b].strip() for a, b in zip(starts.tolist(), ends.tolist())])
-                gaps = np.r_[-1, np.flatnonzero(blank), len(starts)]
-            k = int(np.searchsorted(gaps, i, side="left"))
-            first, last = int(gaps[k - 1]) + 1, int(gaps[k]) - 1
-            half = BLOCK_LINES // 2
-            for a in range(first, last + 1, half):
-                b = min(a + BLOCK_LINES - 1, last)
-                if a <= i <= b and b > a and (a, b) not in seen:
-                    seen.add((a, b))
+        for first, last in sorted({(int(gaps[k - 1]) + 1, int(gaps[k]) - 1) for k in np.searchsorted(gaps, hit, side="left")}):
+            if last > first:
+                yield int(starts[first]), int(ends[last])
+            for a, b in pieces(first, last):
+                if np.searchsorted(hit, a) < np.searchsorted(hit, b, side="right"):
                     yield int(starts[a]), int(ends[b])
 
 
+def pieces(first: int, last: int):
+    """Stretches (of lines first to last, both included) of 2, 3, 4, 6, 8, 12, ... of them, each half a length after the one before."""
+    size = 2
+    while size <= last - first:
+        for n in (size, size * 3 // 2):
+            if n <= last - first:
+                for a in range(first, last - n + 1 + max(1, n // 2), max(1, n // 2)):
+                    yield min(a, last - n + 1), min(a, last - n + 1) + n - 1
+        size *= 2
+
+
 def holding(files: DataFrame, text: str) -> tuple[int, dict[bytes, int]]:
     """(files, files that hold each term of the templates), over all files."""
 

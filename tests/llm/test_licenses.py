@@ -27,6 +27,7 @@ def brute(rows, threshold):
             else:
                 if len(run) > 1:
                     units.append("\n".join(run))
+                units += ["\n".join(run[a : b + 1]) for a, b in licenses.pieces(0, len(run) - 1)]
                 run = []
         for u in units:
             v = vec(u)
@@ -95,3 +96,25 @@ def test_parent(spark, path, want):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(licenses.parent(F.lit(path))).first()[0] == want
+
+
+def test_pieces_cover_a_run():
+    for n in (1, 2, 3, 4, 5, 9, 40, 101):
+        got = list(licenses.pieces(0, n - 1))
+        assert all(0 <= a < b < n and b - a + 1 < n for a, b in got)
+        for length in {b - a + 1 for a, b in got}:
+            assert {x for a, b in got if b - a + 1 == length for x in range(a, b + 1)} == set(range(n))
+
+
+def test_wrapped_headers_and_long_runs():
+    """A header wrapped over lines with code right behind it, and one spread over more than forty lines."""
+    mit = licenses.TEMPLATES["MIT"][1]
+    words = mit.split()
+    wrapped = "\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+    code = "\n".join(f"import module{i} as m{i}" for i in range(200))
+    scanner = licenses.Scanner(1000, {})
+    for text in (wrapped + "\n" + code, code + "\n" + wrapped + "\n" + code):
+        name, score = scanner.scan(text.encode())
+        assert name == "MIT" and score > 0.8
+    name, score = scanner.scan("\n".join(words).encode())
+    assert len(words) > 45 and name == "MIT" and score == pytest.approx(1)
