@@ -61,14 +61,15 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
 
     Null text has size 0, and so has an empty one; such rows take nothing. A
     null source is a source of its own and comes last. Repeated rows are rows
-    of their own: rows equal in id and size are interchangeable, and which of
-    them is taken once more is settled by the hash of the text. Columns other
+    of their own. The random order is that of a hash of seed, id and text, so
+    rows of one id, or without one, are spread like any others; rows that agree in
+    id, source and text are interchangeable. Columns other
     than those named are not read, so their names don't matter. An empty table
     gives an empty table.
     """
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), key.alias("__key"), F.xxhash64(text).alias("__same"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), key.alias("__key"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
     slim = checkpointed(slim)
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     aims = checkpointed(targets(totals, weights, share, max_epochs))
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     earlier = W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("source", "__bucket", F.coalesce(F.sum("__in_bucket").over(earlier), F.lit(0)).alias("__before"))
     rows = null_safe_join(rows, sums, ["source", "__bucket"])
-    inside = W.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "size", "__same").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     middle = F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / F.lit(2.0)
     part = F.col("target") - F.floor("__ratio") * F.col("source_size")
     copies = (F.floor("__ratio") + F.when(middle <= part, 1).otherwise(0)).cast("int")
@@ -92,15 +93,18 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix reads them: each row as often as it is taken, with the column ``copy`` counting from 1.
 
-    Rows that agree in id and text are read together: as often in all as each of
-    them is taken. A column named ``copy`` is replaced.
+    Rows that agree in id, source and text are read together: as often in all as
+    each of them is taken, as copies of one of them, the least in the order of the
+    other columns that can be ordered. A column named ``copy`` is replaced.
     """
-    same, key = fresh("same"), fresh("key")
-    taken = mix(docs.withColumn(same, F.xxhash64("text")), keep=(same,), **how)
-    taken = taken.groupBy("doc_id", same).agg(F.sum("copies").alias("copy")).filter("copy > 0").withColumnsRenamed({"doc_id": key})
+    same, key, from_source = fresh("same"), fresh("key"), fresh("source")
+    source, text, doc_id = how.get("source", "source"), how.get("text", "text"), how.get("doc_id", "doc_id")
+    taken = mix(docs.withColumn(same, F.xxhash64(text)), keep=(same,), **how)
+    taken = taken.groupBy("doc_id", "source", same).agg(F.sum("copies").alias("copy")).filter("copy > 0").withColumnsRenamed({"doc_id": key, "source": from_source})
     own = [c for c in docs.columns if c != "copy"]
-    found = docs.select(own).join(taken, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(same)))
-    first = F.row_number().over(W.partitionBy("doc_id", same).orderBy(F.lit(0)))
+    found = docs.select(own).join(taken, docs[doc_id].eqNullSafe(F.col(key)) & docs[source].eqNullSafe(F.col(from_source)) & (F.xxhash64(docs[text]) == F.col(same)))
+    settled = [c for c in own if c not in (doc_id, source, text) and not any(x in docs.schema[c].dataType.simpleString() for x in ("map<", "variant"))]
+    first = F.row_number().over(W.partitionBy(doc_id, source, same).orderBy(*(settled or [F.lit(0)])))
     return found.withColumn(key, first).filter(F.col(key) == 1).select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copy"))).alias("copy"))
 
 
@@ -111,7 +115,7 @@ def query(spark, sf_dir):
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
