@@ -32,12 +32,18 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where that is unset
-    (tests, local mode) a temporary folder of this machine is used.
+    ``spark.checkpoint.dir`` names it on a cluster. Only a local session without
+    one takes a temporary folder of this machine; on a cluster that would be lost
+    with it, so there it is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

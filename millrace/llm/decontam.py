@@ -219,7 +219,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
             import pyarrow as pa
 
             for batch in batches:
-                texts = batch.column(place).cast(pa.binary()).to_pylist()
+                texts = batch.column(place).cast(pa.large_binary()).to_pylist()
                 todo = [i for i, t in enumerate(texts) if t]
                 while todo:
                     found = _search([texts[i] for i in todo], told.value)
@@ -244,7 +244,7 @@ def _cut_in_rounds(docs: DataFrame, benchmark: DataFrame, text: str, item: str,
         import pyarrow as pa
 
         for batch in batches:
-            rows = zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist())
+            rows = zip(batch.column(place).cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist())
             new = pa.array([cut_words(t, [(x["start"], x["end"]) for x in spans]) for t, spans in rows], pa.binary()).cast(batch.column(place).type)
             yield pa.RecordBatch.from_arrays([new if k == place else batch.column(k) for k in range(len(names))], names=names)
 
