@@ -9,7 +9,9 @@ in an occurrence; they part a document into runs, and runs shorter than the
 shortest phrase need no index.
 
 The benchmark is sent to the tasks in blocks of bounded size. One block is one
-pass; a larger benchmark adds passes, which carry the spans found so far along.
+pass; a larger benchmark adds passes, each over the written result of the one
+before, which carries the spans found so far. So a task holds one block, however
+large the benchmark is.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ WINDOW = 10
 #: Words of a shard, unless one document has more.
 SHARD_WORDS = 400_000
 #: Characters of the benchmark sent with one pass.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORDS = re.compile(rb"[^ ]+")
@@ -38,21 +40,25 @@ def words_of(data: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """Windows of a block of benchmark items, as word ids."""
+    """Windows of a block of benchmark items, as word ids: distinct rows, filled with 0 on the left."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], set[str]] = {}
-        for name, data in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(data)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                of.setdefault(tuple(words[i : i + window]), set()).add(name)
-        self.lengths = np.array([len(p) for p in of], np.int64)
-        self.rows = np.zeros((len(of), window), np.int64)
-        for r, p in zip(self.rows, of):
-            r[window - len(p) :] = p
-        self.items = [tuple(sorted(x)) for x in of.values()]
-        self.shortest = int(self.lengths.min()) if len(of) else 0
+        own = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(data)], np.int32) for _, data in items]
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        rows = [np.lib.stride_tricks.sliding_window_view(x, window) if len(x) >= window else np.r_[np.zeros(window - len(x), np.int32), x][None, :] for x in own if len(x)]
+        of = np.repeat([number[name] for (name, _), x in zip(items, own) if len(x)], [len(r) for r in rows]).astype(np.int32)
+        self.rows, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True) if rows else (np.zeros((0, window), np.int32), np.zeros(0, np.int64))
+        self.lengths = (self.rows > 0).sum(axis=1)
+        # Items of each row, one after the other.
+        pairs = np.unique(np.stack([which.ravel(), of], axis=1), axis=0) if rows else np.zeros((0, 2), np.int64)
+        self.of, self.starts = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
+        self.shortest = int(self.lengths.min()) if len(self.rows) else 0
+
+    def items(self, phrases: np.ndarray) -> set[str]:
+        """Names of the items that hold any of the phrases."""
+        return {self.names[k] for p in set(phrases.tolist()) for k in self.of[self.starts[p] : self.starts[p + 1]].tolist()}
 
 
 def search_shard(ids: np.ndarray, doc_ends: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +144,7 @@ def _pass(phrases, data: str, before: bool):
             sizes, spans, items = [], [], []
             for d, (size, phrase, start, length) in enumerate(_search(batch.column(data).cast(pa.large_binary()).to_pylist(), block)):
                 s, e = start, start + length
-                names = {x for p in set(phrase.tolist()) for x in block.items[p]}
+                names = block.items(phrase)
                 if before:
                     old = batch.column("spans")[d].as_py()
                     s, e = np.r_[s, [x["start"] for x in old]].astype(np.int64), np.r_[e, [x["end"] for x in old]].astype(np.int64)
@@ -186,11 +192,14 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in added)
     data = fresh("data")
     df = text_batches(docs).select(F.col(text).cast("binary").alias(data), *keep, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start: long, end: long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    sc, schema, first = docs.sparkSession.sparkContext, df.schema, True
+    sc, schema, told = docs.sparkSession.sparkContext, df.schema, None
     for block in _blocks(benchmark, item, item_text, block_chars):
-        df = df.mapInArrow(_pass(sc.broadcast(Phrases(block, window)), data, before=not first), schema)
-        first = False
-    if first:
+        if told:
+            df = checkpointed(df)
+            told.unpersist()
+        before, told = told is not None, sc.broadcast(Phrases(block, window))
+        df = df.mapInArrow(_pass(told, data, before), schema)
+    if not told:
         df = df.mapInArrow(_pass(sc.broadcast(Phrases([], window)), data, before=False), schema)
     return df.drop(data)
 

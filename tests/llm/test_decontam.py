@@ -91,3 +91,27 @@ def test_cut(spark):
     b = spark.createDataFrame([(1, "this one is")], "item_id long, text string")
     got = {r.doc_id: r.text for r in decontam.cut_spans(d, b).collect()}
     assert got == {1: "Keep,  (out) now.", 2: "none here"}
+
+
+def test_rows_of_phrases():
+    items = [("b", b"a b c d e"), ("a", b"b c d e"), ("b", b"x"), ("c", b""), ("a", b"b c d e f a b c")]
+    p = decontam.Phrases(items, 4)
+    word = {i: w.decode() for w, i in p.ids.items()}
+    got = {" ".join(word[x] for x in row if x): p.items(np.array([k])) for k, row in enumerate(p.rows.tolist())}
+    assert got == {"a b c d": {"b"}, "b c d e": {"a", "b"}, "c d e f": {"a"}, "d e f a": {"a"}, "e f a b": {"a"}, "f a b c": {"a"}, "x": {"b"}}
+    assert p.lengths.tolist() == [sum(x > 0 for x in row) for row in p.rows.tolist()] and p.shortest == 1
+
+
+def test_no_phrase_is_left_with_many_blocks(spark):
+    """Cuts bring words together; whatever the blocks, brute force finds nothing afterwards, and spans are the same."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(2, 5)))) for i in range(14)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    found = [sorted((r.doc_id, [tuple(x) for x in r.spans], r["items"]) for r in decontam.find(d, b, window=4, block_chars=c).collect()) for c in (1, 40, 10**6)]
+    assert found[0] == found[1] == found[2]
+    cut = [sorted(tuple(r) for r in decontam.cut_spans(d, b, window=4, block_chars=c).collect()) for c in (40, 10**6)]
+    assert cut[0] == cut[1]
+    grams = {tuple(t.split()[i : i + min(4, len(t.split()))]) for _, t in items for i in range(max(1, len(t.split()) - 3))}
+    assert not any(tuple(t.split()[i : i + len(g)]) == g for _, t in cut[0] for g in grams for i in range(len(t.split())))
