@@ -394,13 +394,62 @@ def per_row(df: DataFrame, name: str, f: Callable, columns: Sequence[str], *rest
     return df.withColumn(name, run(F.struct(*columns)))
 
 
+# The closed forms as plain column expressions over doubles: they stay in generated code and need no Python worker.
+
+
 def sln_column(cost: Column, salvage: Column, life: Column) -> Column:
     return (cost - salvage) / life
 
 
-def pmt_column(rate: Column, nper: Column, pv: Column) -> Column:
-    growth = F.pow(1 + rate, nper)
-    return F.when(rate == 0, -pv / nper).otherwise(-pv * growth * rate / (growth - 1))
+def syd_column(cost: Column, salvage: Column, life: Column, per: Column) -> Column:
+    return (cost - salvage) * (life - per + 1) * 2 / (life * (life + 1))
+
+
+def _annuity_column(rate: Column, nper: Column) -> Column:
+    return F.when(rate == 0, nper.cast("double")).otherwise((F.pow(1 + rate, nper) - 1) / rate)
+
+
+def pmt_column(rate: Column, nper: Column, pv: Column, fv: Column | float = 0.0, timing: int = END) -> Column:
+    return -(pv * F.pow(1 + rate, nper) + fv) / ((1 + rate * timing) * _annuity_column(rate, nper))
+
+
+def pv_column(rate: Column, nper: Column, pmt: Column, fv: Column | float = 0.0, timing: int = END) -> Column:
+    return -(pmt * (1 + rate * timing) * _annuity_column(rate, nper) + fv) / F.pow(1 + rate, nper)
+
+
+def fv_column(rate: Column, nper: Column, pmt: Column, pv: Column | float = 0.0, timing: int = END) -> Column:
+    return -(pmt * (1 + rate * timing) * _annuity_column(rate, nper) + F.pow(1 + rate, nper) * pv)
+
+
+def nper_column(rate: Column, pmt: Column, pv: Column, fv: Column | float = 0.0, timing: int = END) -> Column:
+    p = pmt * (1 + rate * timing) / rate
+    return F.when(rate == 0, -(pv + fv) / pmt).otherwise(F.log((p - fv) / (p + pv)) / F.log1p(rate))
+
+
+def ipmt_column(rate: Column, per: Column, nper: Column, pv: Column) -> Column:
+    """Interest of a period of a loan paid at the ends of periods."""
+    payment = pmt_column(rate, nper, pv)
+    return -(pv * F.pow(1 + rate, per - 1) + payment * _annuity_column(rate, per - 1)) * rate
+
+
+def ppmt_column(rate: Column, per: Column, nper: Column, pv: Column) -> Column:
+    return pmt_column(rate, nper, pv) - ipmt_column(rate, per, nper, pv)
+
+
+def effective_rate_column(nominal: Column, periods: Column) -> Column:
+    return F.pow(1 + nominal / periods, periods) - 1
+
+
+def nominal_rate_column(effective: Column, periods: Column) -> Column:
+    return (F.pow(1 + effective, 1 / periods) - 1) * periods
+
+
+def tbill_price_column(days: Column, discount: Column) -> Column:
+    return 100 * (1 - discount * days / 360)
+
+
+def tbill_yield_column(days: Column, price: Column) -> Column:
+    return (100 - price) / price * 360 / days
 
 
 def npv_by_group(df: DataFrame, rate: float, group: str, flow: str, period: str) -> DataFrame:

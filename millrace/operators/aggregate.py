@@ -77,7 +77,7 @@ def aggregate_column(df: DataFrame, source: str | None, op: str, order: Column |
     if op == "custom":
         if custom is None:
             raise ValueError("custom needs a function")
-        return F.pandas_udf(custom, "double")(c)
+        return F.pandas_udf(_of_series(custom), "double")(c)
     return {
         "sum": lambda: F.sum(x), "mean": lambda: F.avg(x), "median": lambda: F.percentile(sane, F.lit(0.5)), "min": lambda: F.min(sane), "max": lambda: F.max(sane),
         "count": lambda: F.count(c), "std": lambda: F.stddev_samp(x), "stdp": lambda: F.stddev_pop(x), "var": lambda: F.var_samp(x), "varp": lambda: F.var_pop(x),
@@ -85,6 +85,17 @@ def aggregate_column(df: DataFrame, source: str | None, op: str, order: Column |
     }[op]()
 
 
+def _of_series(custom: Callable) -> Callable:
+    """A function of a pandas Series as a grouped aggregate, however its own arguments are annotated."""
+    import pandas as pd
+
+    def run(s):
+        return float(custom(s))
+
+    run.__annotations__ = {"s": pd.Series, "return": float}
+    return run
+
+
 def group_aggregate(df: DataFrame, keys: list[str], aggs: Iterable[Agg], order_by: str | None = None, nan_on_empty: bool = False) -> DataFrame:
     """One row per group; null and NaN keys are groups. An empty aggregate is null, or NaN where asked for."""
     order = F.col(order_by) if order_by else (F.col(RID) if RID in df.columns else None)

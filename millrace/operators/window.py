@@ -127,10 +127,17 @@ class Rolling:
         return self._gated(x, lambda f: F.when(spread(f), F.try_divide(F.covar_pop(x, y).over(f), F.stddev_pop(x).over(f) * F.stddev_pop(y).over(f))), 2)
 
     def apply(self, c, fn: Callable) -> Sequence:
-        """A function of the list of the frame's cells, nulls included; NaN counts as an observation here."""
+        """A function of the list of the frame's cells, nulls included; NaN counts as an observation here. Frames go to Python in Arrow batches."""
         c = F.col(c) if isinstance(c, str) else c
         before, after = self.reach
-        udf = F.udf(fn, "double")
+
+        def over(frames):
+            import pandas as pd
+
+            out = (None if f is None else fn([None if v is None or v != v else v for v in f.tolist()] if f.dtype == object else f.tolist()) for f in frames)
+            return pd.Series([None if v is None else float(v) for v in out], dtype="float64")
+
+        udf = F.pandas_udf(_annotated(over), "double")
 
         def build(w):
             frame = w.rowsBetween(-before, after)
@@ -140,6 +147,13 @@ class Rolling:
         return Sequence(build, before, after)
 
 
+def _annotated(f: Callable) -> Callable:
+    import pandas as pd
+
+    f.__annotations__ = {"frames": pd.Series, "return": pd.Series}
+    return f
+
+
 @dataclass(frozen=True)
 class Expanding:
     """Frames from the first row on; a result needs ``min_obs`` numbers, 1 at least, and stands at missing cells too."""

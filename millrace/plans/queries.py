@@ -442,3 +442,7 @@ def _clusters(spark, d):
     tree, scan = multivariate.cut_tree(multivariate.hierarchical(x, "average"), k=min(3, len(x))), multivariate.dbscan(x, 2.0, 3)
     ids = [r[0] for r in t.orderBy("s_suppkey").select("s_suppkey").collect()]
     return spark.createDataFrame([(i, int(a), int(b)) for i, a, b in zip(ids, tree, scan)], "s_suppkey long, tree int, dbscan int")
+
+
+# The chained API, money and commands register themselves.
+from millrace.plans import table_queries  # noqa: E402, F401

@@ -39,7 +39,7 @@ class CommandError(ValueError):
 def command(*names: str, usage: str = ""):
     def add(f):
         for n in names:
-            COMMANDS[n] = (f, usage or n)
+            COMMANDS[n] = (f, f"{n}: {usage}" if usage else n)
         return f
 
     return add
@@ -167,17 +167,17 @@ class Session:
 # Building, reading, writing.
 
 
-@command("newdl", usage="newdl <values...> [as <var>]")
+@command("newdl", usage="make a list of the values given")
 def _newdl(s, a):
     return s.put(a, Series.of(s.spark, [literal(w) for w in a.words]))
 
 
-@command("newdt", usage="newdt <dl_vars...> [as <var>]")
+@command("newdt", usage="make a table with a column from each list named")
 def _newdt(s, a):
     return s.put(a, Table.of(s.spark, {w: s.series(w).values() for w in a.words}))
 
 
-@command("load", "read", usage="load <file> [sheet <name>] [headers true|false] [rownames true|false] [encoding <name>] [as <var>]")
+@command("load", "read", usage="read a CSV, JSON, Parquet or Excel file, told by its ending; options: headers, rownames (truth values), encoding, sheet")
 def _load(s, a):
     header, names, encoding, sheet = a.flag("headers", True), a.flag("rownames"), a.option("encoding"), a.option("sheet")
     path = a.take(0, "a file")
@@ -193,7 +193,7 @@ def _load(s, a):
     return s.put(a, Table(df), os.path.splitext(os.path.basename(path))[0] if not a.target else None)
 
 
-@command("save", usage="save <var> <file> [headers true|false] [rownames true|false] [bom true|false]")
+@command("save", usage="write TABLE to PATH in the format of its ending; options for text: headers, rownames, bom (truth values)")
 def _save(s, a):
     header, names, bom = a.flag("headers", True), a.flag("rownames"), a.flag("bom")
     t, path = s.table(a.take(0)), a.take(1, "a file")
@@ -209,7 +209,7 @@ def _save(s, a):
     return path
 
 
-@command("convert", usage="convert <input> <output>")
+@command("convert", usage="turn one file into another: CSV and Excel either way, or any readable format into any writable one")
 def _convert(s, a):
     source, to = a.take(0), a.take(1)
     if source.endswith(".xlsx"):
@@ -225,7 +225,7 @@ def _tmp(s, value) -> str:
     return "__convert"
 
 
-@command("db", usage="db connect <name> <dsn> | db list | db read <name> <query> [as <var>] | db write <name> <var> <table> [mode <fail|replace|append>]")
+@command("db", usage="databases. connect NAME URL keeps an address (catalog: Spark's own tables); list shows them; read NAME QUERY gives a table; write NAME TABLE TARGET stores one, mode being fail, replace or append")
 def _db(s, a):
     what = a.take(0)
     if what == "connect":
@@ -242,7 +242,7 @@ def _db(s, a):
     return a.take(3)
 
 
-@command("fetch", usage="fetch yahoo <ticker> <method> [params...] [as <var>]")
+@command("fetch", usage="ask a market service for SYMBOL's records of one KIND")
 def _fetch(s, a):
     from millrace.sources import market
 
@@ -252,7 +252,7 @@ def _fetch(s, a):
 # Looking.
 
 
-@command("show", usage="show <var> [N] [M]")
+@command("show", usage="print rows: the first 20, the first END, or those from START to END")
 def _show(s, a):
     n = [int(w) for w in a.words[1:3]]
     first, last = (0, n[0]) if len(n) == 1 else (n[0], n[1]) if n else (0, 20)
@@ -267,15 +267,15 @@ command("types")(lambda s, a: s.table(a.take(0)).types())
 command("vars")(lambda s, a: {k: type(v).__name__ for k, v in s.variables.items()})
 command("version")(lambda s, a: VERSION)
 command("history")(lambda s, a: list(s.history))
-command("help", usage="help [command]")(lambda s, a: COMMANDS[a.words[0]][1] if a.words else sorted(COMMANDS))
-command("get", usage="get <var> <row> <col>")(lambda s, a: s.table(a.take(0)).at(index(a.take(1)), index(a.take(2))))
-command("count", usage="count <var> [value]")(lambda s, a: s.series(a.take(0)).count(literal(a.words[1]) if len(a.words) > 1 else None))
+command("help", usage="names of all commands, or what one does")(lambda s, a: COMMANDS[a.words[0]][1] if a.words else sorted(COMMANDS))
+command("get", usage="the cell in a row (number or name) and a column (number or name)")(lambda s, a: s.table(a.take(0)).at(index(a.take(1)), index(a.take(2))))
+command("count", usage="how many values LIST has, or how many equal VALUE")(lambda s, a: s.series(a.take(0)).count(literal(a.words[1]) if len(a.words) > 1 else None))
 command("counter")(lambda s, a: s.series(a.take(0)).counter())
-command("find", usage="find <var> <value>")(lambda s, a: s.table(a.take(0)).find_rows(literal(a.take(1))))
+command("find", usage="numbers of the rows of TABLE with VALUE in any column")(lambda s, a: s.table(a.take(0)).find_rows(literal(a.take(1))))
 command("summary")(lambda s, a: s.table(a.take(0)).describe(include_all=True).toPandas().to_string())
 
 
-@command("describe", usage="describe <var> [by <cols>] [all true|false] [percentiles <p1,p2>] [as <var>]")
+@command("describe", usage="statistics of columns; options: by (columns to group on), all (columns of text too), percentiles (a list of shares or per cents)")
 def _describe(s, a):
     by, every, p = a.option("by"), a.flag("all"), a.option("percentiles")
     ps = [float(x) / (100 if float(x) > 1 else 1) for x in p.split(",")] if p else (0.25, 0.5, 0.75)
@@ -283,14 +283,14 @@ def _describe(s, a):
     return s.put(a, t.group_by(*by.split(",")).describe(ps) if by else t.describe(ps, every))
 
 
-@command("config", usage="config [key] [value]")
+@command("config", usage="show all settings or one; with a value, change it")
 def _config(s, a):
     if len(a.words) > 1:
         setattr(config, a.words[0], literal(a.words[1]))
     return getattr(config, a.words[0]) if a.words else dict(vars(config))
 
 
-@command("env", usage="env create|list|open|export|import|delete|info|rename|clear [name] [...]")
+@command("env", usage="environments of saved tables and history: create, list, open, export, import, delete, info, rename, clear")
 def _env(s, a):
     what, path = a.words[0] if a.words else "info", lambda n: os.path.join(s.home, n)
     if what == "list":
@@ -324,7 +324,7 @@ def _env(s, a):
     return name
 
 
-@command("run", usage="run <script>")
+@command("run", usage="run the commands in a file")
 def _run(s, a):
     with open(a.take(0)) as f:
         return s.run(f.read())
@@ -343,42 +343,42 @@ def _clear(s, a):
 # Changing tables.
 
 
-@command("drop", usage="drop <var>")
+@command("drop", usage="forget a variable")
 def _drop(s, a):
     s.get(a.take(0))
     return s.variables.pop(a.words[0])
 
 
-@command("rename", usage="rename <var> <new>")
+@command("rename", usage="give a variable another name")
 def _rename(s, a):
     s.variables[a.take(1)] = _drop(s, a)
     return s.variables[a.words[1]]
 
 
 command("clone")(lambda s, a: s.put(a, s.table(a.take(0)).clone(), f"{a.words[0]}_copy"))
-command("col", usage="col <var> <name|index> [as <var>]")(lambda s, a: s.put(a, s.table(a.take(0)).col(index(a.take(1)))))
-command("row", usage="row <var> <index|name> [as <var>]")(lambda s, a: s.put(a, Series.of(s.spark, [str(v) if v is not None else None for v in s.table(a.take(0)).row(index(a.take(1)))]) if a.target else s.table(a.take(0)).row(index(a.take(1)))))
-command("addcol", usage="addcol <var> <values...>")(lambda s, a: s.put(a, (t := s.table(a.take(0))).with_col(t._free("col"), [literal(w) for w in a.words[1:]]), a.words[0]))
-command("addrow", usage="addrow <var> <values...>")(lambda s, a: s.put(a, (t := s.table(a.take(0))).append_rows(Table.of(s.spark, dict(zip(t.columns, [[literal(w)] for w in a.words[1:]])))), a.words[0]))
-command("dropcol", usage="dropcol <var> <name|index...>")(lambda s, a: s.put(a, s.table(a.take(0)).drop_cols(*map(index, a.words[1:])), a.words[0]))
-command("droprow", usage="droprow <var> <index|name...>")(lambda s, a: s.put(a, s.table(a.take(0)).drop_rows(*map(index, a.words[1:])), a.words[0]))
-command("set", usage="set <var> <row> <col> <value>")(lambda s, a: s.put(a, s.table(a.take(0)).set(index(a.take(1)), index(a.take(2)), literal(a.take(3))), a.words[0]))
+command("col", usage="one column as a list")(lambda s, a: s.put(a, s.table(a.take(0)).col(index(a.take(1)))))
+command("row", usage="one row, by number or name")(lambda s, a: s.put(a, Series.of(s.spark, [str(v) if v is not None else None for v in s.table(a.take(0)).row(index(a.take(1)))]) if a.target else s.table(a.take(0)).row(index(a.take(1)))))
+command("addcol", usage="a new last column from values, one for each row")(lambda s, a: s.put(a, (t := s.table(a.take(0))).with_col(t._free("col"), [literal(w) for w in a.words[1:]]), a.words[0]))
+command("addrow", usage="a new last row from values, one for each column")(lambda s, a: s.put(a, (t := s.table(a.take(0))).append_rows(Table.of(s.spark, dict(zip(t.columns, [[literal(w)] for w in a.words[1:]])))), a.words[0]))
+command("dropcol", usage="take columns out, by number or name")(lambda s, a: s.put(a, s.table(a.take(0)).drop_cols(*map(index, a.words[1:])), a.words[0]))
+command("droprow", usage="take rows out, by number or name")(lambda s, a: s.put(a, s.table(a.take(0)).drop_rows(*map(index, a.words[1:])), a.words[0]))
+command("set", usage="change one cell")(lambda s, a: s.put(a, s.table(a.take(0)).set(index(a.take(1)), index(a.take(2)), literal(a.take(3))), a.words[0]))
 command("setcolnames")(lambda s, a: s.put(a, s.table(a.take(0)).set_names(a.words[1:]), a.words[0]))
 command("setrownames")(lambda s, a: s.put(a, s.table(a.take(0)).set_row_names(a.words[1:]), a.words[0]))
-command("swap", usage="swap <var> col|row <a> <b>")(lambda s, a: s.put(a, getattr(s.table(a.take(0)), f"swap_{a.take(1)}s")(index(a.take(2)), index(a.take(3))), a.words[0]))
+command("swap", usage="exchange two columns (col) or two rows (row)")(lambda s, a: s.put(a, getattr(s.table(a.take(0)), f"swap_{a.take(1)}s")(index(a.take(2)), index(a.take(3))), a.words[0]))
 command("transpose")(lambda s, a: s.put(a, s.table(a.take(0)).transpose(), a.words[0]))
-command("ccl", usage="ccl <var> <expression>")(lambda s, a: s.put(a, s.table(a.take(0)).ccl(a.formula(1)), a.words[0]))
-command("addcolccl", usage="addcolccl <var> <name> <expr>")(lambda s, a: s.put(a, s.table(a.take(0)).add_col(a.take(1), a.formula(2)), a.words[0]))
-command("filter", usage="filter <var> <expr> [as <var>]")(lambda s, a: s.put(a, s.table(a.take(0)).filter(a.formula(1)), a.words[0]))
+command("ccl", usage="run formula statements on TABLE")(lambda s, a: s.put(a, s.table(a.take(0)).ccl(a.formula(1)), a.words[0]))
+command("addcolccl", usage="a column NAME computed by a formula")(lambda s, a: s.put(a, s.table(a.take(0)).add_col(a.take(1), a.formula(2)), a.words[0]))
+command("filter", usage="rows for which a formula is true")(lambda s, a: s.put(a, s.table(a.take(0)).filter(a.formula(1)), a.words[0]))
 
 
-@command("replace", usage="replace <var> <old|nan|nil> <new>")
+@command("replace", usage="put NEW wherever OLD stands; nan and nil name missing values")
 def _replace(s, a):
     t, old, new = s.table(a.take(0)), a.take(1), literal(a.take(2))
     return s.put(a, t.replace_missing(new, nil=old == "nil", nan=old == "nan") if old in ("nan", "nil") else t.replace(literal(old), new), a.words[0])
 
 
-@command("clean", usage="clean <var> nan|nil|strings|outliers [k]")
+@command("clean", usage="drop rows with nan, nil or strings; outliers K drops what lies K deviations off in the first column")
 def _clean(s, a):
     t, what = s.table(a.take(0)), a.take(1)
     if what == "outliers":
@@ -386,22 +386,22 @@ def _clean(s, a):
     return s.put(a, t.drop_rows_with({"nan": "nan", "nil": "nil", "strings": "string"}[what]), a.words[0])
 
 
-@command("fillna", usage="fillna <var> mean|median|mode|forward|backward|interpolate [limit <n>] [cols <a,b>] [as <var>]")
+@command("fillna", usage="fill missing values by mean, median, mode, forward, backward or interpolate; options: limit (cells in a row), cols")
 def _fillna(s, a):
     limit, cols = int(a.option("limit", 0)), a.option("cols")
     return s.put(a, s.table(a.take(0)).fill(a.take(1), cols.split(",") if cols else None, limit), a.words[0])
 
 
-command("fillnan", usage="fillnan <var> mean [as <var>]")(lambda s, a: s.put(a, s.table(a.take(0)).fill("mean"), a.words[0]))
+command("fillnan", usage="fill missing values by the column's mean")(lambda s, a: s.put(a, s.table(a.take(0)).fill("mean"), a.words[0]))
 
 
-@command("merge", usage="merge <var1> <var2> <direction> <mode> [on <cols>] [as <var>]")
+@command("merge", usage="join two tables: horizontal with on (columns), or vertical, mode being inner, outer, left or right")
 def _merge(s, a):
     on = a.option("on")
     return s.put(a, s.table(a.take(0)).merge(s.table(a.take(1)), a.take(2), a.take(3), on.split(",") if on else None), a.words[0])
 
 
-@command("groupby", usage="groupby <var> by <col1>[,<col2>...] agg <col>:<op>[:<alias>] ... [as <var>]")
+@command("groupby", usage="group TABLE by columns after the word by; after agg, terms COLUMN:OPERATION or COLUMN:OPERATION:NAME")
 def _groupby(s, a):
     by = a.option("by")
     i = a.words.index("agg")
@@ -409,31 +409,31 @@ def _groupby(s, a):
     return s.put(a, s.table(a.take(0)).group_by(*by.split(",")).aggregate(*aggs))
 
 
-@command("pivot", usage="pivot <var> index <cols> columns <col> values <col> [agg <op>] [fillna <literal>] [sortcols true|false] [as <var>]")
+@command("pivot", usage="long to wide: index (columns that stay), columns (whose values become columns), values; options: agg, fillna, sortcols")
 def _pivot(s, a):
     rows, cols, values, agg, fill, order = a.option("index"), a.option("columns"), a.option("values"), a.option("agg"), a.option("fillna"), a.flag("sortcols")
     return s.put(a, s.table(a.take(0)).pivot(rows.split(","), cols, values, agg, literal(fill) if fill else None, order))
 
 
-@command("unpivot", usage="unpivot <var> idvars <cols> [valuevars <cols>] [varname <name>] [valuename <name>] [dropna true|false] [as <var>]")
+@command("unpivot", usage="wide to long: idvars (columns that stay); options: valuevars, varname, valuename, dropna")
 def _unpivot(s, a):
     ids, values, name, value, drop = a.option("idvars"), a.option("valuevars"), a.option("varname", "variable"), a.option("valuename", "value"), a.flag("dropna")
     return s.put(a, s.table(a.take(0)).unpivot(ids.split(","), values.split(",") if values else None, name, value, drop))
 
 
-@command("sort", usage="sort <var> <col> [asc|desc]")
+@command("sort", usage="order rows by a column, asc or desc")
 def _sort(s, a):
     return s.put(a, s.table(a.take(0)).sort((index(a.take(1)), a.words[2:3] != ["desc"])), a.words[0])
 
 
-@command("sample", usage="sample <var> <n>|frac <frac>|shuffle [replace true|false] [seed N] [as <var>]")
+@command("sample", usage="rows at random: a number, frac SHARE, or shuffle for all; options: replace, seed")
 def _sample(s, a):
     seed, again = int(a.option("seed", 0)), a.flag("replace")
     t, what = s.table(a.take(0)), a.take(1)
     return s.put(a, t.shuffle(seed) if what == "shuffle" else t.sample_frac(float(a.take(2)), again, seed) if what == "frac" else t.sample(int(what), again, seed))
 
 
-@command("split", usage="split <var> train <frac> [shuffle true|false] [seed N] as <trainVar> <testVar>")
+@command("split", usage="deal rows to two tables after as, the first with the share after train; options: shuffle, seed")
 def _split(s, a):
     words = a.words
     names = []
@@ -446,7 +446,7 @@ def _split(s, a):
     return both
 
 
-@command("encode", usage="encode <var> onehot|label|ordinal <col> [order <a,b>] [dropfirst true|false] [as <var>] | encode apply <var> <encoder_var>")
+@command("encode", usage="numbers for categories of COLUMN by onehot, label or ordinal (options: order, dropfirst); apply TABLE ENCODER uses a stored one")
 def _encode(s, a):
     if a.words[0] == "apply":
         return s.put(a, Table(s.get(a.take(2)).transform(s.table(a.take(1)).ordered())), a.words[1])
@@ -462,7 +462,7 @@ def _encode(s, a):
     return s.put(a, out, a.words[0])
 
 
-@command("scale", usage="scale fit std|minmax|robust|maxabs <var> <cols...> as <scaler> | scale apply|inverse <var> <scaler> [as <var>]")
+@command("scale", usage="fit std, minmax, robust or maxabs on columns and store the scaler; apply or inverse uses a stored one")
 def _scale(s, a):
     what = a.take(0)
     if what == "fit":
@@ -476,15 +476,15 @@ def _scale(s, a):
 # Lists: statistics, transforms, sequences.
 
 for _n in ("sum", "mean", "median", "stdev", "var", "min", "max", "range", "iqr"):
-    command(_n, usage=f"{_n} <var>")(lambda s, a, n=_n: getattr(s.series(a.take(0)), n)())
+    command(_n, usage=f"the {_n} of LIST")(lambda s, a, n=_n: getattr(s.series(a.take(0)), n)())
 command("mode")(lambda s, a: s.series(a.take(0)).mode())
-command("quartile", usage="quartile <var> <q>")(lambda s, a: s.series(a.take(0)).quartile(int(a.take(1))))
-command("percentile", usage="percentile <var> <p>")(lambda s, a: s.series(a.take(0)).percentile(float(a.take(1))))
+command("quartile", usage="quartile 1, 2 or 3 of LIST")(lambda s, a: s.series(a.take(0)).quartile(int(a.take(1))))
+command("percentile", usage="percentile of LIST, 0 to 100")(lambda s, a: s.series(a.take(0)).percentile(float(a.take(1))))
 for _n in ("normalize", "standardize", "reverse", "upper", "lower", "capitalize"):
-    command(_n, usage=f"{_n} <var> [as <var>]")(lambda s, a, n=_n: s.put(a, getattr(s.series(a.take(0)), n)(), a.words[0]))
+    command(_n, usage=f"LIST with {_n} done to every value")(lambda s, a, n=_n: s.put(a, getattr(s.series(a.take(0)), n)(), a.words[0]))
 command("parsenums")(lambda s, a: s.put(a, s.series(a.take(0)).parse_numbers(), a.words[0]))
 command("parsestrings")(lambda s, a: s.put(a, s.series(a.take(0)).parse_strings(), a.words[0]))
-command("rank", usage="rank <var> [asc|desc]")(lambda s, a: s.put(a, s.series(a.take(0)).rank(a.words[1:2] != ["desc"]), a.words[0]))
+command("rank", usage="ranks of the values, ties shared, asc or desc")(lambda s, a: s.put(a, s.series(a.take(0)).rank(a.words[1:2] != ["desc"]), a.words[0]))
 
 
 def _sequence(s, a, make):
@@ -492,10 +492,10 @@ def _sequence(s, a, make):
     return s.put(a, x.windowed(make(x.name)), a.words[0])
 
 
-command("shift", usage="shift <var> <periods> [fill <value>] [as <var>]")(lambda s, a: _sequence(s, a, (lambda fill: lambda c: window.shift(c, int(a.take(1)), fill))(literal(a.option("fill", "nil")))))
-command("diff", "diffn", usage="diff <var> [periods] [as <var>]")(lambda s, a: _sequence(s, a, lambda c: window.diff(c, int(a.words[1]) if len(a.words) > 1 else 1)))
-command("pctchange", usage="pctchange <var> <periods> [as <var>]")(lambda s, a: _sequence(s, a, lambda c: window.pct_change(c, int(a.words[1]) if len(a.words) > 1 else 1)))
-command("movavg", usage="movavg <var> <window> [as <var>]")(lambda s, a: _sequence(s, a, lambda c: Rolling(int(a.take(1))).mean(c)))
+command("shift", usage="values moved down by N places (up if negative); option: fill")(lambda s, a: _sequence(s, a, (lambda fill: lambda c: window.shift(c, int(a.take(1)), fill))(literal(a.option("fill", "nil")))))
+command("diff", "diffn", usage="each value less the one N places before")(lambda s, a: _sequence(s, a, lambda c: window.diff(c, int(a.words[1]) if len(a.words) > 1 else 1)))
+command("pctchange", usage="relative change against the value N places before")(lambda s, a: _sequence(s, a, lambda c: window.pct_change(c, int(a.words[1]) if len(a.words) > 1 else 1)))
+command("movavg", usage="means over a moving window of N values")(lambda s, a: _sequence(s, a, lambda c: Rolling(int(a.take(1))).mean(c)))
 
 
 def _cumulative(s, a, how):
@@ -505,16 +505,16 @@ def _cumulative(s, a, how):
 
 
 for _n, _how in (("cumsum", "sum"), ("cumprod", "product"), ("cummax", "max"), ("cummin", "min")):
-    command(_n, usage=f"{_n} <var> [as <var>]")(lambda s, a, h=_how: _cumulative(s, a, h))
+    command(_n, usage=f"running {_n[3:]} of LIST")(lambda s, a, h=_how: _cumulative(s, a, h))
 
 
-@command("rolling", usage="rolling <var> <window> <reducer> [minobs <n>] [center yes|no] [as <var>]")
+@command("rolling", usage="a moving window of N values under a reducer; options: minobs, center")
 def _rolling(s, a):
     least, center = int(a.option("minobs", 0)), a.flag("center")
     return _sequence(s, a, lambda c: getattr(Rolling(int(a.take(1)), least, center), a.take(2))(c))
 
 
-@command("expanding", usage="expanding <var> <minobs> <reducer> [as <var>]")
+@command("expanding", usage="all values so far under a reducer, from N values on")
 def _expanding(s, a):
     x = s.series(a.take(0))
     if a.take(2) == "median":
@@ -524,7 +524,7 @@ def _expanding(s, a):
     return s.put(a, Series(Table(t.df.select(RID, F.col("__e").alias(x.name))), x.name), a.words[0])
 
 
-@command("expsmooth", usage="expsmooth <var> <alpha> [as <var>]")
+@command("expsmooth", usage="exponential smoothing with a weight between 0 and 1")
 def _expsmooth(s, a):
     x = s.series(a.take(0))
     df = window.smoothing(x.table.ordered().select(RID, F.col(x.name).cast("double").alias(x.name)).withColumn("__k", F.lit(0)), x.name, float(a.take(1)), RID, ["__k"])
@@ -548,14 +548,14 @@ def _groups(s, names) -> DataFrame:
     return out
 
 
-command("corr", usage="corr <x> <y> [pearson|kendall|spearman]")(lambda s, a: S.CORRELATIONS[a.words[2] if len(a.words) > 2 else "pearson"](*_pair(s, a)))
-command("cov", usage="cov <x> <y>")(lambda s, a: S.covariance(*_pair(s, a)))
-command("corrmatrix", usage="corrmatrix <datatable> [pearson|kendall|spearman]")(lambda s, a: S.correlation_matrix(*s.grid(a.take(0)), method=a.words[1] if len(a.words) > 1 else "pearson"))
+command("corr", usage="correlation of two lists: pearson (if none is named), kendall or spearman")(lambda s, a: S.CORRELATIONS[a.words[2] if len(a.words) > 2 else "pearson"](*_pair(s, a)))
+command("cov", usage="sample covariance of two lists")(lambda s, a: S.covariance(*_pair(s, a)))
+command("corrmatrix", usage="correlations of all columns of TABLE with one another")(lambda s, a: S.correlation_matrix(*s.grid(a.take(0)), method=a.words[1] if len(a.words) > 1 else "pearson"))
 command("skewness")(lambda s, a: S.skewness(*s.series(a.take(0)).sample))
 command("kurtosis")(lambda s, a: S.kurtosis(*s.series(a.take(0)).sample))
 
 
-@command("ttest", usage="ttest single <x> <mu> | two <x> <y> [equal|welch] | paired <x> <y>")
+@command("ttest", usage="t-tests: single X MEAN, two X Y (equal or welch), paired X Y")
 def _ttest(s, a):
     kind = a.words.pop(0)
     if kind == "single":
@@ -563,7 +563,7 @@ def _ttest(s, a):
     return S.t_test_paired(*_pair(s, a)) if kind == "paired" else S.t_test_two(s.series(a.take(0)).sample, s.series(a.take(1)).sample, a.words[2:3] == ["equal"])
 
 
-@command("ztest", usage="ztest single <x> <mu> <sigma> [alternative] | two <x> <y> <sigma1> <sigma2> [alternative]")
+@command("ztest", usage="z-tests with known deviations: single X MEAN SD, two X Y SD SD; the side may follow")
 def _ztest(s, a):
     kind = a.words.pop(0)
     if kind == "single":
@@ -571,7 +571,7 @@ def _ztest(s, a):
     return S.z_test_two(s.series(a.take(0)).sample, s.series(a.take(1)).sample, float(a.take(2)), float(a.take(3)), a.words[4] if len(a.words) > 4 else "two-sided")
 
 
-@command("anova", usage="anova oneway <vars...> | twoway <a_levels> <b_levels> <cells...> | repeated <subjects...>")
+@command("anova", usage="analysis of variance: oneway LISTS, twoway LEVELS LEVELS CELLS, repeated LISTS")
 def _anova(s, a):
     kind = a.words.pop(0)
     if kind == "oneway":
@@ -582,13 +582,13 @@ def _anova(s, a):
     return S.anova_two_way(_groups(s, a.words[2:]).withColumns({"a": F.floor(F.col("g") / levels), "b": F.col("g") % levels}), "v", "a", "b")
 
 
-@command("ftest", usage="ftest var <x> <y> | levene <vars...> | bartlett <vars...>")
+@command("ftest", usage="variances: var X Y, levene LISTS, bartlett LISTS")
 def _ftest(s, a):
     kind = a.words.pop(0)
     return S.f_test_variance(s.series(a.take(0)).sample, s.series(a.take(1)).sample) if kind == "var" else {"levene": S.levene, "bartlett": S.bartlett}[kind](_groups(s, a.words), "v", "g")
 
 
-@command("chisq", usage="chisq gof <x> [p...] | indep <x> <y>")
+@command("chisq", usage="chi-square: gof X with expected shares, indep X Y")
 def _chisq(s, a):
     kind = a.words.pop(0)
     if kind == "gof":
@@ -596,7 +596,7 @@ def _chisq(s, a):
     return S.chi_square_independence(*_pair(s, a))
 
 
-@command("regression", usage="regression linear|poly|exp|log|logistic|poisson <y> <x...> [degree]")
+@command("regression", usage="fit linear, poly, exp, log, logistic or poisson of Y on the lists after it; poly takes its degree last")
 def _regression(s, a):
     kind = a.words.pop(0)
     degree = int(a.words.pop()) if kind == "poly" else 1
@@ -610,21 +610,21 @@ def _regression(s, a):
     return {"linear": lambda: regression.linear(df, y, xs), "poly": lambda: regression.polynomial(df, y, xs[0], degree), "exp": lambda: regression.exponential(df, y, xs[0]), "log": lambda: regression.logarithmic(df, y, xs[0]), "logistic": lambda: regression.logistic(df, y, xs), "poisson": lambda: regression.poisson(df, y, xs)}[kind]()
 
 
-@command("pca", usage="pca <var> <n>")
+@command("pca", usage="the first N principal components of TABLE")
 def _pca(s, a):
     return s.put(a, multivariate.pca(*s.grid(a.take(0)), int(a.take(1))))
 
 
-@command("kmeans", usage="kmeans <var> <k> [nstart <n>] [itermax <n>] [seed <n>] [as <var>]")
+@command("kmeans", usage="K clusters of rows by Lloyd's steps; options: nstart, itermax, seed")
 def _kmeans(s, a):
     n, steps, seed = int(a.option("nstart", 1)), int(a.option("itermax", 10)), int(a.option("seed", 1))
     return s.put(a, multivariate.kmeans(*s.grid(a.take(0)), int(a.take(1)), n, steps, seed))
 
 
-command("hclust", usage="hclust <var> <method> [as <var>]")(lambda s, a: s.put(a, multivariate.hierarchical(multivariate.rows_of(*s.grid(a.take(0)), RID), a.take(1))))
-command("cutree", usage="cutree <tree_var> k <n>|h <value> [as <var>]")(lambda s, a: s.put(a, multivariate.cut_tree(s.get(a.take(0)), **({"k": int(a.take(2))} if a.take(1) == "k" else {"height": float(a.take(2))}))))
-command("dbscan", usage="dbscan <var> <eps> <minpts> [as <var>]")(lambda s, a: s.put(a, multivariate.dbscan(multivariate.rows_of(*s.grid(a.take(0)), RID), float(a.take(1)), int(a.take(2)))))
-command("silhouette", usage="silhouette <var> <labels_var> [as <var>]")(lambda s, a: s.put(a, multivariate.silhouette(multivariate.rows_of(*s.grid(a.take(0)), RID), s.get(a.take(1)) if isinstance(s.get(a.take(1)), list) else s.series(a.take(1)).values())))
+command("hclust", usage="a tree of clusters by single, complete, average or Ward linkage")(lambda s, a: s.put(a, multivariate.hierarchical(multivariate.rows_of(*s.grid(a.take(0)), RID), a.take(1))))
+command("cutree", usage="labels from a tree: k for a number of clusters, h for a height")(lambda s, a: s.put(a, multivariate.cut_tree(s.get(a.take(0)), **({"k": int(a.take(2))} if a.take(1) == "k" else {"height": float(a.take(2))}))))
+command("dbscan", usage="density clusters with a radius and a least number of neighbours")(lambda s, a: s.put(a, multivariate.dbscan(multivariate.rows_of(*s.grid(a.take(0)), RID), float(a.take(1)), int(a.take(2)))))
+command("silhouette", usage="silhouette widths of rows under labels")(lambda s, a: s.put(a, multivariate.silhouette(multivariate.rows_of(*s.grid(a.take(0)), RID), s.get(a.take(1)) if isinstance(s.get(a.take(1)), list) else s.series(a.take(1)).values())))
 
 
 def _vectors(s, name: str) -> DataFrame:
@@ -642,12 +642,12 @@ def _knn(s, a, f, target):
     return s.put(a, f(train.join(y.table.ordered().select(RID, F.col(y.name).alias("y")), RID), test, "v", "y", int(a.take(3)), RID, RID, weighting))
 
 
-command("knn_classify", usage="knn_classify <train_var> <labels_var> <test_var> <k> [weighting <uniform|distance>] [as <var>]")(lambda s, a: _knn(s, a, multivariate.knn_classify, True))
-command("knn_regress", usage="knn_regress <train_var> <targets_var> <test_var> <k> [weighting <uniform|distance>] [as <var>]")(lambda s, a: _knn(s, a, multivariate.knn_regress, True))
-command("knn_neighbors", usage="knn_neighbors <train_var> <test_var> <k> [as <var>]")(lambda s, a: _knn(s, a, multivariate.nearest_neighbors, False))
+command("knn_classify", usage="label rows by their K nearest in TRAIN; option: weighting, uniform or distance")(lambda s, a: _knn(s, a, multivariate.knn_classify, True))
+command("knn_regress", usage="value rows by their K nearest in TRAIN; option: weighting, uniform or distance")(lambda s, a: _knn(s, a, multivariate.knn_regress, True))
+command("knn_neighbors", usage="places and distances of the K nearest rows in TRAIN")(lambda s, a: _knn(s, a, multivariate.nearest_neighbors, False))
 
 
-@command("plot", usage="plot line|bar|scatter|histogram|box|pie|heatmap <var> [columns...] [save <file>]")
+@command("plot", usage="a chart document: line, bar, scatter, histogram, box, pie or heatmap of columns; option: save")
 def _plot(s, a):
     path = a.option("save")
     kind, t = a.take(0), s.table(a.take(1))

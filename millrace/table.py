@@ -477,9 +477,50 @@ class Table:
         wide = [max(len(str(r[i])) for r in cells) for i in range(self.n_cols)]
         return "\n".join("  ".join(str(v).ljust(w) for v, w in zip(r, wide)).rstrip() for r in cells)
 
+    def show_types(self, first: int = 0, last: int | None = None) -> str:
+        """The type of each column, and a view of a range of rows."""
+        return "\n".join(f"{c}: {t}" for c, t in self.types().items()) + "\n" + self.show(first, last)
+
     def clone(self) -> "Table":
         return self._with(self.df)
 
+    def close(self) -> None:
+        """Give up what the cluster holds of the table."""
+        self.df.unpersist()
+
+    def guarded(self) -> "Guarded":
+        """A view whose failing steps leave the table as it is and are told by ``err``."""
+        return Guarded(self)
+
+
+class Guarded:
+    """A table in a chain that goes on after a failing step: the step is left out, its error is kept."""
+
+    def __init__(self, table: Table, error: Exception | None = None):
+        self.table, self.error = table, error
+
+    def err(self) -> Exception | None:
+        """The last error of the chain."""
+        return self.error
+
+    def clear_err(self) -> "Guarded":
+        return Guarded(self.table)
+
+    def __getattr__(self, name: str):
+        step = getattr(self.table, name)
+        if not callable(step):
+            return step
+
+        def run(*args, **kw):
+            try:
+                out = step(*args, **kw)
+            except Exception as e:  # noqa: BLE001  any fault of a step is told, none ends the chain
+                report("warning", "table", name, str(e))
+                return Guarded(self.table, e)
+            return Guarded(out, self.error) if isinstance(out, Table) else out
+
+        return run
+
 
 def _mapper(f):
     import pandas as pd
@@ -645,6 +686,25 @@ class Series:
     def mode(self) -> list:
         return sorted(r.mode for r in aggregate.modes(self.table.df, self.name).collect())
 
+    def _numbered(self, name: str) -> DataFrame:
+        return self.table.ordered().select(F.col(RID).alias("at"), F.col(self.name).alias(name))
+
+    def is_equal_to(self, other: "Series") -> bool:
+        """Whether both hold the same values in the same order: one full join on the place."""
+        met = self._numbered("x").withColumn("a", F.lit(1)).join(other._numbered("y").withColumn("b", F.lit(1)), "at", "full")
+        return met.filter(F.col("a").isNull() | F.col("b").isNull() | ~F.col("x").eqNullSafe(F.col("y"))).isEmpty()
+
+    def is_the_same_as(self, other: "Series") -> bool:
+        """Whether both hold the same values as often, in any order."""
+        counts = [t.table.df.groupBy(F.col(t.name).alias("v")).agg(F.count(F.lit(1)).alias("n")) for t in (self, other)]
+        return counts[0].exceptAll(counts[1]).isEmpty() and counts[1].exceptAll(counts[0]).isEmpty()
+
+    def show(self, first: int = 0, last: int | None = None) -> str:
+        return self.table.select(self.name).show(first, last)
+
+    def show_types(self, first: int = 0, last: int | None = None) -> str:
+        return self.table.select(self.name).show_types(first, last)
+
     def find(self, value) -> list[int]:
         return [r[0] for r in self.table.ordered().filter(clean.equals(self.table.df, self.name, value)).orderBy(RID).select(RID).collect()]
 
