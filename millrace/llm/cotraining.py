@@ -11,8 +11,10 @@ combined by a small logistic model fitted on the same rows.
 
 The driver holds ``PER_CLASS`` labelled documents of each label, picked by a
 hash of the id, and the pseudo-labelled ones, ``PASSED`` of a label for a view
-and round; the rounds themselves read every document in a pass without a
-shuffle, which leaves an id and two numbers of each. So does scoring.
+and round. What the views read of every document, its distinct rows with their
+counts and its page features, is written once, about half the text's size; each
+round reads that in a pass without a shuffle, which leaves an id and two numbers
+of each document.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, crc_bucket, fresh, table, text_batches
+from millrace.llm.common import checkpointed, crc_bucket, fresh, table, text_batches, written
 
 PER_CLASS = 3000
 ROWS = 1 << 15
@@ -46,18 +48,30 @@ def rows_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return each if words else (each[0][:0], each[1][:0])
 
 
-def page_features(data: bytes, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """What is recorded of a page: logs of its lengths, shares of its lines by length, and one-hot hashes of language and source."""
-    ends = np.r_[np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data)]
-    lines = np.diff(np.r_[-1, ends]) - 1
-    n = len(data) if n_chars is None else max(n_chars, 0)
-    x = [np.log1p(n), np.log1p(len(data) / max(n, 1)), np.log1p(len(lines)), np.log1p(lines.mean()), np.log1p(lines.max()), np.log1p(lines.std()), np.log1p(lines[-1])]
-    x += [(lines < k).mean() for k in (1, 20, 80, 200)]
+def pages_of(data: list[bytes], langs: list, sources: list, n_chars: list) -> np.ndarray:
+    """What is recorded of each page: logs of its lengths, shares of its lines by length, and one-hot hashes of language and source."""
+    if not data:
+        return np.zeros((0, 57))
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    # All texts one after the other, each closed by a line end.
+    ends = np.flatnonzero(np.frombuffer(b"\n".join([*data, b""]), np.uint8) == 10)
+    lines = (np.diff(np.r_[-1, ends]) - 1).astype(float)
+    last = np.searchsorted(ends, np.cumsum(sizes + 1) - 1)
+    first = np.r_[0, last[:-1] + 1]
+    count = (last - first + 1).astype(float)
+    mean, square = np.add.reduceat(lines, first) / count, np.add.reduceat(lines * lines, first) / count
+    n = np.array([s if c is None else max(c, 0) for s, c in zip(sizes.tolist(), n_chars)], float)
+    x = [np.log1p(v) for v in (n, sizes / np.maximum(n, 1), count, mean, np.maximum.reduceat(lines, first), np.sqrt(np.maximum(square - mean * mean, 0)), lines[last])]
+    x += [np.add.reduceat((lines < k).astype(float), first) / count for k in (1, 20, 80, 200)]
     x += [v * v for v in x[:6]]
-    hot = np.zeros(40)
-    hot[zlib.crc32((lang or "").encode()) % 8] = 0.5
-    hot[8 + zlib.crc32((source or "").encode()) % 32] = 0.5
-    return np.r_[x, hot]
+    hot, at = np.zeros((len(data), 40)), np.arange(len(data))
+    hot[at, [zlib.crc32((v or "").encode()) % 8 for v in langs]] = 0.5
+    hot[at, [8 + zlib.crc32((v or "").encode()) % 32 for v in sources]] = 0.5
+    return np.c_[np.stack(x, axis=1), hot]
+
+
+def page_features(data: bytes, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    return pages_of([data], [lang], [source], [n_chars])[0]
 
 
 class Logistic:
@@ -111,12 +125,44 @@ class TextView:
         return self
 
 
+def text_counts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, how often each is met)."""
+    return np.unique(np.concatenate(rows_of(words)), return_counts=True)
+
+
 def text_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(rows, ten times their shares of the text)."""
-    i, n = np.unique(np.concatenate(rows_of(words)), return_counts=True)
+    i, n = text_counts(words)
     return i, 10.0 * n / max(len(words), 1)
 
 
+def pack(rows: np.ndarray, counts: np.ndarray) -> bytes:
+    """Three bytes for each row and count; a row that is met more often than a byte holds stands there several times."""
+    times = -(-counts // 255)
+    rows, last = np.repeat(rows, times), np.cumsum(times) - 1
+    parts = np.full(len(rows), 255, np.uint8)
+    parts[last] = counts - 255 * (times - 1)
+    return rows.astype("<u2").tobytes() + parts.tobytes()
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``text_features`` of what was packed; every word has two rows."""
+    n = len(data) // 3
+    rows, which = np.unique(np.frombuffer(data, "<u2", n).astype(np.int64), return_inverse=True)
+    counts = np.bincount(which, np.frombuffer(data, np.uint8, n, 2 * n), minlength=len(rows))
+    return rows, 10.0 * counts / max(counts.sum() / 2, 1)
+
+
+def packed_raw(text: "TextView", data: list[bytes]) -> np.ndarray:
+    """What ``TextView.raw`` gives for packed texts, all at once."""
+    sizes = np.array([len(d) // 3 for d in data], np.int64)
+    rows = np.frombuffer(b"".join(d[: 2 * n] for d, n in zip(data, sizes.tolist())), "<u2")
+    counts = np.frombuffer(b"".join(d[2 * n :] for d, n in zip(data, sizes.tolist())), np.uint8).astype(float)
+    doc = np.repeat(np.arange(len(data)), sizes)
+    words = np.bincount(doc, counts, minlength=len(data)) / 2
+    return 10.0 * np.bincount(doc, text.w[rows] * counts, minlength=len(data)) / np.maximum(words, 1) + text.shift
+
+
 class Weights:
     """A word's weight in the text view, kept for the words seen."""
 
@@ -190,26 +236,34 @@ def _read(batch):
     import pyarrow as pa
 
     data = [x.as_py() or b"" for x in batch.column(0).cast(pa.large_binary())]
-    pages = [page_features(d, *more) for d, *more in zip(data, *(batch.column(k).to_pylist() for k in (1, 2, 3)))]
-    return [d.split() for d in data], np.array(pages, float).reshape(len(data), -1)
+    return [d.split() for d in data], pages_of(data, *(batch.column(k).to_pylist() for k in (1, 2, 3)))
 
 
-def _features(found: DataFrame, names: list[str], keys: list[str]) -> list:
-    """Rows (the keys, features of text and page) at the driver, one of each id, the first key."""
+def _features(found: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """``keys`` with what the views read of each row: x (packed rows of the text) and p (page features)."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             words, pages = _read(b)
-            each = [text_features(w) for w in words]
-            xs = pa.array([i.astype(np.uint16).tobytes() + v.astype(np.float32).tobytes() for i, v in each], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[4:], xs, pa.array([p.astype(np.float32).tobytes() for p in pages], pa.binary())], names=[*keys, "x", "p"])
+            seen, xs = {}, []
+            new = list(set().union(*words))
+            for w, r, t in zip(new, *rows_of(new)):
+                seen[w] = r, t
+            for own in words:
+                met = np.array([seen[w] for w in own], np.int64).ravel()
+                xs.append(pack(*np.unique(met, return_counts=True)))
+            yield pa.RecordBatch.from_arrays([*b.columns[4:], pa.array(xs, pa.binary()), pa.array([p.astype("<f4").tobytes() for p in pages], pa.binary())], names=[*keys, "x", "p"])
 
     schema = found.select(keys).schema.add("x", "binary").add("p", "binary")
-    rows = found.select(*names, *keys).mapInArrow(run, schema).groupBy(*keys).agg(F.min(F.struct("x", "p")).alias("f")).select(*keys, "f.x", "f.p").collect()
-    unpack = lambda x: (np.frombuffer(x, np.uint16, len(x) // 6).astype(np.int64), np.frombuffer(x, np.float32, len(x) // 6, offset=len(x) // 6 * 2).astype(float))
-    return [(*r[: len(keys)], unpack(r.x), np.frombuffer(r.p, np.float32).astype(float)) for r in sorted(rows, key=lambda r: r[0])]
+    return found.select(*names, *keys).mapInArrow(run, schema)
+
+
+def _collected(features: DataFrame, keys: list[str]) -> list[tuple]:
+    """Rows (the keys, features of text and page) at the driver, one of each id, the first key."""
+    rows = features.groupBy(*keys).agg(F.min(F.struct("x", "p")).alias("f")).select(*keys, "f.x", "f.p").collect()
+    return [(*r[: len(keys)], unpack(bytes(r.x)), np.frombuffer(r.p, "<f4").astype(float)) for r in sorted(rows, key=lambda r: r[0])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", n_chars: str | None = "n_chars", held_out: int = 5, per_class: int = PER_CLASS, rounds: int = ROUNDS, passed: int = PASSED) -> CoTrained:
@@ -227,35 +281,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     picked = [known.filter(F.col(y) == v).orderBy(F.xxhash64(i), i).limit(per_class).select(i, F.lit(v).alias(y), bucket.cast("int").alias(part)) for v in (0, 1)]
     given, names = _given(docs, text, lang, source, n_chars)
     given = given.withColumn(read, F.col(doc_id))
-    own = _features(given.join(F.broadcast(picked[0].unionByName(picked[1])), F.col(read) == F.col(i)), names, [i, y, part])
+    own = _collected(_features(given.join(F.broadcast(picked[0].unionByName(picked[1])), F.col(read) == F.col(i)), names, [i, y, part]), [i, y, part])
     width = len(page_features(b"", None, None, 0))
-    used: list = []
+    spark, used, kind = docs.sparkSession, [], given.schema[read].dataType.simpleString()
+    # The labelled ones are among them here, so that no text is shuffled; they are left out where only ids and numbers are left.
+    every_one = written(_features(given.filter(F.col(read).isNotNull() & (crc_bucket(F.col(read), held_out) != 0)), names, [read]), "views") if rounds and len(own) else None
 
     def ask(text_view, page_view, n0, n1, r):
         def run(batches):
             import pyarrow as pa
 
-            weights = Weights(text_view)
             for b in batches:
-                words, pages = _read(b)
-                yield pa.RecordBatch.from_arrays([b.column(4), pa.array(weights.raw(words), pa.float64()), pa.array(page_view.raw(pages))], names=["id", "t", "p"])
+                pages = np.frombuffer(b"".join(b.column(2).to_pylist()), "<f4").reshape(-1, width).astype(float)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed_raw(text_view, b.column(1).to_pylist())), pa.array(page_view.raw(pages))], names=["id", "t", "p"])
 
-        kind = given.schema[read].dataType.simpleString()
-        free = given.filter(F.col(read).isNotNull() & (crc_bucket(F.col(read), held_out) != 0)).select(*names, read)
-        # Only an id and two numbers of each document are kept, so the labelled ones are left out after the pass.
-        free = free.mapInArrow(run, f"id {kind}, t double, p double").join(every.select(F.col(i).alias("id")), "id", "left_anti").groupBy("id").agg(F.min("t").alias("t"), F.min("p").alias("p"))
+        free = every_one.mapInArrow(run, f"id {kind}, t double, p double").join(every.select(F.col(i).alias("id")), "id", "left_anti").groupBy("id").agg(F.min("t").alias("t"), F.min("p").alias("p"))
         free = checkpointed(free.join(F.broadcast(spark.createDataFrame([(u,) for u in used], f"id {kind}")), "id", "left_anti") if used else free)
         chosen: list[list] = []
         for by in ("t", "p"):
             low, high = free.filter(F.col(by) < -1).orderBy(by, "id").limit(n0 * 3 + n1), free.filter(F.col(by) > 1).orderBy(F.col(by).desc(), "id").limit(n1 * 3 + n0)
-            taken = set(used) | {k for k, _ in (chosen[0] if chosen else [])}
+            taken = {k for k, _ in (chosen[0] if chosen else [])}
             chosen.append([pair for d, v, n in ((low, 0.0, n0), (high, 1.0, n1)) for pair in [(x.id, v) for x in d.select("id").collect() if x.id not in taken][:n]])
         used.extend(k for own in chosen for k, _ in own)
         wanted = spark.createDataFrame([(k, by, v) for by, own in enumerate(chosen) for k, v in own], f"`{i}` {kind}, `{part}` int, `{y}` double")
-        rows = _features(given.join(F.broadcast(wanted), F.col(read) == F.col(i)), names, [i, part, y])
+        rows = _collected(every_one.join(F.broadcast(wanted), F.col(read) == F.col(i)).select(i, part, y, "x", "p"), [i, part, y])
         return tuple([(t, p, v) for _, k, v, t, p in rows if k == by] for by in (0, 1))
 
-    spark = docs.sparkSession
     pages = np.array([r[4] for r in own], float).reshape(-1, width)
     return learn([r[3] for r in own], pages, [r[1] for r in own], [r[2] for r in own], ask, rounds, passed)
 

@@ -96,3 +96,25 @@ def test_pseudo_labels_come_from_all_documents(spark):
     finally:
         cotraining.learn = learn
     assert len(seen) == cotraining.ROUNDS and sum(map(sum, seen)) > 0
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(3)
+    rows, counts = np.arange(0, 3000, 7), rng.integers(1, 2000, 429)
+    data = cotraining.pack(rows, counts)
+    got = cotraining.unpack(data)
+    assert (got[0] == rows).all() and np.allclose(got[1], 10 * counts / (counts.sum() / 2))
+    view = cotraining.TextView()
+    view.w[:], view.shift = rng.normal(size=cotraining.ROWS), 0.3
+    empty = cotraining.pack(rows[:0], counts[:0])
+    assert np.allclose(cotraining.packed_raw(view, [data, empty, data]), view.raw([got, cotraining.unpack(empty), got]))
+
+
+def test_pages_together_are_those_one_by_one():
+    data = [b"", b"a\n\nbcd", b"\n", b"x" * 500 + b"\n" + b"y" * 30, b"\xc3\xa9"]
+    more = (["en", None, "fr", "en", ""], ["a", "b", None, "a", "c"], [0, 6, None, 531, 1])
+    got = cotraining.pages_of(data, *more)
+    assert np.allclose(got, [cotraining.page_features(*x) for x in zip(data, *more)])
+    lines = np.array([1, 0, 3.0])
+    assert got[1][:7] == pytest.approx(np.log1p([6, 1, 3, lines.mean(), 3, lines.std(), 3])) and got[1][7:11] == pytest.approx([1 / 3, 1, 1, 1])
+    assert cotraining.pages_of([], [], [], []).shape == (0, got.shape[1])
