@@ -497,8 +497,10 @@ def _aggregate(name: str, cells: list[tuple[Column, Value]]) -> Column:
         return F.when(F.size(s) > 0, (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)
     if one:
         return {"VAR": F.var_samp, "VARP": F.var_pop, "STDEV": F.stddev_samp, "STDEVP": F.stddev_pop}[name](xs[0])
-    s, q = add([F.coalesce(F.sum(x), zero()) for x in xs]), add([F.coalesce(F.sum(x * x), zero()) for x in xs])
-    v = F.try_divide(F.greatest(q - s * s / F.when(n > 0, n), zero()), n if name.endswith("P") else F.when(n > 1, n - 1))
+    # Merged moments: what each column has about its mean, and its mean about that of all.
+    mean = F.try_divide(add([F.coalesce(F.sum(x), zero()) for x in xs]), n)
+    about = add([F.coalesce(F.var_pop(x) * F.count(x) + F.count(x) * (F.avg(x) - mean) * (F.avg(x) - mean), zero()) for x in xs])
+    v = F.try_divide(about, F.when(n > 0, n) if name.endswith("P") else F.when(n > 1, n - 1))
     return F.sqrt(v) if name.startswith("ST") else v
 
 
@@ -793,3 +795,29 @@ def is_row_dependent(node: Node) -> bool:
     if node.kind == "access" and not any(n.kind == "index" for n in node.parts[1].walk()):
         return False
     return any(is_row_dependent(p) for p in node.parts)
+
+
+class MapContext:
+    """Formulas over lists in memory, one for each name: evaluated as the columns of a small table."""
+
+    def __init__(self, spark, columns: dict[str, list]):
+        self.spark, self.columns = spark, {k: list(v) for k, v in columns.items()}
+
+    def bind(self, name: str, values: list) -> None:
+        self.columns[name] = list(values)
+
+    def _table(self) -> DataFrame:
+        from millrace.table import Table
+
+        return Table.of(self.spark, self.columns).df
+
+    def evaluate(self, expression: str) -> list:
+        """The value of a formula in each row."""
+        return [r["\0value"] for r in with_column(self._table(), "\0value", expression, RID).orderBy(RID).select("`\0value`").collect()]
+
+    def execute(self, script: str) -> None:
+        """Run assignments; their columns are bound afterwards."""
+        out = execute(self._table(), script, RID)
+        names = [c for c in out.columns if c != RID]
+        rows = out.orderBy(RID).select(*[F.col(f"`{c}`") for c in names]).collect()
+        self.columns = {c: [r[i] for r in rows] for i, c in enumerate(names)}

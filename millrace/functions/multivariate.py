@@ -104,6 +104,41 @@ def _principal_axes(r, h, n):
     return vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
 
 
+def _least_residuals(r, n, max_iter, tol):
+    """Uniquenesses of the least squared residuals off the diagonal, by Newton steps.
+
+    For given uniquenesses the best loadings are the first axes of the reduced
+    matrix, and what is left is half the sum of squares of its other eigenvalues.
+    """
+
+    def left(psi):
+        values, vectors = np.linalg.eigh(r - np.diag(psi))
+        rest = np.argsort(-values)[n:]
+        return 0.5 * (values[rest] ** 2).sum(), values[rest], vectors[:, rest]
+
+    psi = np.clip(1 / np.diagonal(np.linalg.inv(r)), 0.005, 1)
+    now, values, vectors = left(psi)
+    for _ in range(max_iter):
+        gradient = -(vectors**2) @ values
+        free = ~(((psi <= 0.005) & (gradient > 0)) | ((psi >= 1) & (gradient < 0)))
+        if np.abs(gradient[free]).max(initial=0) < tol:
+            return _principal_axes(r, 1 - psi, n), True
+        curve = (vectors @ vectors.T) ** 2 + 1e-9 * np.eye(len(r))
+        step = np.zeros(len(r))
+        step[free] = np.linalg.solve(curve[np.ix_(free, free)], gradient[free])
+        size = 1.0
+        while size > 1e-8:
+            new = np.clip(psi - size * step, 0.005, 1)
+            then, new_values, new_vectors = left(new)
+            if then < now:
+                break
+            size /= 2
+        else:
+            return _principal_axes(r, 1 - psi, n), True
+        psi, now, values, vectors = new, then, new_values, new_vectors
+    return _principal_axes(r, 1 - psi, n), False
+
+
 def factor_analysis(df: DataFrame, columns: Sequence[str], n: int, extraction: str = "paf", rotation: str = "oblimin", max_iter: int = 500, tol: float = 1e-7) -> Factors:
     """Extraction by pca, paf, minres or ml; rotation none, of the varimax family, promax, or one of ``CRITERIA``."""
     d = complete(df, *columns)
@@ -111,7 +146,9 @@ def factor_analysis(df: DataFrame, columns: Sequence[str], n: int, extraction: s
     p, converged = len(columns), True
     if extraction == "pca":
         loadings = _principal_axes(r, np.ones(p), n)
-    elif extraction in ("paf", "minres"):
+    elif extraction == "minres":
+        loadings, converged = _least_residuals(r, n, max_iter, tol)
+    elif extraction == "paf":
         h = 1 - 1 / np.diagonal(np.linalg.inv(r))
         converged = False
         for _ in range(max_iter):

@@ -1,9 +1,9 @@
 """Grouped aggregation, list statistics and describe.
 
 Everything is a declarative aggregate, so Spark combines on the map side.
-``percentile`` is exact and holds the distinct values of a group; where a group
-may be very large, ``quantiles`` computes the same values by ranks over
-partitioned sums of counts instead.
+``percentile`` is exact and holds the distinct values of a group; for whole
+columns ``quantiles`` computes the same values by ranks over partitioned sums of
+counts instead.
 """
 
 from __future__ import annotations
@@ -150,6 +150,8 @@ def quantiles(df: DataFrame, column: str, probabilities: Iterable[float], kind:
     """
     from millrace.operators.ordering import number_rows, running
 
+    if not (probabilities := list(probabilities)):
+        return {}
     counts = df.select(number(df, column).alias("v")).filter("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     upto = running(number_rows(counts, "v"), {"upto": (F.col("n"), "sum")})
     n = upto.agg(F.max("upto")).first()[0]
@@ -167,24 +169,34 @@ def quantiles(df: DataFrame, column: str, probabilities: Iterable[float], kind:
     return {p: of[a] + (of[b] - of[a]) * f for p, (a, b, f) in ranks.items()}
 
 
-def column_stats(df: DataFrame, column: str) -> DataFrame:
-    """One row with the statistics of a numeric column: sum, mean, min, max, range, median, gmean, var, varp, stdev, stdevp, q1, q2, q3, iqr."""
+#: Statistics that come from the sorted values.
+RANKED = ("median", "q1", "q2", "q3", "iqr")
+
+
+def column_stats(df: DataFrame, column: str, only: Iterable[str] | None = None) -> DataFrame:
+    """One row with the statistics of a numeric column: sum, mean, min, max, range, median, gmean, var, varp, stdev, stdevp, q1, q2, q3, iqr, or ``only`` some.
+
+    Those of the sorted values come from ``quantiles``, so no task holds the column.
+    """
     x = number(df, column)
-    x = F.when(~F.isnan(x), x)
-    d = df.select(x.alias("x"))
-    q = [type6(F.col("x"), p) for p in (0.25, 0.5, 0.75)]
-    return d.agg(
-        F.sum("x").alias("sum"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), (F.max("x") - F.min("x")).alias("range"), F.percentile("x", F.lit(0.5)).alias("median"),
-        F.exp(F.avg(F.when(F.col("x") > 0, F.ln("x")))).alias("gmean"), F.var_samp("x").alias("var"), F.var_pop("x").alias("varp"), F.stddev_samp("x").alias("stdev"), F.stddev_pop("x").alias("stdevp"),
-        q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"),
-    )
+    d = df.select(F.when(~F.isnan(x), x).alias("x"))
+    plain = {
+        "sum": F.sum("x"), "mean": F.avg("x"), "min": F.min("x"), "max": F.max("x"), "range": F.max("x") - F.min("x"), "gmean": F.exp(F.avg(F.when(F.col("x") > 0, F.ln("x")))),
+        "var": F.var_samp("x"), "varp": F.var_pop("x"), "stdev": F.stddev_samp("x"), "stdevp": F.stddev_pop("x"),
+    }
+    names = list(only) if only is not None else ["sum", "mean", "min", "max", "range", "median", "gmean", "var", "varp", "stdev", "stdevp", "q1", "q2", "q3", "iqr"]
+    at = {}
+    if any(n in RANKED for n in names):
+        q = quantiles(df, column, (0.25, 0.5, 0.75), kind=6)
+        at = {"q1": q[0.25], "q2": q[0.5], "q3": q[0.75], "median": quantiles(df, column, (0.5,))[0.5] if "median" in names else None, "iqr": None if q[0.25] is None else q[0.75] - q[0.25]}
+    row = d.agg(*[plain[n].alias(n) for n in names if n in plain] or [F.count("x").alias("__n")])
+    return row.select(*[F.col(n) if n in plain else F.lit(at[n]).cast("double").alias(n) for n in names])
 
 
 def mad_about_median(df: DataFrame, column: str) -> DataFrame:
     """Mean absolute deviation about the median, in two passes."""
-    d = df.select(number(df, column).alias("x"))
-    middle = d.agg(F.percentile("x", F.lit(0.5)).alias("m"))
-    return d.crossJoin(F.broadcast(middle)).agg(F.avg(F.abs(F.col("x") - F.col("m"))).alias("mad"))
+    middle = quantiles(df, column, (0.5,))[0.5]
+    return df.select(number(df, column).alias("x")).agg(F.avg(F.abs(F.col("x") - F.lit(middle).cast("double"))).alias("mad"))
 
 
 def weighted_mean(df: DataFrame, column: str, weight: str) -> DataFrame:
@@ -231,7 +243,11 @@ def describe(df: DataFrame, percentiles: Iterable[float] = (0.25, 0.5, 0.75), in
     ps = sorted(set(percentiles))
     columns = [c for c in df.columns if c != RID and (include_all or is_numeric(df, c))]
     stats = ["count", "missing", *(["unique", "top", "freq"] if include_all else []), "mean", "std", "min", *map(percentile_label, ps), "max"]
-    values = {c: _describe(df, c, ps) for c in columns}
+    values = {c: _describe(df, c, []) for c in columns}
+    for c in columns:
+        if is_numeric(df, c):
+            # Whole columns: by ranks over partitioned counts, not in one state.
+            values[c] |= {percentile_label(p): F.max(F.lit(v).cast("double")) for p, v in quantiles(df, c, ps).items()}
     if include_all:
         df, order = (df, F.col(order_by)) if order_by else (df.withColumn("__at", F.monotonically_increasing_id()), F.col("__at"))
         for c in columns:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators import ordering
+from millrace.operators.aggregate import quantiles
+
 #: Time scales and the truncations that make their buckets.
 SCALES = {"hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month", "yearly": "year"}
 
@@ -27,8 +30,7 @@ def units_between(a: Column, b: Column, scale: str) -> Column:
 def rfm(df: DataFrame, customer: str, at: str, amount: str, as_of, groups: int = 5, scale: str = "daily") -> DataFrame:
     """Scores from 1 to ``groups`` for recency, frequency (distinct time buckets) and money, and their sum.
 
-    Thresholds are exact percentiles over the customers, one row that is sent to
-    all tasks. ``as_of`` is the day from which recency counts. Rows whose date
+    Thresholds are exact percentiles over the customers, a few numbers. ``as_of`` is the day from which recency counts. Rows whose date
     can't be read are left out.
     """
     if groups < 2:
@@ -39,8 +41,10 @@ def rfm(df: DataFrame, customer: str, at: str, amount: str, as_of, groups: int =
     each = rows.groupBy(F.col(customer).alias("customer")).agg(
         units_between(now, F.max(when), scale).alias("recency"), F.count_distinct(bucket(when, scale)).cast("double").alias("frequency"), F.sum(F.col(amount).cast("double")).alias("monetary")
     )
-    cuts = F.array(*[F.lit(i / groups) for i in range(1, groups)])
-    limits = each.agg(*[F.percentile(c, cuts).alias(f"__{c}") for c in ("recency", "frequency", "monetary")])
+    each = ordering.checkpointed(each)
+    shares = [i / groups for i in range(1, groups)]
+    cuts = {c: list(quantiles(each, c, shares).values()) for c in ("recency", "frequency", "monetary")}
+    limits = each.sparkSession.range(1).select(*[F.array(*[F.lit(v).cast("double") for v in cuts[c]]).alias(f"__{c}") for c in cuts])
     passed = lambda c, test: F.size(F.filter(F.col(f"__{c}"), lambda t: test(F.col(c), t))) + 1
     scored = each.crossJoin(F.broadcast(limits)).select(
         "customer", passed("recency", lambda v, t: v <= t).alias("r_score"), passed("frequency", lambda v, t: v > t).alias("f_score"), passed("monetary", lambda v, t: v > t).alias("m_score")

@@ -213,10 +213,17 @@ def cumulative_all(df: DataFrame, columns: dict[str, tuple[str, str]], order_by)
 
 
 def expanding_all(df: DataFrame, columns: dict[str, tuple[str, str]], order_by, min_obs: int = 1) -> DataFrame:
-    """Expanding sum, mean, min, max, var or std over the whole table: name -> (column, how), from running moments."""
+    """Expanding sum, mean, min, max, var or std over the whole table: name -> (column, how), from running moments.
+
+    Variances are those of the distances from the column's mean, so that squares of large values don't cancel.
+    """
     numbered, parts = ordering.number_rows(df, order_by), {}
+    spread = [k for k, (_, how) in columns.items() if how in ("var", "std")]
+    middle = numbered.agg(*[F.avg(F.when(~F.isnan(number(columns[k][0])), number(columns[k][0]))).alias(f"m{i}") for i, k in enumerate(spread)]).first() if spread else ()
     for k, (c, how) in columns.items():
         x = number(c)
+        if how in ("var", "std"):
+            x = x - F.lit(middle[spread.index(k)] or 0.0)
         parts |= {f"__n_{k}": (x, "count"), f"__s_{k}": (x, "sum"), f"__q_{k}": (x * x, "sum")} | ({f"__m_{k}": (x, how)} if how in ("min", "max") else {})
     out = ordering.running(numbered, parts)
     for k, (_, how) in columns.items():

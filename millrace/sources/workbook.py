@@ -110,10 +110,21 @@ def frame_rows(df: DataFrame) -> Iterable[Iterable]:
         yield list(r)
 
 
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a file on whatever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for i in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[i : i + (1 << 22)]))
+    finally:
+        out.close()
+
+
 def write_workbook(frames: dict[str, DataFrame], path: str) -> None:
-    """Tables as sheets of a workbook on the driver's disk."""
-    with open(path, "wb") as f:
-        f.write(workbook({name: frame_rows(df) for name, df in frames.items()}))
+    """Tables as sheets of a workbook."""
+    data = workbook({name: frame_rows(df) for name, df in frames.items()})
+    _put(next(iter(frames.values())).sparkSession, path, data)
 
 
 def csv_to_workbook(spark: SparkSession, files: list[str], path: str, sheets: list[str] | None = None, encoding: str | None = None, append: bool = False) -> None:
@@ -123,12 +134,10 @@ def csv_to_workbook(spark: SparkSession, files: list[str], path: str, sheets: li
         raise ValueError("as many sheet names as files are needed")
     held: dict[str, Iterable[Iterable]] = {}
     if append:
-        with open(path, "rb") as f:
-            data = f.read()
+        data = _bytes(spark, path)
         held = {s: sheet_rows(data, s) for s in sheet_names(data)}
     held |= {n: frame_rows(text.read_csv(spark, f, encoding=encoding)) for n, f in zip(names, files)}
-    with open(path, "wb") as f:
-        f.write(workbook(held))
+    _put(spark, path, workbook(held))
 
 
 def folder_to_workbook(spark: SparkSession, folder: str, path: str, encoding: str | None = None) -> None:

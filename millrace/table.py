@@ -655,14 +655,14 @@ class Series:
         return self.transform(F.regexp_replace(F.col(self.name).cast("string"), r"\.0$", ""))
 
     def _stat(self, name: str):
-        return aggregate.column_stats(self.table.df, self.name).first()[name]
+        return aggregate.column_stats(self.table.df, self.name, [name]).first()[name]
 
     def normalize(self) -> "Series":
-        r = aggregate.column_stats(self.table.df, self.name).select("min", "range").first()
+        r = aggregate.column_stats(self.table.df, self.name, ["min", "range"]).first()
         return self.transform((F.col(self.name) - r["min"]) / (r["range"] or 1.0))
 
     def standardize(self) -> "Series":
-        r = aggregate.column_stats(self.table.df, self.name).select("mean", "stdev").first()
+        r = aggregate.column_stats(self.table.df, self.name, ["mean", "stdev"]).first()
         return self.transform((F.col(self.name) - r["mean"]) / (r["stdev"] or 1.0))
 
     def count(self, value=None) -> int:

@@ -201,3 +201,24 @@ def test_rotations_keep_what_is_common(method):
             assert g[i, j] == pytest.approx((criterion(y, parameter)[0] - criterion(z, parameter)[0]) / 2e-6, rel=1e-4, abs=1e-6)
         if not oblique:
             assert t.T @ t == pytest.approx(np.eye(3), abs=1e-9)
+
+
+def test_least_residuals():
+    """No other uniquenesses leave less off the diagonal, and loadings that made the matrix are found again."""
+    import numpy as np
+
+    from millrace.functions import multivariate
+
+    rng = np.random.default_rng(2)
+    l = rng.uniform(0.3, 0.8, (6, 2)) * np.array([[1, 1], [1, -1], [1, 1], [1, -1], [1, 0.2], [0.5, 1]])
+    made = l @ l.T / max(1.0, (l**2).sum(axis=1).max() * 1.2)
+    np.fill_diagonal(made, 1)
+    got, converged = multivariate._least_residuals(made, 2, 500, 1e-9)
+    off = ~np.eye(6, dtype=bool)
+    assert converged and np.abs((made - got @ got.T)[off]).max() < 1e-4
+    noisy = np.corrcoef(rng.normal(size=(60, 2)) @ rng.normal(size=(2, 6)) + rng.normal(size=(60, 6)), rowvar=False)
+    got, _ = multivariate._least_residuals(noisy, 1, 500, 1e-9)
+    least = ((noisy - got @ got.T)[off] ** 2).sum()
+    for _ in range(200):
+        other = got + rng.normal(0, 0.02, got.shape)
+        assert ((noisy - other @ other.T)[off] ** 2).sum() >= least - 1e-9

@@ -225,3 +225,37 @@ def test_errors_are_kept_in_a_ring():
     with pytest.raises(RuntimeError):
         report("fatal", "q", "f", "three")
     errors.pop_all()
+
+
+def test_guarded_chains_go_on(trips):
+    g = trips.guarded().drop_cols("nope").select("boat", "days").filter("['days'] > 3")
+    assert g.columns == ["boat", "days"] and g.table.n_rows == 4 and "nope" in str(g.err())
+    assert g.clear_err().err() is None and trips.guarded().select("boat").err() is None
+
+
+def test_equality_of_lists(spark):
+    a, b, c = (Series.of(spark, v) for v in ([1, 2, None, 2], [2, None, 1, 2], [1, 2, None]))
+    assert a.is_equal_to(a) and not a.is_equal_to(b) and a.is_the_same_as(b) and not a.is_the_same_as(c) and not a.is_equal_to(c)
+
+
+def test_expanding_variance_of_large_values(spark):
+    import statistics
+
+    values = [1e9 + v for v in (1.0, 2.5, 4.0, 9.0, 9.5)]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double")
+    got = [r["var"] for r in window.expanding_all(df, {"var": ("v", "var")}, "i").orderBy("i").collect()]
+    assert got[0] is None and got[1:] == pytest.approx([statistics.variance(values[: k + 1]) for k in range(1, 5)], rel=1e-6)
+
+
+def test_column_stats_of_the_sorted_values_and_of_nothing(spark):
+    df = spark.createDataFrame([(float(v),) for v in (3, 1, 4, 1, 5)], "v double")
+    r = aggregate.column_stats(df, "v").first()
+    assert (r.q1, r.q2, r.q3, r.iqr, r.median, r["sum"]) == (1.0, 3.0, 4.5, 3.5, 3.0, 14.0)
+    assert list(aggregate.column_stats(df.limit(0), "v").first())[5] is None
+    assert aggregate.column_stats(df, "v", ["q1"]).columns == ["q1"]
+
+
+def test_rolling_functions_may_give_whole_numbers(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([3.0, None, 5.0, 9.0])], "i long, v double")
+    got = window.apply(df, {"n": window.Rolling(2, min_obs=1).apply("v", len), "m": window.Rolling(2, min_obs=1).apply("v", lambda f: sum(x is None for x in f))}, "i").orderBy("i").collect()
+    assert [r.n for r in got] == [1.0, 2.0, 2.0, 2.0] and [r.m for r in got] == [0.0, 1.0, 1.0, 0.0]
