@@ -17,7 +17,7 @@ from millrace.functions import formula, interop, lp, multivariate, regression
 from millrace.functions import statistics as S
 from millrace.operators import window as WN
 from millrace.plans import plots
-from millrace.plans.queries import _folder, formula_query, query, read, simple, stat_query
+from millrace.plans.registry import formula_query, query, read, simple, stat_query
 from millrace.plans.session import Session
 from millrace.plans.table_queries import KEYS, bare, on_value, round_trip
 from millrace.sources import parquet, sql, text, workbook

@@ -7,9 +7,7 @@ same tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import formula
@@ -20,36 +18,12 @@ from millrace.operators import relational as R
 from millrace.operators import window as WN
 from millrace.operators.aggregate import Agg
 from millrace.operators.window import Expanding, Rolling
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from millrace.plans.registry import QUERIES, SQL, folder, formula_query, query, read, simple, stat_query  # noqa: F401
 
 #: The shortest key of lineitem without repeated rows.
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def simple(name: str, table: str, build: Callable[[DataFrame], DataFrame], sql: str | None, rounded: str = "", digits: int = 6) -> None:
-    """Register a query of one table. Columns named in ``rounded`` are rounded on both sides: sums of floats depend on their order."""
-    names = rounded.split()
-    if names and sql:
-        sql = "SELECT * REPLACE (" + ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in names) + f") FROM ({sql})"
-    query(name, sql)(lambda spark, d: build(read(spark, d, table)).withColumns({c: F.round(c, digits) for c in names}))
-
-
 # Filter, formula, grouping, order.
 
 
@@ -220,10 +194,6 @@ simple("scale_inverse", "part", lambda t: (s := E.Scaler("standard").fit(t := t.
 # Formulas.
 
 
-def formula_query(name: str, table: str, columns: list[str], script: str, sql: str, order_by=None) -> None:
-    simple(name, table, lambda t: formula.execute(t.select(*columns), script, order_by), sql)
-
-
 formula_query("ccl_arith", "lineitem", [*LINE_KEY, "l_quantity", "l_extendedprice"], "NEW('a') = F + G * 2; NEW('b') = (G - F) / F; NEW('c') = -F ^ 2; NEW('d') = ['l_quantity'] % 7", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_quantity + l_extendedprice * 2 AS a, (l_extendedprice - l_quantity) / l_quantity AS b, -(l_quantity * l_quantity) AS c, l_quantity % 7 AS d FROM lineitem")
 formula_query("ccl_if_nested", "lineitem", [*LINE_KEY, "l_quantity", "l_extendedprice"], "NEW('r') = IF(AND(F > 10, G < 50000), F * 2 + G, 0)", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, CASE WHEN l_quantity > 10 AND l_extendedprice < 50000 THEN l_quantity * 2 + l_extendedprice ELSE 0 END AS r FROM lineitem")
 formula_query("ccl_compare_chain", "part", ["p_partkey", "p_size"], "NEW('in') = 10 < B <= 20; NEW('ne') = B != 7", "SELECT p_partkey, p_size, p_size > 10 AND p_size <= 20 AS \"in\", p_size <> 7 AS ne FROM part")
@@ -252,15 +222,6 @@ from millrace.functions import statistics as S  # noqa: E402
 from millrace.operators import marketing  # noqa: E402
 
 
-def one_row(spark: SparkSession, **values) -> DataFrame:
-    return spark.createDataFrame([tuple(float(v) for v in values.values())], ", ".join(f"{k} double" for k in values)).select(*[F.round(k, 8).alias(k) for k in values])
-
-
-def stat_query(name: str, table: str, build: Callable[[DataFrame], dict], sql: str | None) -> None:
-    wrapped = f"SELECT round(COLUMNS(*)::DOUBLE, 8) FROM ({sql})" if sql else None
-    query(name, wrapped)(lambda spark, d: one_row(spark, **build(read(spark, d, table))))
-
-
 stat_query("covariance_correlation", "lineitem", lambda t: {"cov": S.covariance(t, "l_quantity", "l_tax"), "pearson": S.pearson(t, "l_quantity", "l_extendedprice").statistic}, "SELECT covar_samp(l_quantity, l_tax) AS cov, corr(l_quantity, l_extendedprice) AS pearson FROM lineitem")
 stat_query("correlation_spearman", "part", lambda t: {"rho": S.spearman(t, "p_size", "p_retailprice").statistic}, "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS b FROM part) SELECT corr(a, b) AS rho FROM r")
 stat_query("correlation_kendall", "supplier", lambda t: {"tau": S.kendall(t, "s_nationkey", "s_acctbal").statistic}, "WITH p AS (SELECT sign(a.s_nationkey - b.s_nationkey) AS x, sign(a.s_acctbal - b.s_acctbal) AS y FROM supplier a, supplier b WHERE a.s_suppkey < b.s_suppkey) SELECT sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS tau FROM p")
@@ -374,29 +335,20 @@ simple("time_bucket", "orders", lambda t: t.groupBy(streams.time_bucket(F.col("o
 
 # Files and the rest of the inventory.
 
-import uuid  # noqa: E402
-
-from millrace.operators import ordering  # noqa: E402
 from millrace.sources import text as text_source  # noqa: E402
 from millrace.table import Table  # noqa: E402
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder beside the session's checkpoints, which all executors share."""
-    ordering.checkpointed(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 @query("scan_csv_types", "SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_nationkey::DOUBLE AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _csv(spark, d):
-    at = _folder(spark)
+    at = folder(spark)
     text_source.write_csv(read(spark, d, "customer"), at)
     return text_source.read_csv(spark, f"{at}/*.csv", encoding="utf-8")
 
 
 @query("scan_json", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def _json(spark, d):
-    at = _folder(spark)
+    at = folder(spark)
     text_source.write_json(read(spark, d, "nation"), at)
     return spark.read.json(at)
 

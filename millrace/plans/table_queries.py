@@ -17,7 +17,7 @@ from millrace.operators.aggregate import Agg
 from millrace.operators.encode import LabelEncoder, OneHotEncoder, OrdinalEncoder, Scaler
 from millrace.operators.ordering import RID
 from millrace.operators.window import Rolling
-from millrace.plans.queries import _folder, query, read, simple
+from millrace.plans.registry import folder, query, read, simple
 from millrace.plans.session import Session
 from millrace.sources import sql, text
 from millrace.table import NAME, Series, Table
@@ -262,7 +262,7 @@ def _custom(spark, d):
 
 def round_trip(name: str, table: str, sql_text: str):
     def add(f):
-        query(name, sql_text)(lambda spark, d: f(spark, Table(read(spark, d, table), KEYS[table]), _folder(spark)))
+        query(name, sql_text)(lambda spark, d: f(spark, Table(read(spark, d, table), KEYS[table]), folder(spark)))
         return f
 
     return add
