@@ -705,12 +705,19 @@ class Lowering:
 
     def plan(self, node: Node) -> tuple[DataFrame, Value]:
         """The table with helper columns (``__f...``), and the value over it."""
-        value, df = self.lower(node), self.df
+        df, (value,) = self.plan_all([node])
+        return df, value
+
+    def plan_all(self, nodes: list[Node]) -> tuple[DataFrame, list[Value]]:
+        """The table with the helper columns of several formulas, and their values. Frames of bounded rows are computed together, and so are running values."""
+        values, df = [self.lower(n) for n in nodes], self.df
         if self.numbered and RID not in df.columns:
             if self.order_by is None:
                 raise FormulaError("rows have no order; give order_by")
             df = ordering.number_rows(df, self.order_by)
         aggregates: list[tuple[str, Column]] = []
+        bounded: dict[str, tuple] = {}
+        running: dict[str, tuple] = {}
 
         def flush():
             nonlocal df, aggregates
@@ -718,23 +725,30 @@ class Lowering:
                 df = df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in aggregates])))  # one row
                 aggregates = []
 
-        done = set(df.columns)
+        def flush_sequences():
+            nonlocal df, bounded, running
+            if bounded:
+                df = ordering.bounded_frame(df, {n: w[0] for n, w in bounded.items()}, max(w[1] for w in bounded.values()), max(w[2] for w in bounded.values()))
+            if running:
+                df = ordering.running(df, {n: (F.col(w[0]), w[1]) for n, w in running.items()})
+            bounded, running = {}, {}
+
         for kind, name, what in self.steps:
-            if kind == "aggregate":
-                if any(n.startswith("__f") and n not in done for n in [name]) and self.refers(what, [n for n, _ in aggregates]):
+            if kind in ("aggregate", "column"):
+                if self.refers(what, [*bounded, *running]):
+                    flush_sequences()
+                if self.refers(what, [n for n, _ in aggregates]):
                     flush()
+            if kind == "aggregate":
                 aggregates.append((name, what))
-                continue
-            flush()
-            if kind == "column":
+            elif kind == "column":
                 df = df.withColumn(name, what)
-            elif kind == "bounded":
-                build, before, after = what
-                df = ordering.bounded_frame(df, {name: build}, before, after)
             else:
-                df = ordering.running(df, {name: (F.col(what[0]), what[1])})
+                # Their arguments are columns that stand by now.
+                (bounded if kind == "bounded" else running)[name] = what
+        flush_sequences()
         flush()
-        return df, value
+        return df, values
 
     @staticmethod
     def refers(c: Column, names: list[str]) -> bool:
@@ -748,11 +762,14 @@ def _finish(df: DataFrame) -> DataFrame:
 
 def with_column(df: DataFrame, name: str, formula: str | Node, order_by=None, row_name: str | None = None) -> DataFrame:
     """``df`` with a formula's value as a column, new or replaced."""
-    node = parse(formula) if isinstance(formula, str) else formula
-    planned, value = Lowering(df, order_by, row_name=row_name).plan(node)
-    out = _finish(planned.withColumn(name, value.column))
-    keep = [*df.columns, *([] if name in df.columns else [name])]
-    return out.select(*keep)
+    return with_columns(df, {name: parse(formula) if isinstance(formula, str) else formula}, order_by, row_name)
+
+
+def with_columns(df: DataFrame, formulas: dict[str, Node], order_by=None, row_name: str | None = None) -> DataFrame:
+    """``df`` with the values of formulas that all read ``df`` as it is."""
+    planned, values = Lowering(df, order_by, row_name=row_name).plan_all(list(formulas.values()))
+    out = _finish(planned.withColumns({n: v.column for n, v in zip(formulas, values)}))
+    return out.select(*df.columns, *[n for n in formulas if n not in df.columns])
 
 
 def filter_rows(df: DataFrame, formula: str, order_by=None, row_name: str | None = None) -> DataFrame:
@@ -769,18 +786,40 @@ def execute(df: DataFrame, script: str, order_by=None, row_name: str | None = No
     added = order_by is not None and RID not in df.columns and any(needs_order(node) for _, _, node in script_of)
     if added:
         df = ordering.number_rows(df, order_by)
+    together: dict[str, Node] = {}
     for target, new, node in script_of:
         names = [c for c in df.columns if c not in (RID, "__rowname")]
+        names += [n for n in together if n not in names]
         if target.startswith("\0"):
             bare = target[1:]
             i = letter_to_number(bare) if bare.isalpha() else -1
             target = names[i] if 0 <= i < len(names) else bare
         if not new and target not in names:
             raise FormulaError(f"no column {target!r} to assign to")
-        df = with_column(df, target, node, order_by, row_name)
+        if together and not _independent(node, target, names, together):
+            df, together = with_columns(df, together, order_by, row_name), {}
+        together[target] = node
+    if together:
+        df = with_columns(df, together, order_by, row_name)
     return df.drop(RID) if added else df
 
 
+#: Kinds of nodes that name each column they read.
+_PLAIN = {"number", "string", "constant", "name", "letter", "call", "binary", "unary", "compare"}
+
+
+def _independent(node: Node, target: str, names: list[str], made: dict[str, Node]) -> bool:
+    """Whether a statement reads nothing that those before it make, so that it can be computed with them."""
+    if target in made or any(n.kind not in _PLAIN for n in node.walk()):
+        return False
+    for n in node.walk():
+        if n.kind == "name" and n.value in made:
+            return False
+        if n.kind == "letter" and ((i := letter_to_number(n.value)) >= len(names) - len(made) or names[i] in made):
+            return False
+    return True
+
+
 def needs_order(node: Node) -> bool:
     """Whether the value depends on the order of the rows."""
     return any(n.kind in ("index", "access") or n.kind == "call" and n.value in SEQUENCE for n in node.walk())

@@ -247,20 +247,21 @@ def f_test_nested(rss_reduced: float, rss_full: float, df_reduced: int, df_full:
     return Test(f, D.f_sf(f, df_reduced - df_full, df_full), df_reduced - df_full, df_full)
 
 
-def group_moments(df: DataFrame, value: str, group: str) -> list[tuple[int, float, float]]:
-    """(n, mean, variance) of each group; there are as many rows at the driver as groups."""
+def group_sums(df: DataFrame, value: str, group: str):
+    """Sums over the groups, added up in Spark: k groups, n rows, between and within sums of squares, and those of Bartlett's test."""
     x = number(value)
-    return [(r[1], r[2], r[3] or 0.0) for r in df.filter(x.isNotNull()).groupBy(group).agg(F.count(x), F.avg(x), F.var_samp(x)).collect()]
+    each = df.filter(x.isNotNull()).groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("v"))
+    grand = df.agg(F.avg(x)).first()[0]
+    far = F.col("m") - F.lit(grand)
+    free = F.col("n") - 1
+    return each.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * far * far).alias("between"), F.sum(free * F.col("v")).alias("within"), F.sum(F.when(free > 0, free * F.log("v"))).alias("logs"), F.sum(F.when(free > 0, 1 / free)).alias("inverse"), F.count_if((free > 0) & (F.col("v") <= 0)).alias("flat")).first()
 
 
 def anova_one_way(df: DataFrame, value: str, group: str) -> Test:
-    g = group_moments(df, value, group)
-    n = sum(x[0] for x in g)
-    grand = sum(x[0] * x[1] for x in g) / n
-    between, within = sum(x[0] * (x[1] - grand) ** 2 for x in g), sum((x[0] - 1) * x[2] for x in g)
-    d1, d2 = len(g) - 1, n - len(g)
-    f = (between / d1) / (within / d2)
-    return Test(f, D.f_sf(f, d1, d2), d1, d2, effect=between / (between + within), detail={"ss_between": between, "ss_within": within})
+    g = group_sums(df, value, group)
+    d1, d2 = g.k - 1, g.n - g.k
+    f = (g.between / d1) / (g.within / d2)
+    return Test(f, D.f_sf(f, d1, d2), d1, d2, effect=g.between / (g.between + g.within), detail={"ss_between": g.between, "ss_within": g.within})
 
 
 def anova_two_way(df: DataFrame, value: str, a: str, b: str) -> dict[str, Test]:
@@ -303,12 +304,13 @@ def levene(df: DataFrame, value: str, group: str) -> Test:
 
 
 def bartlett(df: DataFrame, value: str, group: str) -> Test:
-    g = group_moments(df, value, group)
-    n, k = sum(x[0] for x in g), len(g)
-    pooled = sum((x[0] - 1) * x[2] for x in g) / (n - k)
-    t = (n - k) * math.log(pooled) - sum((x[0] - 1) * math.log(x[2]) for x in g)
-    t /= 1 + (sum(1 / (x[0] - 1) for x in g) - 1 / (n - k)) / (3 * (k - 1))
-    return Test(t, D.chi2_sf(t, k - 1), k - 1)
+    g = group_sums(df, value, group)
+    if g.flat:
+        raise ValueError("a group has no spread")
+    pooled = g.within / (g.n - g.k)
+    t = (g.n - g.k) * math.log(pooled) - g.logs
+    t /= 1 + (g.inverse - 1 / (g.n - g.k)) / (3 * (g.k - 1))
+    return Test(t, D.chi2_sf(t, g.k - 1), g.k - 1)
 
 
 def chi_square_fit(df: DataFrame, column: str, probabilities: Sequence[float] | None = None, rescale: bool = False) -> Test:

@@ -74,17 +74,18 @@ def customer_activity_index(df: DataFrame, customer: str, at: str, scale: str =
 def basket(df: DataFrame, order: str, item: str, max_items: int = 5000) -> DataFrame:
     """(item_a, item_b, n, support, confidence, lift) of items bought together; an item with itself included.
 
-    An order is a set. Each order's set meets itself, so the pairs are as many
-    as the sets' squares; their number is counted beforehand by the number of
-    distinct items, which is limited.
+    An order is a set. Each order's sorted set gives its pairs once, the other
+    way round is added after counting, and an item with itself is its own count.
+    An order holds ``max_items`` different items at most, as there are no more.
     """
     d = df.filter(F.col(order).isNotNull() & F.col(item).isNotNull() & (F.col(order).cast("string") != "") & (F.col(item).cast("string") != "")).select(F.col(order).alias("o"), F.col(item).alias("i")).distinct()
     singles = d.groupBy("i").agg(F.count(F.lit(1)).alias("c"))
     if singles.limit(max_items + 1).count() > max_items:
         raise ValueError(f"more than {max_items} items; take groups of items")
     orders = d.agg(F.count_distinct("o").alias("orders"))
-    sets = d.groupBy("o").agg(F.collect_set("i").alias("s"))
-    pairs = sets.select(F.explode("s").alias("item_a"), "s").select("item_a", F.explode("s").alias("item_b")).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
+    sets = d.groupBy("o").agg(F.array_sort(F.collect_list("i")).alias("s")).filter(F.size("s") > 1)
+    above = sets.select(F.posexplode("s").alias("at", "item_a"), "s").select("item_a", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("item_b")).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = above.unionByName(above.select(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "n")).unionByName(singles.select(F.col("i").alias("item_a"), F.col("i").alias("item_b"), F.col("c").alias("n")))
     out = pairs.join(singles.select(F.col("i").alias("item_a"), F.col("c").alias("ca")), "item_a").join(singles.select(F.col("i").alias("item_b"), F.col("c").alias("cb")), "item_b").crossJoin(F.broadcast(orders))
     support = F.col("n") / F.col("orders")
     return out.select("item_a", "item_b", "n", support.alias("support"), (F.col("n") / F.col("ca")).alias("confidence"), (support / (F.col("ca") / F.col("orders") * (F.col("cb") / F.col("orders")))).alias("lift"))

@@ -132,12 +132,11 @@ class Rolling:
         before, after = self.reach
 
         def over(frames):
-            import pandas as pd
+            import pyarrow as pa
 
-            out = (None if f is None else fn([None if v is None or v != v else v for v in f.tolist()] if f.dtype == object else f.tolist()) for f in frames)
-            return pd.Series([None if v is None else float(v) for v in out], dtype="float64")
+            return pa.array([None if f is None or (v := fn(f)) is None else float(v) for f in frames.to_pylist()], pa.float64())
 
-        udf = F.pandas_udf(_annotated(over), "double")
+        udf = F.arrow_udf(_annotated(over), "double")
 
         def build(w):
             frame = w.rowsBetween(-before, after)
@@ -148,9 +147,9 @@ class Rolling:
 
 
 def _annotated(f: Callable) -> Callable:
-    import pandas as pd
+    import pyarrow as pa
 
-    f.__annotations__ = {"frames": pd.Series, "return": pd.Series}
+    f.__annotations__ = {"frames": pa.Array, "return": pa.Array}
     return f
 
 
