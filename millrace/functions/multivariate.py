@@ -76,6 +76,14 @@ class Factors:
     columns: list[str]
     converged: bool
 
+    def show(self) -> str:
+        """Loadings, communalities and uniquenesses by column, then the measures of adequacy."""
+        heads = ["column", *(f"f{k + 1}" for k in range(self.loadings.shape[1])), "communality", "uniqueness"]
+        rows = [[c, *(f"{v:.4f}" for v in l), f"{h:.4f}", f"{u:.4f}"] for c, l, h, u in zip(self.columns, self.loadings, self.communalities, self.uniquenesses)]
+        wide = [max(len(str(r[i])) for r in [heads, *rows]) for i in range(len(heads))]
+        lines = ["  ".join(str(v).ljust(w) for v, w in zip(r, wide)).rstrip() for r in [heads, *rows]]
+        return "\n".join([*lines, f"kmo: {self.kmo:.4f}", f"sphericity p: {self.bartlett_p:.4g}", f"converged: {self.converged}"])
+
     def weights(self, r: np.ndarray, method: str = "regression") -> np.ndarray:
         """Score weights by regression, Bartlett or Anderson-Rubin."""
         u = np.diag(1 / np.maximum(self.uniquenesses, 1e-6))
@@ -139,9 +147,15 @@ def _least_residuals(r, n, max_iter, tol):
     return _principal_axes(r, 1 - psi, n), False
 
 
-def factor_analysis(df: DataFrame, columns: Sequence[str], n: int, extraction: str = "paf", rotation: str = "oblimin", max_iter: int = 500, tol: float = 1e-7) -> Factors:
-    """Extraction by pca, paf, minres or ml; rotation none, of the varimax family, promax, or one of ``CRITERIA``."""
+def kaiser_count(df: DataFrame, columns: Sequence[str]) -> int:
+    """Factors by Kaiser's rule: eigenvalues of the correlation matrix above 1, one at least."""
+    return max(1, int((pca(df, columns).values > 1).sum()))
+
+
+def factor_analysis(df: DataFrame, columns: Sequence[str], n: int | None = None, extraction: str = "paf", rotation: str = "oblimin", max_iter: int = 500, tol: float = 1e-7) -> Factors:
+    """``n`` factors (by Kaiser's rule, if None). Extraction by pca, paf, minres or ml; rotation none, of the varimax family, promax, or one of ``CRITERIA``."""
     d = complete(df, *columns)
+    n = n or kaiser_count(d, columns)
     r, _ = correlation_matrix(d, columns)
     p, converged = len(columns), True
     if extraction == "pca":

@@ -34,6 +34,12 @@ class Test:
     effect: float | None = None
     detail: dict | None = None
 
+    def show(self) -> str:
+        """The outcome as lines of names and values; fields without a value are left out."""
+        rows = [("statistic", self.statistic), ("p", self.p), ("df", self.df), ("df2", self.df2), ("interval", self.interval), ("effect", self.effect), *(self.detail or {}).items()]
+        shown = lambda v: ", ".join(f"{x:.6g}" for x in v) if isinstance(v, tuple) else f"{v:.6g}" if isinstance(v, float) else str(v)
+        return "\n".join(f"{k}: {shown(v)}" for k, v in rows if v is not None)
+
 
 def moments(s: Sample) -> tuple[int, float, float]:
     """(n, mean, sample variance)."""

@@ -68,3 +68,27 @@ def square_root(x: Fraction | int | str, digits: int = 50) -> Fraction:
         raise ValueError("root of a negative number")
     scale = 10 ** (2 * digits)
     return Fraction(math.isqrt(f.numerator * scale // f.denominator), 10**digits)
+
+
+class BiIndex:
+    """Names and places, looked up either way; a name that is taken again moves to the new place."""
+
+    def __init__(self, names: Iterable[str] = ()):
+        self.place_of: dict[str, int] = {}
+        self.name_of: dict[int, str] = {}
+        for i, n in enumerate(names):
+            self.set(i, n)
+
+    def set(self, place: int, name: str) -> None:
+        self.name_of.pop(self.place_of.get(name, -1), None)
+        self.place_of.pop(self.name_of.get(place, ""), None)
+        self.place_of[name], self.name_of[place] = place, name
+
+    def place(self, name: str) -> int | None:
+        return self.place_of.get(name)
+
+    def name(self, place: int) -> str | None:
+        return self.name_of.get(place)
+
+    def __len__(self) -> int:
+        return len(self.place_of)

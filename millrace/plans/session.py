@@ -658,3 +658,30 @@ def _plot(s, a):
         plots.save_html(spec, path)
     return spec
 
+
+def complete(session: Session, line: str) -> list[str]:
+    """Words that can follow what is typed so far: commands first, then variables."""
+    words = line.split(" ")
+    known = sorted(COMMANDS) if len(words) == 1 else sorted(session.variables)
+    return [w for w in known if w.startswith(words[-1])]
+
+
+def interact(session: Session, ask=input, tell=print) -> None:
+    """Read commands until ``exit`` or the end of the input, and print what they give; a faulty one is told and left out."""
+    try:
+        import readline
+
+        readline.parse_and_bind("tab: complete")
+        readline.set_completer(lambda word, i: [*complete(session, readline.get_line_buffer()), None][i])
+    except ImportError:  # a terminal without line editing
+        pass
+    while not session.done:
+        try:
+            out = session.run(ask("> "))
+        except EOFError:
+            return
+        except Exception as e:  # noqa: BLE001  whatever a command does, the session goes on
+            tell(f"{type(e).__name__}: {e}")
+            continue
+        if out is not None:
+            tell(out.show() if isinstance(out, (Table, Series)) else out)

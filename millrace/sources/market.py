@@ -27,9 +27,9 @@ METHODS = {
     "quote": (SUMMARY, "price"), "info": (SUMMARY, "assetProfile,summaryDetail"), "fast_info": (SUMMARY, "summaryDetail"), "calendar": (SUMMARY, "calendarEvents"), "major_holders": (SUMMARY, "majorHoldersBreakdown"), "institutional_holders": (SUMMARY, "institutionOwnership"),
     "mutual_fund_holders": (SUMMARY, "fundOwnership"), "insider_transactions": (SUMMARY, "insiderTransactions"), "earnings_estimate": (SUMMARY, "earningsTrend"), "earnings_history": (SUMMARY, "earningsHistory"), "eps_trend": (SUMMARY, "earningsTrend"), "eps_revisions": (SUMMARY, "earningsTrend"),
     "revenue_estimate": (SUMMARY, "earningsTrend"), "growth_estimates": (SUMMARY, "earningsTrend"), "recommendations": (SUMMARY, "recommendationTrend"), "analyst_price_targets": (SUMMARY, "financialData"),
+    "earnings": (SUMMARY, "earnings"), "sustainability": (SUMMARY, "esgScores"), "funds_data": (SUMMARY, "fundProfile,fundPerformance,topHoldings"), "top_holdings": (SUMMARY, "topHoldings"),
     "income_statement": (SUMMARY, "incomeStatementHistory"), "balance_sheet": (SUMMARY, "balanceSheetHistory"), "cash_flow": (SUMMARY, "cashflowStatementHistory"),
 }
-UNSUPPORTED = ("earnings", "sustainability", "funds_data", "top_holdings")
 
 
 def fetch(url: str, timeout: float) -> dict:
@@ -94,7 +94,7 @@ class Client:
         raise AssertionError
 
     def rows(self, symbol: str, method: str, *args: str) -> list[dict]:
-        if method in UNSUPPORTED or method not in METHODS:
+        if method not in METHODS:
             raise ValueError(f"{method!r} is not available")
         path, what = METHODS[method]
         params = {"modules": what} if path == SUMMARY else {"q": symbol} if path == SEARCH else {"range": args[0] if args else "1mo", "interval": args[1] if len(args) > 1 else "1d", **({"events": what} if what else {})} if path == HISTORY else {"date": args[0]} if args else {}

@@ -124,7 +124,7 @@ def test_market_connector(spark):
     assert [tuple(r) for r in c.table("X", "history").collect()] == [(1.0, 10.5, 5.0), (2.0, 11.0, 6.0)]
     assert c.tables(["X", "Y"], "quote").count() == 2 and c.rows("X", "quote")[0]["regularMarketPrice"] == 3.5
     with pytest.raises(ValueError):
-        c.table("X", "sustainability")
+        c.table("X", "nothing_of_the_kind")
     tries = []
 
     def failing(url, timeout):
@@ -215,3 +215,55 @@ def test_session(spark, tmp_path):
 def test_dates_in_tables(spark):
     t = Table.of(spark, {"d": [dt.datetime(2024, 1, 1), None]})
     assert t.types() == {"d": "timestamp"} and t.n_rows == 2
+
+
+def test_interactive_session(spark):
+    from millrace.plans.session import complete, interact
+
+    s, said = Session(spark), []
+    lines = iter(["newdl 1 2 3 as x", "nonsense", "sum x", "exit", "never"])
+    interact(s, lambda prompt: next(lines), said.append)
+    assert said[1].startswith("CommandError") and said[2] == 6.0 and len(said) == 3
+    assert complete(s, "groupb") == ["groupby"] and complete(s, "sum ") == ["x"]
+    ended, tell = Session(spark), []
+
+    def end(prompt):
+        raise EOFError
+
+    interact(ended, end, tell.append)
+    assert tell == []
+
+
+def test_png(tmp_path):
+    import struct
+    import zlib
+
+    from millrace.plans import plots
+
+    spec = plots.chart("bar", "t", x=["a", "b"], series=[{"name": "n", "data": [1, 3]}])
+    plots.save_png(spec, str(tmp_path / "c.png"))
+    data = (tmp_path / "c.png").read_bytes()
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (640, 400)
+    size = struct.unpack(">I", data[33:37])[0]
+    rows = zlib.decompress(data[41 : 41 + size])
+    assert len(rows) == 400 * (1 + 640 * 3) and bytes(plots.COLOURS[0]) in rows
+    for kind in ("line", "step", "scatter"):
+        body = {"x": [0, 1, 2], "series": [{"name": "n", "data": [[0, 1], [1, 2]] if kind == "scatter" else [1, None, 3]}]}
+        assert plots.to_png(plots.chart(kind, **body))[:4] == b"\x89PNG"
+    with pytest.raises(ValueError):
+        plots.save_png(plots.gauge(3), str(tmp_path / "g.png"))
+
+
+def test_actor_packages_and_index():
+    from millrace.functions import interop
+    from millrace.functions.values import BiIndex
+
+    actor, seen = interop.Actor(), []
+    interop.Group([lambda i=i: actor.do(seen.append, i) for i in range(20)]).run().wait()
+    assert sorted(seen) == list(range(20))
+    assert "pyspark" in interop.packages() and "pyspark==" in interop.freeze()
+    with pytest.raises(ValueError):
+        interop.pip("eat", "x")
+    b = BiIndex(["a", "b"])
+    b.set(2, "a")
+    assert (b.place("a"), b.name(0), b.name(1), len(b)) == (2, None, "b", 2)
