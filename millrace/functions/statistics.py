@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import distributions as D
+from millrace.operators.ordering import checkpointed
 from millrace.operators.window import number, rank_average
 
 Sample = tuple[DataFrame, str]
@@ -119,50 +120,86 @@ def spearman(df: DataFrame, x: str, y: str, level: float = 0.95) -> Test:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> Test:
-    """tau-b. Concordance is counted by inversions within blocks of x order merged pairwise, in tasks; the driver holds block summaries only.
-
-    Distinct pairs with their counts are the input, so repeated pairs cost nothing.
+    """tau-b, with discordant pairs counted in blocks of bounded rows.
+
+    Distinct pairs with their counts are the input, so repeated pairs cost
+    nothing. Both axes are cut at quantiles; a value at a cut is a block of its
+    own, in which nothing can be discordant, so frequent values cost nothing
+    either. Two points are discordant within a block of x, or within a block of y
+    over different blocks of x, which tasks count, or over different blocks of
+    both, which the table of blocks tells.
     """
     pairs = complete(df, x, y).groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
     ties = lambda c: pairs.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)), F.sum(F.col("t") * (F.col("t") - 1) * (F.col("t") - 2)), F.sum(F.col("t"))).first()
     tx, ty = ties(x), ties(y)
     n = int(tx[3] or 0)
     both = pairs.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-    rows = np.array(sorted((r[0], r[1], r[2]) for r in pairs.limit(KENDALL_PAIRS + 1).collect()))
-    if len(rows) > KENDALL_PAIRS:
-        raise ValueError(f"more than {KENDALL_PAIRS} distinct pairs")
     total = n * (n - 1) / 2
-    discordant = _weighted_inversions(rows[:, 1], rows[:, 2], rows[:, 0]) if len(rows) else 0
-    s = total - tx[0] - ty[0] + both - 2 * discordant
+    s = total - tx[0] - ty[0] + both - 2 * _discordant(pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col("n").cast("double").alias("n")))
     tau = s / math.sqrt((total - tx[0]) * (total - ty[0]))
     v = (n * (n - 1) * (2 * n + 5) - tx[1] - ty[1]) / 18 + (4 * tx[0] * ty[0]) / (2 * n * (n - 1)) + (tx[2] * ty[2]) / (9 * n * (n - 1) * (n - 2) if n > 2 else 1)
     return Test(tau, D.two_sided(D.normal_sf, s / math.sqrt(v)), detail={"s": s})
 
 
-#: Distinct pairs that a rank correlation by counts holds.
-KENDALL_PAIRS = 2_000_000
-
-
-def _weighted_inversions(y, w, x) -> float:
-    """Sum of products of weights of pairs i < j in x order (x different) with y_i > y_j; a Fenwick tree over y ranks."""
-    ranks = np.unique(y, return_inverse=True)[1] + 1
-    tree, top, total, seen, i = np.zeros(ranks.max() + 1), int(ranks.max()), 0.0, 0.0, 0
-    while i < len(y):
-        j = i
-        while j < len(y) and x[j] == x[i]:
-            r, below = int(ranks[j]), 0.0
-            while r:
-                below += tree[r]
-                r -= r & -r
-            total += w[j] * (seen - below)
-            j += 1
-        for k in range(i, j):
-            r = int(ranks[k])
-            while r <= top:
-                tree[r] += w[k]
-                r += r & -r
-            seen += w[k]
-        i = j
+#: Distinct pairs of a block, and cuts of an axis at most (the table of blocks is at the driver).
+KENDALL_ROWS, KENDALL_CUTS = 100_000, 200
+
+
+def _discordant(pairs: DataFrame, rows: int = KENDALL_ROWS) -> float:
+    """Weight of the discordant pairs among points (x, y, n)."""
+    pairs = checkpointed(pairs)
+    cuts = min(KENDALL_CUTS, pairs.count() // rows)
+    at = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    block = {}
+    for c, bounds in zip("xy", pairs.approxQuantile(["x", "y"], at, 0.25 / (cuts + 1)) if cuts else ([], [])):
+        edges, own = F.array(*[F.lit(v) for v in sorted(set(bounds))]).cast("array<double>"), F.col(c)
+        # Even numbers are the stretches between cuts, odd ones the values at them.
+        block[f"b{c}"] = 2 * F.size(F.filter(edges, lambda e: e < own)) + F.array_contains(edges, own).cast("int")  # noqa: B023
+    placed = pairs.withColumns(block)
+
+    def count(data):
+        import pyarrow as pa
+
+        x, y, w = (data.column(c).to_numpy().astype(float) for c in ("at", "y", "n"))
+        order = np.lexsort((y, x))
+        return pa.table({"w": [inversions(y[order], w[order])]})
+
+    parts = [placed.filter("bx % 2 = 0").select(F.col("bx").alias("b"), F.col("x").alias("at"), "y", "n"), placed.filter("by % 2 = 0").select(F.col("by").alias("b"), F.col("bx").cast("double").alias("at"), "y", "n")]
+    inside = sum(p.groupBy("b").applyInArrow(count, "w double").agg(F.sum("w")).first()[0] or 0.0 for p in parts)
+    size = 2 * cuts + 1
+    table = np.zeros((size, size))
+    for r in placed.groupBy("bx", "by").agg(F.sum("n")).collect():
+        table[r[0], r[1]] = r[2]
+    # Of each block: all that stand in earlier blocks of x and later ones of y.
+    ahead = np.zeros((size + 1, size + 1))
+    ahead[1:, :-1] = table[:, ::-1].cumsum(axis=1)[:, ::-1].cumsum(axis=0)
+    return inside + float((table * ahead[:-1, 1:]).sum())
+
+
+def inversions(y: np.ndarray, w: np.ndarray, base: int = 64) -> float:
+    """Sum of products of weights of places i < j with y_i > y_j: small pieces by comparison of all, then halves merged."""
+    n, total = len(y), 0.0
+    pad = -n % base
+    y, w = np.r_[y, np.full(pad, np.inf)], np.r_[w, np.zeros(pad)]
+    a, b = y.reshape(-1, base), w.reshape(-1, base)
+    upper = np.triu(np.ones((base, base), bool), 1)
+    for at in range(0, len(a), 256):
+        more = (a[at : at + 256, :, None] > a[at : at + 256, None, :]) & upper
+        total += float(np.einsum("ki,kij,kj->", b[at : at + 256], more, b[at : at + 256]))
+    size = base
+    while size < len(y):
+        for at in range(0, len(y), 2 * size):
+            left, right = slice(at, at + size), slice(at + size, min(at + 2 * size, len(y)))
+            if size == base:
+                for part in (left, right):
+                    o = np.argsort(y[part], kind="stable")
+                    y[part], w[part] = y[part][o], w[part][o]
+            upto = np.r_[0.0, np.cumsum(w[left])]
+            total += float((w[right] * (upto[-1] - upto[np.searchsorted(y[left], y[right], side="right")])).sum())
+            both = slice(left.start, right.stop)
+            o = np.argsort(y[both], kind="stable")
+            y[both], w[both] = y[both][o], w[both][o]
+        size *= 2
     return total
 
 

@@ -222,3 +222,24 @@ def test_least_residuals():
     for _ in range(200):
         other = got + rng.normal(0, 0.02, got.shape)
         assert ((noisy - other @ other.T)[off] ** 2).sum() >= least - 1e-9
+
+
+def test_discordant_pairs_in_blocks(spark):
+    """Frequent values on both axes, blocks of few rows: the count is that of all pairs."""
+    import random
+
+    from millrace.functions import statistics as S
+
+    rng = random.Random(4)
+    rows = {}
+    for _ in range(700):
+        rows[float(rng.choice([0, 0, 0, rng.randint(-20, 20)])), float(rng.choice([5, 5, rng.randint(-30, 30)]))] = float(rng.randint(1, 4))
+    points = [(*k, n) for k, n in rows.items()]
+    want = sum(n * m for x, y, n in points for u, v, m in points if x < u and y > v)
+    df = spark.createDataFrame(points, "x double, y double, n double")
+    for size in (10, 60, 10**6):
+        assert S._discordant(df, size) == want
+    y = [rng.randint(0, 50) for _ in range(333)]
+    import numpy as np
+
+    assert S.inversions(np.array(y, float), np.ones(333)) == sum(y[i] > y[j] for i in range(333) for j in range(i + 1, 333))
