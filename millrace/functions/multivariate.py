@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.neighbors import nearest
 from millrace.functions.statistics import bartlett_sphericity, complete, correlation_matrix
 from millrace.operators.window import number
 
@@ -471,37 +472,9 @@ def silhouette(x: np.ndarray, labels: Sequence) -> tuple[np.ndarray, float]:
 # Nearest neighbours: a stated query set against all rows, in blocks.
 
 
-def nearest_neighbors(train: DataFrame, test: DataFrame, vector: str, k: int, train_id: str, test_id: str, block: int = 1024) -> DataFrame:
-    """(test_id, rank, train_id, distance) of the k nearest training rows by Euclidean distance, ties to the smaller id.
-
-    Test rows go to the tasks in blocks of bounded size; each task keeps the k
-    best of its rows for a block, and these meet in one merge per test row.
-    """
-    t = test.select(F.col(test_id).alias("q"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v is not null")
-    n = t.count()
-    t = t.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // block)))).cast("int"))
-    own = train.select(F.col(train_id).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v is not null")
-    parts = max(1, own.count() // 20_000 + 1)
-    rows = own.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // block)) - 1)))).select("b", "part", F.lit(0).alias("side"), F.col("i").cast("long").alias("id"), "v")
-    asked = t.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("b", "part", F.lit(1).alias("side"), F.col("q").cast("long").alias("id"), "v")
-
-    def best(pdf):
-        import pandas as pd
-
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "i": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
-        x, y, ids = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), a.id.to_numpy()
-        out = []
-        for q, row in zip(b.id.to_numpy(), y):
-            d = np.sqrt(((x - row) ** 2).sum(axis=1))
-            top = np.lexsort((ids, d))[:k]
-            out.append(pd.DataFrame({"q": q, "i": ids[top], "d": d[top]}))
-        return pd.concat(out)
-
-    found = rows.unionByName(asked).groupBy("b", "part").applyInPandas(best, "q long, i long, d double")
-    rank = F.row_number().over(W.partitionBy("q").orderBy("d", "i"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(test_id), "rank", F.col("i").alias("neighbor_id"), F.col("d").alias("distance"))
+def nearest_neighbors(train: DataFrame, test: DataFrame, vector: str, k: int, train_id: str, test_id: str) -> DataFrame:
+    """(test_id, rank, neighbor_id, distance) of the k nearest training rows by Euclidean distance, ties to the smaller id."""
+    return nearest(train, test, vector, k, train_id, test_id)
 
 
 def _voted(train, test, vector, k, train_id, test_id, target, weighting):

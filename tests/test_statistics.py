@@ -243,3 +243,29 @@ def test_discordant_pairs_in_blocks(spark):
     import numpy as np
 
     assert S.inversions(np.array(y, float), np.ones(333)) == sum(y[i] > y[j] for i in range(333) for j in range(i + 1, 333))
+
+
+def test_neighbours_through_cells(spark):
+    """Clusters, ties, repeated vectors and many shards: the k nearest of all rows."""
+    import numpy as np
+
+    from millrace.functions import multivariate, neighbors
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 10, (12, 5))
+    x = np.round(centres[rng.integers(0, 12, 900)] + rng.normal(0, 0.4, (900, 5)), 1)
+    x[100:160] = x[100]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    asked = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(np.r_[x[95:110], rng.normal(0, 10, (10, 5))])], "q long, v array<double>")
+    want = []
+    for r in asked.collect():
+        d = np.sqrt(((x - np.array(r.v)) ** 2).sum(axis=1))
+        want += [(r.q, k + 1, int(i)) for k, i in enumerate(np.lexsort((np.arange(900), d))[:4])]
+    for shard in (40, 20_000):
+        got = neighbors.nearest(df, asked, "v", 4, "id", "q", shard)
+        assert sorted((r.q, r["rank"], r.neighbor_id) for r in got.collect()) == want
+    assert multivariate.nearest_neighbors(df.limit(0), asked, "v", 2, "id", "q").count() == 0
+    assert multivariate.nearest_neighbors(df.limit(3), asked, "v", 5, "id", "q").count() == 75
+    nodes = neighbors.cells_of(x, 20)
+    cell = neighbors.place(nodes, x)
+    assert len(set(cell.tolist())) == sum(len(n) == 1 for n in nodes) > 8
