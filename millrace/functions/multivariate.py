@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.neighbors import nearest
+from millrace.operators.ordering import checkpointed
 from millrace.functions.statistics import bartlett_sphericity, complete, correlation_matrix
 from millrace.operators.window import number
 
@@ -332,8 +333,8 @@ def nearest_center(x: list[Column], centers: np.ndarray) -> tuple[Column, Column
 
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int, n_start: int = 1, max_iter: int = 10, seed: int = 1) -> KMeans:
-    """Lloyd's algorithm from distinct rows picked by a hash; the best of ``n_start`` starts. Each step is one aggregate."""
-    d = complete(df, *columns)
+    """Lloyd's algorithm from distinct rows picked by a hash; the best of ``n_start`` starts. Each step is one aggregate over the columns as they were written once."""
+    d = checkpointed(complete(df, *columns))
     x, best = [F.col(c) for c in columns], None
     for start in range(n_start):
         picks = d.distinct().orderBy(F.xxhash64(F.lit(seed * 1000 + start), *columns), *columns).limit(k).collect()

@@ -258,8 +258,8 @@ def _pca(spark, d):
 
 @query("kmeans")
 def _kmeans(spark, d):
-    t = read(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(f"x{i}") for i in range(8)])
-    return multivariate.assign(t, [f"x{i}" for i in range(8)], multivariate.kmeans(t, [f"x{i}" for i in range(8)], 5)).select("vec_id", "cluster")
+    t, names = read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return multivariate.assign(t, names, multivariate.kmeans(t, names, 5)).select(*LINE_KEY, "cluster")
 
 
 query("knn_neighbors", """
@@ -373,7 +373,7 @@ simple("ccl_filter_functions", "customer", lambda t: formula.filter_rows(t, "CON
 formula_query("ccl_concat_trim", "customer", ["c_custkey", "c_name"], "NEW('a') = CONCAT(B, '/', A); NEW('t') = TRIM('  ' & B & ' '); NEW('r') = REPEAT(LEFT(B, 1), 3); NEW('u') = SUBSTR(B, 1, 4)", "SELECT c_custkey, c_name, c_name || '/' || c_custkey AS a, c_name AS t, repeat(left(c_name, 1), 3) AS r, substr(c_name, 1, 4) AS u FROM customer")
 formula_query("ccl_cumulative_kinds", "nation", ["n_nationkey", "n_name", "n_regionkey"], "NEW('s') = CUMSUM(C); NEW('m') = CUMMIN(C); NEW('p') = CUMPROD(C + 1); NEW('w') = ROLLING_SUM(C, 3); NEW('lo') = ROLLING_MIN(C, 2); NEW('l') = LEAD(A, 2)",
               "SELECT n_nationkey, n_name, n_regionkey, sum(n_regionkey) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS s, min(n_regionkey) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS m, product(n_regionkey + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS p, CASE WHEN count(*) OVER (w ROWS 2 PRECEDING) = 3 THEN sum(n_regionkey) OVER (w ROWS 2 PRECEDING)::DOUBLE END AS w, CASE WHEN count(*) OVER (w ROWS 1 PRECEDING) = 2 THEN min(n_regionkey) OVER (w ROWS 1 PRECEDING)::DOUBLE END AS lo, lead(n_nationkey, 2) OVER w AS l FROM nation WINDOW w AS (ORDER BY n_nationkey)", ["n_nationkey"])
-stat_query("anova_two_way", "lineitem", lambda t: {"f": S.anova_two_way(t.filter("l_returnflag <> 'N'"), "l_quantity", "l_returnflag", "l_linenumber")["a"].statistic}, None)
+stat_query("anova_two_way", "lineitem", lambda t: {"f": S.anova_two_way(t, "l_quantity", "l_linestatus", "l_linenumber")["a"].statistic}, None)
 stat_query("correlation_matrix", "lineitem", lambda t: dict(zip(("ab", "ac", "bc"), (lambda r: (r[0, 1], r[0, 2], r[1, 2]))(S.correlation_matrix(t, ["l_quantity", "l_discount", "l_extendedprice"])[0]))), "SELECT corr(l_quantity, l_discount) AS ab, corr(l_quantity, l_extendedprice) AS ac, corr(l_discount, l_extendedprice) AS bc FROM lineitem")
 stat_query("wilcoxon_single", "supplier", lambda t: {"v": S.wilcoxon_single((t, "s_acctbal"), 4000.0).statistic}, "WITH d AS (SELECT s_acctbal - 4000 AS d FROM supplier WHERE s_acctbal <> 4000), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d) SELECT coalesce(sum(r) FILTER (d > 0), 0) AS v FROM r")
 stat_query("bartlett_sphericity", "lineitem", lambda t: {"chi2": S.bartlett_sphericity(t, ["l_quantity", "l_discount", "l_tax"]).statistic}, None)
@@ -381,9 +381,8 @@ stat_query("bartlett_sphericity", "lineitem", lambda t: {"chi2": S.bartlett_sphe
 
 @query("factor_analysis")
 def _factors(spark, d):
-    cols = [f"x{i}" for i in range(6)]
-    t = read(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    f = multivariate.factor_analysis(t, cols, 2)
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    f = multivariate.factor_analysis(read(spark, d, "lineitem"), cols, 2)
     return spark.createDataFrame([(c, float(r[0]), float(r[1]), float(u)) for c, r, u in zip(cols, f.loadings, f.uniquenesses)], "column string, f1 double, f2 double, uniqueness double")
 
 
