@@ -6,7 +6,8 @@ A line is boilerplate of a host if the share of the host's pages that hold it is
 above a ratio; such lines are cut from that host's pages. Lines are compared
 without the white space around them; blank lines are neither counted nor cut.
 
-The first pass counts (host, line) with partial sums before the shuffle. At
+The first pass counts (host, line) with partial sums before the shuffle; a line
+stands as two 64-bit hashes of different seeds, so no text is shuffled. At
 most (mean distinct lines of a page) / ratio lines of a host can be above the
 ratio, so the lines to drop fit one small row per host even for a host with a
 third of all pages. The second pass brings that row to the host's pages: by a
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpointed, fresh, null_safe_join, table
 
 RATIO, MIN_PAGES = 0.2, 5
-#: Characters of all dropped lines together up to which they are broadcast.
-BROADCAST_CHARS = 4_000_000
+#: Dropped lines of all hosts together up to which they are broadcast, 16 bytes each.
+BROADCAST_LINES = 250_000
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -32,34 +33,42 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def bare(line: Column) -> Column:
+    return F.trim(line, F.lit(SPACE))
+
+
+def mark(line: Column) -> Column:
+    """128 bits that stand for a line."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
+
+
 def boilerplate(pages: DataFrame, host: str, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, dropped): for each host with any, the sorted lines on more than ``ratio`` of its pages and on ``min_pages`` at least."""
-    own = F.array_distinct(F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(SPACE))), lambda x: x != ""))
+    """(host, dropped): for each host with any, the marks of the lines on more than ``ratio`` of its pages and on ``min_pages`` at least."""
+    own = F.transform(F.array_distinct(F.filter(F.transform(lines, bare), lambda x: x != "")), mark)
     slim = pages.select(F.col(host).alias("host"), own.alias("own"))
     totals = slim.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = slim.select("host", F.explode("own").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    counts = slim.select("host", F.inline("own")).groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     over = null_safe_join(counts, totals, ["host"]).filter(F.col("n") / F.col("pages") > F.lit(float(ratio)))
-    return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
+    return over.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("dropped"))
 
 
 def dedup_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = False) -> DataFrame:
     """``pages`` with ``text`` cut; all other columns as they are, with ``n_lines_dropped`` added.
 
-    Null text stays null and an empty one empty. Pages of a null host are a
-    host of their own. Repeated rows are pages of their own and count as such.
+    Null text stays null and an empty one empty; a very long text is split and
+    cut whole. Pages of a null host are a host of their own. Repeated rows are pages of their own and count as such.
     A host needs ``min_pages`` pages with a line before it can be boilerplate,
     so small hosts keep everything. With ``keep_whole`` a page made of
     boilerplate lines alone is left alone: it is a copied page, which is the
     business of near-dedup. A column named ``n_lines_dropped`` is replaced.
     """
-    drop, small = fresh("drop"), False
+    drop = fresh("drop")
     found = checkpointed(boilerplate(pages, host, lines_of(F.coalesce(F.col(text), F.lit(""))), ratio, min_pages)).withColumnsRenamed({"dropped": drop})
-    size = found.agg(F.coalesce(F.sum(F.aggregate(drop, F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 40)), F.lit(0)).alias("n")).first()["n"]
-    small = size <= BROADCAST_CHARS
+    small = found.agg(F.coalesce(F.sum(F.size(drop)), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_LINES
     out = null_safe_join(pages.drop("n_lines_dropped"), found.withColumnRenamed("host", host), [host], "left", small)
-    bare = lambda x: F.trim(x, F.lit(SPACE))
     kept = fresh("kept")
-    out = out.withColumn(kept, F.filter(lines_of(F.col(text)), lambda x: ~F.array_contains(F.col(drop), bare(x))))
+    # A blank line has no mark among those dropped; pages of hosts without any aren't looked at.
+    out = out.withColumn(kept, F.when(F.col(drop).isNotNull(), F.filter(lines_of(F.col(text)), lambda x: ~F.array_contains(F.col(drop), mark(bare(x))))))
     cut = F.col(drop).isNotNull() & F.col(text).isNotNull()
     if keep_whole:
         cut = cut & F.exists(F.col(kept), lambda x: bare(x) != "")
