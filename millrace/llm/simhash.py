@@ -268,6 +268,8 @@ BROADCAST_KEYS = 200_000
 ROWS, BANDS = 8, 64
 #: Members of a bin that all others of it are compared with in a round.
 LEADS = 32
+#: Bytes of the texts of a round's leads up to which they are sent to all executors; more are met by a shuffle.
+BROADCAST_TEXTS = 32_000_000
 #: How far a similarity estimated from one bit of each least hash may fall short, in standard deviations, before texts are not compared.
 SIGMAS = 6.0
 
@@ -353,9 +355,11 @@ def near_pairs(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, shingl
     """Those of the pairs (k, lead) whose similarity is ``least`` or more."""
     sent = F.broadcast if pairs.count() <= BROADCAST_KEYS else (lambda d: d)
     of = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("same")).alias("own"), F.col(text).cast("binary").alias("t"))
-    leads = of.join(sent(pairs.select(F.col("lead").alias("own")).distinct()), "own", "left_semi").dropDuplicates(["own"]).select(F.col("own").alias("lead"), F.col("t").alias("bt"))
+    leads = checkpointed(of.join(sent(pairs.select(F.col("lead").alias("own")).distinct()), "own", "left_semi").dropDuplicates(["own"]).select(F.col("own").alias("lead"), F.col("t").alias("bt")))
+    # One lead can have a large group of copies: where the leads are few, no text is sent to where its lead is.
+    few = leads.agg(F.coalesce(F.sum(F.octet_length("bt") + 64), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_TEXTS
     # Rows of one id and text are one document; a pair that is compared twice is only once in the outcome.
-    texts = of.join(sent(pairs), F.col("own") == F.col("k")).select("k", "lead", "t").join(leads, "lead").select("k", "lead", "t", "bt")
+    texts = of.join(sent(pairs), F.col("own") == F.col("k")).select("k", "lead", "t").join(F.broadcast(leads) if few else leads, "lead").select("k", "lead", "t", "bt")
 
     def compare(batches):
         import pyarrow as pa
@@ -390,12 +394,12 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     In the order of ids, a document goes if the set similarity of its shingles
     with one that stays is ``least`` or more; so no two that are compared and
     stay are that similar, whatever group they are of. Compared are documents
-    that share a bin of least hashes and whose sketches don't rule it out. A
-    round has two steps. The documents that are the first of each of their bins
-    stay for certain; the others of those bins are compared with them, which
-    settles large groups of copies by one comparison a member. Then the first
-    ``leads`` of each bin are compared with all of it. So pairs grow with the
-    members, not with their square; what is not settled goes to another round.
+    that share a bin of least hashes and whose sketches don't rule it out. The
+    documents that are the first of each of their bins stay for certain; the
+    others of those bins are compared with them, which settles large groups of
+    copies by one comparison a member. Then the first ``leads`` of each bin are
+    compared with all of it; what that leaves open goes to a round with four
+    times as many leads. So pairs grow with the members, not with their square.
     Rows of one id and one text are one document here. Edge cases are those of
     ``dedup``.
     """
@@ -405,25 +409,20 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     def close(pairs: DataFrame) -> DataFrame:
         return near_pairs(docs, alike(checkpointed(pairs.filter(F.col("k") > F.col("lead")).select("k", "lead").distinct()), sketches, bits), doc_id, text, shingle, least)
 
-    def without(linked: DataFrame, *settled: DataFrame) -> DataFrame:
-        for s in settled:
-            linked = linked.join(s, "k", "left_anti")
-        return checkpointed(linked)
-
     first = F.row_number().over(W.partitionBy("bin").orderBy("k"))
-    while not linked.isEmpty():
+    if not linked.isEmpty():
         ahead = checkpointed(linked.withColumn("rank", first).filter(F.col("rank") == 1).select("bin", F.col("k").alias("lead")))
         bins_in, bins_led = linked.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ahead.groupBy(F.col("lead").alias("k")).agg(F.count(F.lit(1)).alias("led"))
         stay = checkpointed(bins_led.join(bins_in, "k").filter("led = n").select("k"))
-        new = checkpointed(close(linked.join(ahead.join(stay.select(F.col("k").alias("lead")), "lead", "left_semi"), "bin")).select("k").distinct())
-        gone = new if gone is None else gone.unionByName(new)
-        linked = without(linked, new, stay)
+        gone = checkpointed(close(linked.join(ahead.join(stay.select(F.col("k").alias("lead")), "lead", "left_semi"), "bin")).select("k").distinct())
+        linked = checkpointed(linked.join(gone, "k", "left_anti").join(stay, "k", "left_anti"))
+    while not linked.isEmpty():
         ahead = checkpointed(linked.withColumn("rank", first).filter(F.col("rank") <= leads).select("bin", F.col("k").alias("lead")))
         unsure = checkpointed(linked.join(ahead.withColumnRenamed("lead", "k"), ["bin", "k"], "left_anti").select("k").distinct())
         new, open_pairs = settle(close(linked.join(ahead, "bin")), unsure)
         gone = gone.unionByName(new)
         rest = unsure.unionByName(open_pairs.select("k")).distinct().join(new, "k", "left_anti")
-        linked = checkpointed(linked.join(rest, "k", "left_semi"))
+        linked, leads = checkpointed(linked.join(rest, "k", "left_semi")), 4 * leads
     if gone is None:
         return docs
     gone = checkpointed(gone.distinct())
