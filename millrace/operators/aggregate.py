@@ -143,30 +143,40 @@ def type6(c: Column, p: float) -> Column:
 
 
 def quantiles(df: DataFrame, column: str, probabilities: Iterable[float], kind: int = 7) -> dict[float, float | None]:
-    """Exact quantiles of type 6 or 7 of a whole column at any size.
+    """Exact quantiles of type 6 or 7 of a whole column at any size."""
+    return quantiles_of(df, [column], probabilities, kind)[column]
 
-    Values are counted first; running sums over value ranges (``running``) then
-    tell which values hold the wanted ranks, so no task holds all values.
+
+def quantiles_of(df: DataFrame, columns: list[str], probabilities: Iterable[float], kind: int = 7) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles of several columns, in one pass.
+
+    Values are counted by column first; running sums over ranges of (column,
+    value) then tell which values hold the wanted ranks, so no task holds all
+    values of a column.
     """
     from millrace.operators.ordering import number_rows, running
 
-    if not (probabilities := list(probabilities)):
-        return {}
-    counts = df.select(number(df, column).alias("v")).filter("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    upto = running(number_rows(counts, "v"), {"upto": (F.col("n"), "sum")})
-    n = upto.agg(F.max("upto")).first()[0]
     wanted = list(probabilities)
-    if not n:
-        return {p: None for p in wanted}
-    ranks = {}
-    for p in wanted:
-        at = p * (n - 1) + 1 if kind == 7 else p * (n + 1)
-        at = min(max(at, 1), n)
-        ranks[p] = (int(at), min(int(at) + 1, n), at - int(at))
-    needed = sorted({r for a, b, _ in ranks.values() for r in (a, b)})
-    hit = upto.select("v", "upto", F.explode(F.filter(F.array(*[F.lit(r) for r in needed]), lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))).alias("r"))
-    of = {r.r: r.v for r in hit.collect()}
-    return {p: of[a] + (of[b] - of[a]) * f for p, (a, b, f) in ranks.items()}
+    if not wanted or not columns:
+        return {c: {} for c in columns}
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("c"), number(df, c).alias("v")) for i, c in enumerate(columns)]))
+    counts = df.select(cells).filter("v is not null and not isnan(v)").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = running(number_rows(counts, ["c", "v"]), {"upto": (F.col("n"), "sum")})
+    ends = {r.c: r.upto for r in upto.groupBy("c").agg(F.max("upto").alias("upto")).collect()}
+    before, asked = 0, {}
+    for i in sorted(ends):
+        n = ends[i] - before
+        for p in wanted:
+            at = min(max(p * (n - 1) + 1 if kind == 7 else p * (n + 1), 1), n)
+            asked[i, p] = before + int(at), before + min(int(at) + 1, n), at - int(at)
+        before = ends[i]
+    needed = sorted({r for a, b, _ in asked.values() for r in (a, b)})
+    of = {}
+    if needed:
+        hit = upto.select("v", F.explode(F.filter(F.array(*[F.lit(r) for r in needed]), lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))).alias("r"))
+        of = {r.r: r.v for r in hit.collect()}
+    value = lambda a, b, f: of[a] + (of[b] - of[a]) * f
+    return {c: {p: value(*asked[i, p]) if (i, p) in asked else None for p in wanted} for i, c in enumerate(columns)}
 
 
 #: Statistics that come from the sorted values.
@@ -188,7 +198,7 @@ def column_stats(df: DataFrame, column: str, only: Iterable[str] | None = None)
     at = {}
     if any(n in RANKED for n in names):
         q = quantiles(df, column, (0.25, 0.5, 0.75), kind=6)
-        at = {"q1": q[0.25], "q2": q[0.5], "q3": q[0.75], "median": quantiles(df, column, (0.5,))[0.5] if "median" in names else None, "iqr": None if q[0.25] is None else q[0.75] - q[0.25]}
+        at = {"q1": q[0.25], "q2": q[0.5], "q3": q[0.75], "median": q[0.5], "iqr": None if q[0.25] is None else q[0.75] - q[0.25]}
     row = d.agg(*[plain[n].alias(n) for n in names if n in plain] or [F.count("x").alias("__n")])
     return row.select(*[F.col(n) if n in plain else F.lit(at[n]).cast("double").alias(n) for n in names])
 
@@ -244,10 +254,9 @@ def describe(df: DataFrame, percentiles: Iterable[float] = (0.25, 0.5, 0.75), in
     columns = [c for c in df.columns if c != RID and (include_all or is_numeric(df, c))]
     stats = ["count", "missing", *(["unique", "top", "freq"] if include_all else []), "mean", "std", "min", *map(percentile_label, ps), "max"]
     values = {c: _describe(df, c, []) for c in columns}
-    for c in columns:
-        if is_numeric(df, c):
-            # Whole columns: by ranks over partitioned counts, not in one state.
-            values[c] |= {percentile_label(p): F.max(F.lit(v).cast("double")) for p, v in quantiles(df, c, ps).items()}
+    # Whole columns: by ranks over partitioned counts, not in one state.
+    for c, found in quantiles_of(df, [c for c in columns if is_numeric(df, c)], ps).items():
+        values[c] |= {percentile_label(p): F.max(F.lit(v).cast("double")) for p, v in found.items()}
     if include_all:
         df, order = (df, F.col(order_by)) if order_by else (df.withColumn("__at", F.monotonically_increasing_id()), F.col("__at"))
         for c in columns:

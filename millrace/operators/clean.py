@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import ordering
-from millrace.operators.aggregate import is_float, is_numeric, missing, number, quantiles
+from millrace.operators.aggregate import is_float, is_numeric, missing, number, quantiles_of
 from millrace.operators.ordering import RID
 
 #: Fixed value: the text that spreadsheets write for a missing value.
@@ -209,7 +209,8 @@ def fill_with(df: DataFrame, columns: Sequence[str], how: str, order_by: str | N
         if how not in ("mean", "median"):
             raise ValueError(f"can't fill with {how}")
         known = lambda c: F.when(~missing(df, c), F.col(c).cast("double"))
-        row = df.agg(*[(F.avg(known(c)) if how == "mean" else F.max(F.lit(quantiles(df, c, (0.5,))[0.5]).cast("double"))).alias(f"__fill_{c}") for c in own])
+        middle = quantiles_of(df, own, (0.5,)) if how == "median" else {}
+        row = df.agg(*[(F.avg(known(c)) if how == "mean" else F.max(F.lit(middle[c][0.5]).cast("double"))).alias(f"__fill_{c}") for c in own])
     filled = {c: F.when(missing(df, c), F.col(f"__fill_{c}")).otherwise(F.col(c)) for c in own}
     return df.crossJoin(F.broadcast(row)).withColumns(filled).select([c for c in df.columns if c != "__at"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import ordering
-from millrace.operators.aggregate import quantiles
+from millrace.operators.aggregate import quantiles_of
 
 #: Time scales and the truncations that make their buckets.
 SCALES = {"hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month", "yearly": "year"}
@@ -43,7 +43,7 @@ def rfm(df: DataFrame, customer: str, at: str, amount: str, as_of, groups: int =
     )
     each = ordering.checkpointed(each)
     shares = [i / groups for i in range(1, groups)]
-    cuts = {c: list(quantiles(each, c, shares).values()) for c in ("recency", "frequency", "monetary")}
+    cuts = {c: list(q.values()) for c, q in quantiles_of(each, ["recency", "frequency", "monetary"], shares).items()}
     limits = each.sparkSession.range(1).select(*[F.array(*[F.lit(v).cast("double") for v in cuts[c]]).alias(f"__{c}") for c in cuts])
     passed = lambda c, test: F.size(F.filter(F.col(f"__{c}"), lambda t: test(F.col(c), t))) + 1
     scored = each.crossJoin(F.broadcast(limits)).select(

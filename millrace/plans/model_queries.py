@@ -26,7 +26,7 @@ from millrace.table import Table
 # Tests.
 
 _CORR = "(SELECT corr(l_quantity, l_discount) AS a, corr(l_quantity, l_tax) AS b, corr(l_discount, l_tax) AS c, count(*) AS n FROM lineitem)"
-stat_query("bartlett_sphericity_exact", "lineitem", lambda t: {"chi2": S.bartlett_sphericity(t, ["l_quantity", "l_discount", "l_tax"]).statistic, "df": S.bartlett_sphericity(t, ["l_quantity", "l_discount", "l_tax"]).df}, f"SELECT -(n - 1 - 11.0 / 6) * ln(1 + 2 * a * b * c - a * a - b * b - c * c) AS chi2, 3 AS df FROM {_CORR}")
+stat_query("bartlett_sphericity", "lineitem", lambda t: {"chi2": S.bartlett_sphericity(t, ["l_quantity", "l_discount", "l_tax"]).statistic, "df": S.bartlett_sphericity(t, ["l_quantity", "l_discount", "l_tax"]).df}, f"SELECT -(n - 1 - 11.0 / 6) * ln(1 + 2 * a * b * c - a * a - b * b - c * c) AS chi2, 3 AS df FROM {_CORR}")
 
 
 def _regression_f(t):
@@ -46,7 +46,7 @@ def _nested_f(t):
 
 stat_query("ftest_nested", "part", _nested_f, "SELECT regr_r2(p_retailprice, p_size) / (1 - regr_r2(p_retailprice, p_size)) * (count(*) - 2) AS f FROM part")
 _CELLS = "c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n, avg(o_totalprice) AS m, coalesce(var_samp(o_totalprice), 0) AS v FROM orders GROUP BY ALL), g AS (SELECT avg(o_totalprice) AS g FROM orders), x AS (SELECT o_orderstatus AS a, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1), y AS (SELECT o_orderpriority AS b, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1), s AS (SELECT (SELECT sum(n * (m - g) ^ 2) FROM x, g) AS sa, (SELECT sum(n * (m - g) ^ 2) FROM y, g) AS sb, (SELECT sum(n * (m - g) ^ 2) FROM c, g) AS sc, (SELECT sum((n - 1) * v) FROM c) AS sw, (SELECT count(*) FROM x) - 1 AS da, (SELECT count(*) FROM y) - 1 AS db, (SELECT sum(n) - count(*) FROM c) AS dw)"
-stat_query("anova_two_way_effects", "orders", lambda t: {k: v.statistic for k, v in S.anova_two_way(t, "o_totalprice", "o_orderstatus", "o_orderpriority").items()}, f"WITH {_CELLS} SELECT sa / da / (sw / dw) AS a, sb / db / (sw / dw) AS b, (sc - sa - sb) / (da * db) / (sw / dw) AS interaction FROM s")
+stat_query("anova_two_way", "orders", lambda t: {k: v.statistic for k, v in S.anova_two_way(t, "o_totalprice", "o_orderstatus", "o_orderpriority").items()}, f"WITH {_CELLS} SELECT sa / da / (sw / dw) AS a, sb / db / (sw / dw) AS b, (sc - sa - sb) / (da * db) / (sw / dw) AS interaction FROM s")
 
 
 def _matched(t: DataFrame) -> DataFrame:
@@ -60,6 +60,17 @@ stat_query("friedman", "lineitem", lambda t: {"q": S.friedman(_matched(t), "q",
 stat_query("wilcoxon_paired", "lineitem", lambda t: {"v": S.wilcoxon_paired(t.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("a"), F.avg(F.col("l_linenumber") * 6.4).alias("b")), "a", "b").statistic}, "WITH d AS (SELECT avg(l_quantity) - avg(l_linenumber * 6.4::DOUBLE) AS d FROM lineitem GROUP BY l_suppkey), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0) SELECT sum(r) FILTER (d > 0) AS v FROM r")
 on_value("diag", "region", lambda t: {"of": ",".join(f"{v:g}" for v in S.diag([[1, 2], [3, 4]])), "total": float(S.diag([5, 6], 3, 3).sum()), "size": int(S.diag(4).sum())}, "SELECT '1,4' AS \"of\", 16.0::DOUBLE AS total, 4 AS size")
 
+
+
+def _slope(first: str, second: str, third: str) -> str:
+    """The coefficient of one of three predictors: that of what the other two leave of it."""
+    less = lambda a, b: f"{a} - regr_slope({a}, {b}) OVER () * {b} AS {a}"
+    return f"(WITH a AS (SELECT l_extendedprice AS y, {less(first, third)}, {less(second, third)} FROM lineitem), b AS (SELECT y, {less(first, second)} FROM a) SELECT regr_slope(y, {first}) FROM b)"
+
+
+_Q, _D, _TAX = "l_quantity", "l_discount", "l_tax"
+stat_query("ols_multiple", "lineitem", lambda t: {k: v / 1e5 for k, v in zip("abcd", regression.linear(t, "l_extendedprice", [_Q, _D, _TAX]).coefficients)}, f"SELECT (y - b * q - c * d - e * t) / 1e5 AS a, b / 1e5 AS b, c / 1e5 AS c, e / 1e5 AS d FROM (SELECT avg(l_extendedprice) AS y, avg({_Q}) AS q, avg({_D}) AS d, avg({_TAX}) AS t, {_slope(_Q, _D, _TAX)} AS b, {_slope(_D, _Q, _TAX)} AS c, {_slope(_TAX, _Q, _D)} AS e FROM lineitem)")
+
 # Fits: predictions are the means of the groups that the design tells apart.
 
 

@@ -245,7 +245,6 @@ stat_query("mann_whitney", "lineitem", lambda t: {"u": S.mann_whitney(*_ar(t)).s
 stat_query("ols_simple", "part", lambda t: {"a": (f := regression.linear(t, "p_retailprice", ["p_size"])).coefficients[0], "b": f.coefficients[1], "r2": f.measures["r2"]}, "SELECT regr_intercept(p_retailprice, p_size) AS a, regr_slope(p_retailprice, p_size) AS b, regr_r2(p_retailprice, p_size) AS r2 FROM part")
 stat_query("ols_logarithmic", "part", lambda t: {"a": (f := regression.logarithmic(t, "p_retailprice", "p_size")).coefficients[0], "b": f.coefficients[1]}, "SELECT regr_intercept(p_retailprice, ln(p_size)) AS a, regr_slope(p_retailprice, ln(p_size)) AS b FROM part WHERE p_size > 0")
 stat_query("ols_exponential", "part", lambda t: {"a": (f := regression.exponential(t, "p_retailprice", "p_size")).measures["a"], "b": f.measures["b"]}, "SELECT exp(regr_intercept(ln(p_retailprice), p_size)) AS a, regr_slope(ln(p_retailprice), p_size) AS b FROM part")
-stat_query("ols_multiple", "lineitem", lambda t: dict(zip("abcd", regression.linear(t, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).coefficients)), None)
 stat_query("glm_logistic", "lineitem", lambda t: dict(zip("ab", regression.logistic(t.withColumn("y", (F.col("l_returnflag") == "R").cast("double")), "y", ["l_quantity"]).coefficients)), None)
 stat_query("glm_poisson", "part", lambda t: dict(zip("ab", regression.poisson(t, "p_size", ["p_retailprice"]).coefficients)), None)
 
@@ -373,10 +372,8 @@ simple("ccl_filter_functions", "customer", lambda t: formula.filter_rows(t, "CON
 formula_query("ccl_concat_trim", "customer", ["c_custkey", "c_name"], "NEW('a') = CONCAT(B, '/', A); NEW('t') = TRIM('  ' & B & ' '); NEW('r') = REPEAT(LEFT(B, 1), 3); NEW('u') = SUBSTR(B, 1, 4)", "SELECT c_custkey, c_name, c_name || '/' || c_custkey AS a, c_name AS t, repeat(left(c_name, 1), 3) AS r, substr(c_name, 1, 4) AS u FROM customer")
 formula_query("ccl_cumulative_kinds", "nation", ["n_nationkey", "n_name", "n_regionkey"], "NEW('s') = CUMSUM(C); NEW('m') = CUMMIN(C); NEW('p') = CUMPROD(C + 1); NEW('w') = ROLLING_SUM(C, 3); NEW('lo') = ROLLING_MIN(C, 2); NEW('l') = LEAD(A, 2)",
               "SELECT n_nationkey, n_name, n_regionkey, sum(n_regionkey) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS s, min(n_regionkey) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS m, product(n_regionkey + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS p, CASE WHEN count(*) OVER (w ROWS 2 PRECEDING) = 3 THEN sum(n_regionkey) OVER (w ROWS 2 PRECEDING)::DOUBLE END AS w, CASE WHEN count(*) OVER (w ROWS 1 PRECEDING) = 2 THEN min(n_regionkey) OVER (w ROWS 1 PRECEDING)::DOUBLE END AS lo, lead(n_nationkey, 2) OVER w AS l FROM nation WINDOW w AS (ORDER BY n_nationkey)", ["n_nationkey"])
-stat_query("anova_two_way", "lineitem", lambda t: {"f": S.anova_two_way(t, "l_quantity", "l_linestatus", "l_linenumber")["a"].statistic}, None)
 stat_query("correlation_matrix", "lineitem", lambda t: dict(zip(("ab", "ac", "bc"), (lambda r: (r[0, 1], r[0, 2], r[1, 2]))(S.correlation_matrix(t, ["l_quantity", "l_discount", "l_extendedprice"])[0]))), "SELECT corr(l_quantity, l_discount) AS ab, corr(l_quantity, l_extendedprice) AS ac, corr(l_discount, l_extendedprice) AS bc FROM lineitem")
 stat_query("wilcoxon_single", "supplier", lambda t: {"v": S.wilcoxon_single((t, "s_acctbal"), 4000.0).statistic}, "WITH d AS (SELECT s_acctbal - 4000 AS d FROM supplier WHERE s_acctbal <> 4000), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d) SELECT coalesce(sum(r) FILTER (d > 0), 0) AS v FROM r")
-stat_query("bartlett_sphericity", "lineitem", lambda t: {"chi2": S.bartlett_sphericity(t, ["l_quantity", "l_discount", "l_tax"]).statistic}, None)
 
 
 @query("factor_analysis")
