@@ -269,7 +269,7 @@ ROWS, BANDS = 8, 64
 #: Members of a bin that all others of it are compared with in a round.
 LEADS = 32
 #: Bytes of the texts of a round's leads up to which they are sent to all executors; more are met by a shuffle.
-BROADCAST_TEXTS = 32_000_000
+BROADCAST_TEXTS = 4_000_000
 #: How far a similarity estimated from one bit of each least hash may fall short, in standard deviations, before texts are not compared.
 SIGMAS = 6.0
 
@@ -343,10 +343,11 @@ def meeting(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[Data
 
 def alike(pairs: DataFrame, sketches: DataFrame, bits: int) -> DataFrame:
     """Those of the pairs (k, lead) whose sketches differ in ``bits`` at most."""
+    # A lead can have a large group: where pairs are few, the leads' sketches (some 100 bytes each) go to the pairs.
     sent = F.broadcast if pairs.count() <= BROADCAST_KEYS else (lambda d: d)
-    of_lead = sketches.select(F.col("k").alias("lead"), F.col("sketch").alias("other"))
+    of_lead = sketches.select(F.col("k").alias("lead"), F.col("sketch").alias("other")).join(sent(pairs.select("lead").distinct()), "lead", "left_semi")
     near = sketches.join(sent(pairs), "k").select("k", "lead", "sketch")
-    near = near.join(of_lead, "lead")
+    near = near.join(sent(of_lead), "lead")
     differ = F.aggregate(F.zip_with("sketch", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
     return checkpointed(near.filter(differ <= bits).select("k", "lead"))
 
