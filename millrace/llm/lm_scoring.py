@@ -3,10 +3,9 @@
 Words are spelled in the first ``VOCAB`` pieces of a public byte-level BPE, with
 a leading space. The attention model (attention_lm) starts from weights learned
 at the driver on windows of a few thousand documents. Then the whole training
-corpus is gone through: each task takes a window of every ``SPAN`` bytes of its
-texts, where a hash says, and goes on with the weights; the tasks' changes are
-averaged by their windows. So windows and steps grow with the corpus, and the
-driver holds one set of weights.
+corpus is gone through: each task goes on with the weights over every window of
+its texts; the tasks' changes are averaged by their windows. So every id of the
+corpus is a target once, and the driver holds one set of weights.
 
 The model's probability of a word is the product over the word's pieces, given
 that a word begins, times the probability that the word is over; that is a
@@ -42,8 +41,8 @@ from millrace.llm.common import LOWER, UPPER, checkpointed, crc_bucket, fresh, t
 RANKS, VOCAB = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 2048
 #: Words that are sent to all executors, at most; documents and windows of each that the first weights are learned from, at most; steps of that.
 HEAD_WORDS, SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS = 150_000, 3000, 64, 2500
-#: Bytes of text for each window that is learned from in the tasks, the step size there, and windows of a step.
-SPAN, RATE, STEP = 4096, 0.002, 64
+#: Bytes of text for each stretch where a caller asks for stretches, the step size in the tasks, windows of a step, and windows that are mixed before steps are taken.
+SPAN, RATE, STEP, MIXED = 4096, 0.002, 64, 4096
 #: Share of the corpus counts in the mixture.
 SHARE = 0.3
 #: Distinct words that a task counts before it passes them on, or keeps spelled; words of texts that are scored at once.
@@ -262,8 +261,21 @@ def span_windows(spans, texts: Texts, end: int, pad: int) -> tuple[np.ndarray, n
     return x[real], t[real]
 
 
-def refine(model: attention_lm.Model, docs: DataFrame, speller: Speller, text: str, span: int = SPAN, rate: float = RATE) -> attention_lm.Model:
-    """Go on with the weights on a window of every ``span`` bytes of the texts, in the tasks, and average their changes by windows."""
+def every_window(data: list[bytes | None], texts: Texts, end: int, pad: int):
+    """Inputs and targets of all windows of whole texts, at most ``MIXED`` at once."""
+    since, held = 0, 0
+    for i, d in enumerate(data):
+        held += len(d or b"") // 6
+        if held > GROUP or i + 1 == len(data):
+            ids, per, _, _ = texts.ids(*texts.read(data[since : i + 1]))
+            total = int((-(-per // attention_lm.STRIDE)).sum())
+            for w in range(0, total, MIXED):
+                yield attention_lm.windows(ids, per, end, pad, w, w + MIXED)[:2]
+            since, held = i + 1, 0
+
+
+def refine(model: attention_lm.Model, docs: DataFrame, speller: Speller, text: str, span: int | None = None, rate: float = RATE) -> attention_lm.Model:
+    """Go on with the weights on every window of the texts, in the tasks, and average their changes by windows. ``span`` asks for a window of every so many bytes only; the query does not."""
     told, pad, end, parts, salts = docs.sparkSession.sparkContext.broadcast((speller_ranks(speller), model)), len(speller.leading), speller.end, 32, 64
 
     def run(batches):
@@ -271,25 +283,28 @@ def refine(model: attention_lm.Model, docs: DataFrame, speller: Speller, text: s
 
         ranks, first = told.value
         own = copy.deepcopy(first)
-        texts, adam, held, n, since = Texts(Speller(ranks)), attention_lm.Adam(own), [], 0, 0
+        texts, adam, held, n, since, rng = Texts(Speller(ranks)), attention_lm.Adam(own), [], 0, 0, np.random.default_rng(1)
 
-        def step(least):
-            nonlocal held, n
+        def step():
+            """Steps over the windows held, in a mixed order, as those of a text stand together."""
+            nonlocal held, n, since
             x, t = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            while len(x) >= least and len(x):
-                adam.step(x[:STEP], t[:STEP], rate)
-                n += min(len(x), STEP)
-                x, t = x[STEP:], t[STEP:]
-            held, since = [(x, t)], len(x)
-            return since
+            order = rng.permutation(len(x))
+            for a in range(0, len(x), STEP):
+                adam.step(x[order[a : a + STEP]], t[order[a : a + STEP]], rate)
+            n += len(x)
+            held, since = [], 0
 
         for b in batches:
-            held.append(span_windows([s for d in b.column(0).cast(pa.large_binary()) for s in spans_of(d.as_py(), span)], texts, end, pad))
-            since += len(held[-1][0])
-            if since >= STEP:
-                since = step(STEP)
-        if held:
-            step(1)
+            data = [d.as_py() for d in b.column(0).cast(pa.large_binary())]
+            found = every_window(data, texts, end, pad) if span is None else [span_windows([s for d in data for s in spans_of(d, span)], texts, end, pad)]
+            for x, t in found:
+                held.append((x, t))
+                since += len(x)
+                if since >= MIXED:
+                    step()
+        if since:
+            step()
         if n:
             change = np.concatenate([(own.p[k] - first.p[k]).ravel() for k in sorted(first.p)]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([zlib.crc32(change.tobytes()) % salts] * parts, pa.int32()), pa.array([float(n)] * parts), pa.array([c.astype(np.float64).tobytes() for c in np.array_split(change * n, parts)], pa.binary())], names=["part", "salt", "n", "c"])

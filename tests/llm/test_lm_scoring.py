@@ -179,3 +179,27 @@ def test_what_is_learned_from_grows_with_the_texts():
     ids, per, _, _ = (texts := L.Texts(speller)).ids(*texts.read([b"a bc d"]))
     wx, wt, _ = A.windows(ids, per, speller.end, len(speller.leading))
     assert (x[0] == wx[0]).all() and (t[0] == wt[0]).all() and t[1].tolist() == [*ids[1:], *[-1] * (A.STRIDE - len(ids) + 1)]
+
+
+def test_every_window_is_learned_from(spark, monkeypatch):
+    """Each id of every text is a target once, the end marks too; with a window of every 4,096 bytes most were none."""
+    monkeypatch.setattr(L, "GROUP", 500)
+    monkeypatch.setattr(L, "MIXED", 7)
+    speller = L.Speller(L.read_ranks())
+    data = [t and t.encode() for _, t in corpus(60)] + [b"long text " * 3000]
+    pad, texts = len(speller.leading), L.Texts(speller)
+    found = list(L.every_window(data, texts, speller.end, pad))
+    assert max(len(x) for x, _ in found) <= 7
+    got = np.concatenate([t[t >= 0] for _, t in found]).tolist()
+    want = [i for d in data for i in [*speller.spell(L.words_of(d))[0].tolist(), speller.end]]
+    assert got == want
+
+    # A word that stands in one place of a long text: every place of it moves the weights.
+    monkeypatch.undo()
+    docs = lambda at: spark.createDataFrame([(1, " ".join(["word"] * at + ["other"] * 40 + ["word"] * (2000 - at)))], "doc_id long, text string").coalesce(1)
+    start = A.Model(speller.leading, np.ones(pad))
+    moved = [L.refine(A.Model(speller.leading, np.ones(pad)), docs(at), speller, "text").p for at in (400, 1000, 1600)]
+    other = int(speller.spell([b"other"])[0][0])
+    c, k = start.cls[other], start.member[other]
+    for p in moved:
+        assert p["bm"][c, k] > start.p["bm"][c, k]  # a target at least once, so its bias rose
