@@ -7,35 +7,48 @@ responses are pooled, and a logistic layer scores them. Embeddings, filters and
 output are trained by Adagrad; the first embedding component starts from the
 smoothed log odds of its row.
 
-Learning reads a bounded sample of the labelled rows (``per_class`` documents of
-each label, picked by a hash of the id), whose texts the driver holds; scoring
-reads every text, in one pass without a shuffle. A filter's response is a sum of
-one term per word, so the terms of each distinct word are computed once per
-batch of new words and then looked up.
+Learning reads all labelled rows. Their texts are dealt to shards by a hash of
+the id, so that the outcome doesn't depend on how the table is partitioned. The
+log odds come from counts over all shards. Then, in ``ROUNDS`` rounds, the task
+of a shard goes on with the parameters over its texts, a bounded number of words
+at once, and the shards' changes are averaged: those of a row of the table by the
+steps that changed it, others by the documents. The driver holds one set of
+parameters. Scoring reads every text, in one pass without a shuffle. A filter's
+response is a sum of one term per word, so the terms of each distinct word are
+computed once per batch of new words and then looked up.
 
 Labels, language, source and id are no inputs of a score. The threshold above
-which a document is rejected is calibrated for each language on labelled rows
-that a first fitting leaves out; a language without enough of them, or none,
-takes the common threshold. The final fitting reads the whole sample.
+which a document is rejected is calibrated for each language on all labelled rows
+that a first fitting leaves out, from counts by label and threshold reached; a
+language without enough of them, or none, takes the common threshold. The final
+fitting reads those rows too.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import crc_bucket, fresh, table, text_batches
+from millrace.llm.common import checkpointed, crc_bucket, fresh, table, text_batches
 
-#: Labelled documents of each label that are learned from, at most.
-PER_CLASS = 5000
+#: Labelled documents of a shard, where that makes no more than so many shards; words of a shard's texts that a task holds at once.
+SHARD, SHARDS, HELD = 16_000, 128, 1_000_000
+#: Bits for each labelled id in the marks that rule other documents out before they are joined, and bits of a block of marks.
+MARKS, MARKED = 32, 1 << 16
 ROWS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 32, 0.08
+#: Rounds that the epochs are dealt to; after each the shards' parameters are averaged.
+ROUNDS = 2
 BEGINNINGS = (3, 4, 5, 6)
+#: Thresholds that are tried.
+TRIED = np.linspace(0.2, 0.8, 61)
 #: Words whose terms a task keeps, positions that it scores at once, and texts that it reads at once.
 CACHE, CHUNK, SCORED = 80_000, 40_000, 128
 
@@ -74,6 +87,19 @@ class Model:
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out, self.shift = np.full(FILTERS * len(WIDTHS), 0.1, np.float32), np.float32(-1.0)
 
+    def rest(self) -> np.ndarray:
+        """All parameters but the table, in one array."""
+        return np.concatenate([x.ravel() for x in (*self.filters, *self.bias, self.out, np.array([self.shift]))]).astype(np.float64)
+
+    def add(self, table: np.ndarray, rest: np.ndarray) -> None:
+        """Add to the table's rows, and to the other parameters as ``rest`` lays them out."""
+        self.table[:ROWS] += table.astype(np.float32)
+        at = 0
+        for x in (*self.filters, *self.bias, self.out):
+            x += rest[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
+        self.shift = np.float32(self.shift + rest[at])
+
     def terms(self, words: list[bytes]) -> np.ndarray:
         """What each word adds to the responses: for every width and place in the filter, a term per filter."""
         e = self.table[rows_of(words)].sum(axis=1)
@@ -128,49 +154,57 @@ class Reader:
         return self.model.score(self.model.pooled(self.terms[0], np.concatenate(tokens), np.repeat(np.arange(len(texts)), sizes), len(texts)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> Model:
-    """Fit a model; without both labels it scores everything by the share of label 1."""
-    m, rng = Model(seed), np.random.default_rng(seed)
-    labels = np.asarray(labels, np.float32)
-    if not len(labels) or labels.min() == labels.max():
-        m.out[:], m.shift = 0, np.float32(4.0 if len(labels) and labels[0] else -4.0)
-        return m
-    ids: dict[bytes, int] = {}
-    docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(t)), np.int64) for t in texts]
-    rows = rows_of(list(ids))
-    ids.clear()
-    # Log odds of a row: documents of each label that hold it.
-    seen = np.zeros((2, ROWS + 1), np.float32)
-    for d, y in zip(docs, labels):
-        seen[int(y), np.unique(rows[np.unique(d)])] += 1
-    n = np.maximum(np.bincount(labels.astype(int), minlength=2), 1)
+def begun(seen: np.ndarray, n: np.ndarray, seed: int = 1) -> tuple[Model, Model]:
+    """A model that starts from the log odds of each row, and the sums of squares of its steps. ``seen`` counts documents that hold a row, ``n`` documents, by label."""
+    m, sums = Model(seed), Model(seed)
+    n = np.maximum(n, 1)
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5 * n[0] / n[1]) / (n[0] + 1))
-    m.table[:ROWS, 0] = np.where(seen.sum(axis=0)[:ROWS] > 1, 0.3 * odds[:ROWS], 0)
-    g_table, g_filters, g_bias, g_out, g_shift = np.full(m.table.shape, 1e-3, np.float32), [np.full_like(f, 1e-3) for f in m.filters], [np.full_like(b, 1e-3) for b in m.bias], np.full_like(m.out, 1e-3), 1e-3
-    weight = np.where(labels > 0, len(labels) / (2 * n[1]), len(labels) / (2 * n[0])).astype(np.float32)
-    gap = max(WIDTHS) - 1
+    m.table[:ROWS, 0] = np.where(seen.sum(axis=0) > 1, 0.3 * odds, 0)
+    for x in (sums.table, *sums.filters, *sums.bias, sums.out):
+        x[:] = 1e-3
+    sums.shift = np.float32(1e-3)
+    return m, sums
+
+
+def peaks(m: Model, e: np.ndarray, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of every filter in each document and the place of its first word. ``e`` are embeddings of ``tokens``'s numbers, with zeros in the last row; places go chunk by chunk."""
+    pooled, places, n = np.full((len(starts), len(m.out)), -np.inf, np.float32), np.zeros((len(starts), len(m.out)), np.int64), len(tokens)
+    for a in range(0, n, CHUNK):
+        size = min(CHUNK, n - a)
+        own = tokens[a : a + size + max(WIDTHS) - 1]
+        g = e[np.r_[own, np.full(size + max(WIDTHS) - 1 - len(own), -1)]]
+        met = [(d, max(s, a) - a, min(s + z, a + size) - a) for d, (s, z) in enumerate(zip(starts.tolist(), sizes.tolist())) if z and s < a + size and s + z > a]
+        for k, (w, f, b) in enumerate(zip(WIDTHS, m.filters, m.bias)):
+            r, at = sum(g[j : j + size] @ f[j] for j in range(w)) + b, slice(k * FILTERS, (k + 1) * FILTERS)
+            for d, low, high in met:
+                top = r[low:high].argmax(axis=0)
+                best = r[low + top, np.arange(FILTERS)]
+                more = best > pooled[d, at]
+                pooled[d, at], places[d, at] = np.where(more, best, pooled[d, at]), np.where(more, a + low + top, places[d, at])
+    return pooled, places
+
+
+def learn(m: Model, sums: Model, docs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, weight: np.ndarray, epochs: int, rng: np.random.Generator) -> np.ndarray:
+    """Steps of Adagrad over documents, numbers of ``rows``' words each; returns how many steps changed each row of the table."""
+    gap, times, number = max(WIDTHS) - 1, np.zeros(ROWS + 1, np.int64), np.zeros(len(rows), np.int64)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
             sizes = np.array([len(docs[i]) for i in own])
             starts = np.cumsum(sizes + gap) - sizes - gap
-            tokens = np.full((sizes + gap).sum(), -1, np.int64)
-            for i, s in zip(own, starts):
-                tokens[s : s + len(docs[i])] = docs[i]
-            e = np.where((tokens >= 0)[:, None], m.table[rows[tokens]].sum(axis=1), np.float32(0))
-            e = np.concatenate([e, np.zeros((gap, DIM), np.float32)])
-            pooled, places = np.zeros((len(own), len(m.out)), np.float32), np.zeros((len(own), len(m.out)), np.int64)
-            for k, (w, f, b) in enumerate(zip(WIDTHS, m.filters, m.bias)):
-                r = sum(e[j : j + len(tokens)] @ f[j] for j in range(w)) + b
-                for d, (s, size) in enumerate(zip(starts, sizes)):
-                    if size:
-                        top = r[s : s + size].argmax(axis=0)
-                        at = slice(k * FILTERS, (k + 1) * FILTERS)
-                        places[d, at], pooled[d, at] = s + top, r[s + top, np.arange(FILTERS)]
+            read = np.concatenate([docs[i] for i in own])
+            words = np.flatnonzero(np.bincount(read, minlength=len(rows)))
+            number[words] = np.arange(len(words))
+            back, mine = number[read], rows[words]
+            e = np.concatenate([sum(m.table.take(mine[:, j], axis=0) for j in range(mine.shape[1])), np.zeros((1, DIM), np.float32)])
+            tokens, ends = np.full((sizes + gap).sum() + gap, -1, np.int64), np.cumsum(sizes)
+            for s, z, end in zip(starts, sizes, ends):
+                tokens[s : s + z] = back[end - z : end]
+            pooled, places = peaks(m, e, tokens[: len(tokens) - gap], starts, sizes)
             alive = (pooled > 0) & (sizes > 0)[:, None]
             pooled = np.where(alive, pooled, 0)
-            delta = (m.score(pooled) - labels[own]).astype(np.float32) * weight[own] / len(own)
+            delta = (m.score(pooled) - labels[own]).astype(np.float32) * weight[labels[own]] / len(own)
             d_pool = delta[:, None] * m.out * alive
             d_out, d_shift = pooled.T @ delta + 1e-5 * m.out, float(delta.sum())
             d_e = np.zeros_like(e)
@@ -178,36 +212,166 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1, epochs: int = E
                 d, p = d_pool[:, k * FILTERS : (k + 1) * FILTERS], places[:, k * FILTERS : (k + 1) * FILTERS]
                 d_f = np.zeros_like(f)
                 for j in range(w):
-                    x = e[p + j]  # documents, filters, components
-                    d_f[j] = np.einsum("df,dfc->cf", d, x)
-                    np.add.at(d_e, p + j, d[:, :, None] * f[j].T[None])
+                    x = tokens[p + j]
+                    d_f[j] = np.einsum("df,dfc->cf", d, e[x])  # documents, filters, components
+                    np.add.at(d_e, x, d[:, :, None] * f[j].T[None])
                 d_b = d.sum(axis=0)
-                g_filters[k] += d_f**2
-                g_bias[k] += d_b**2
-                f -= RATE * d_f / np.sqrt(g_filters[k])
-                b -= RATE * d_b / np.sqrt(g_bias[k])
-            g_out += d_out**2
-            g_shift += d_shift**2
-            m.out -= RATE * d_out / np.sqrt(g_out)
-            m.shift = np.float32(m.shift - RATE * d_shift / np.sqrt(g_shift))
-            hit = np.flatnonzero(np.abs(d_e).sum(axis=1)[: len(tokens)])
-            hit = hit[tokens[hit] >= 0]
-            d_rows = np.zeros((len(hit), 1), np.float32) + d_e[hit]
-            r, back = np.unique(rows[tokens[hit]], return_inverse=True)
+                sums.filters[k] += d_f**2
+                sums.bias[k] += d_b**2
+                f -= RATE * d_f / np.sqrt(sums.filters[k])
+                b -= RATE * d_b / np.sqrt(sums.bias[k])
+            sums.out += d_out**2
+            sums.shift = np.float32(sums.shift + d_shift**2)
+            m.out -= RATE * d_out / np.sqrt(sums.out)
+            m.shift = np.float32(m.shift - RATE * d_shift / np.sqrt(sums.shift))
+            hit = np.flatnonzero(np.abs(d_e[:-1]).sum(axis=1))
+            r, back = np.unique(mine[hit], return_inverse=True)
             total = np.zeros((len(r), DIM), np.float32)
-            np.add.at(total, back.ravel(), np.repeat(d_rows, rows.shape[1], axis=0))
+            np.add.at(total, back.ravel(), np.repeat(d_e[hit], rows.shape[1], axis=0))
             total[r == ROWS] = 0
-            g_table[r] += total**2
-            m.table[r] -= RATE * total / np.sqrt(g_table[r])
+            sums.table[r] += total**2
+            m.table[r] -= RATE * total / np.sqrt(sums.table[r])
+            times[r] += 1
+    return times
+
+
+def held(batches):
+    """(shard, label, numbers of each document's words, words) of rows shard, label, packed text that stand by shard, at most ``HELD`` words and a text at once."""
+    now, labels, docs, ids, n = None, [], [], {}, 0
+    for b in batches:
+        for shard, y, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if docs and (shard != now or n > HELD):
+                yield now, np.array(labels), docs, list(ids)
+                labels, docs, ids, n = [], [], {}, 0
+            words, now = words_of(zlib.decompress(t)), shard
+            docs.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+            labels.append(y)
+            n += len(words)
+    if docs:
+        yield now, np.array(labels), docs, list(ids)
+
+
+def summed(rows: DataFrame, by_shard, parts: int = 32) -> np.ndarray | None:
+    """Sum of the arrays that ``by_shard`` makes of batches, (shard, array) each, in the order of the shards."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for shard, x in by_shard(batches):
+            pieces = [c.astype(np.float32).tobytes() for c in np.array_split(x, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([shard] * parts, pa.int32()), pa.array(pieces, pa.binary())], names=["part", "shard", "c"])
+
+    def add(key, data):
+        import pyarrow as pa
+
+        data = data.sort_by("shard")
+        total = sum(np.frombuffer(c.as_py(), np.float32).astype(np.float64) for c in data.column("c"))
+        return pa.table({"part": data.column("part").slice(0, 1), "shard": data.column("shard").slice(0, 1), "c": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, shard int, c binary"
+    got = rows.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()
+    return np.concatenate([np.frombuffer(r.c) for r in sorted(got, key=lambda r: r.part)]) if got else None
+
+
+def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(documents that hold each row of the table, documents) by whether they stand apart and label."""
+
+    def seen(batches):
+        now, out = None, None
+        for shard, kinds, docs, words in held(batches):
+            if shard != now:
+                if now is not None:
+                    yield now, out.ravel()
+                now, out = shard, np.zeros((4, ROWS + 1))
+            found = rows_of(words)
+            for d, kind in zip(docs, kinds):
+                out[kind, found[d].ravel()] += 1  # an index that comes twice counts once
+        if now is not None:
+            yield now, out.ravel()
+
+    kind, n = (F.col("y") + 2 * F.col("apart").cast("int")).alias("kind"), np.zeros(4)
+    for r in rows.groupBy(kind).count().collect():
+        n[r.kind] = r["count"]
+    got = summed(rows.select("shard", kind, "t"), seen)
+    return (np.zeros((4, ROWS)) if got is None else got.reshape(4, ROWS + 1)[:, :ROWS]).reshape(2, 2, ROWS), n.reshape(2, 2)
+
+
+def train(rows: DataFrame, seen: np.ndarray, n: np.ndarray, seed: int = 1, epochs: int = EPOCHS, rounds: int = ROUNDS) -> Model:
+    """Fit a model to rows shard, y, t (packed) that stand by shard, with ``counted`` of them by label; without both labels it scores everything by the share of label 1."""
+    if not n.all():
+        m = Model(seed)
+        m.out[:], m.shift = 0, np.float32(4.0 if n[1] else -4.0)
+        return m
+    given = rows.select("shard", "y", "t")
+    m, sums = begun(seen, n, seed)
+    weight = (n.sum() / (2 * n)).astype(np.float32)
+    for k in range(rounds):
+        told = rows.sparkSession.sparkContext.broadcast((m, sums))
+        passes = epochs * (k + 1) // rounds - epochs * k // rounds
+
+        def changes(batches, told=told, k=k, passes=passes):
+            def change():
+                """Changes of each row times the steps that made them, of the others times the documents."""
+                by = times[:ROWS, None].astype(np.float64)
+                rows_of_table = [(by * (x.table[:ROWS].astype(np.float64) - y.table[:ROWS])).ravel() for x, y in ((own, first), (own_sums, first_sums))]
+                return np.concatenate([*rows_of_table, times[:ROWS], *(docs_read * (x.rest() - y.rest()) for x, y in ((own, first), (own_sums, first_sums))), [docs_read]])
+
+            first, first_sums = told.value
+            now = None
+            for shard, labels, docs, words in held(batches):
+                if shard != now:
+                    if now is not None:
+                        yield now, change()
+                    now, own, own_sums, times, docs_read = shard, copy.deepcopy(first), copy.deepcopy(first_sums), np.zeros(ROWS + 1, np.int64), 0
+                    rng = np.random.default_rng([seed, k, shard])
+                times += learn(own, own_sums, docs, rows_of(words), labels, weight, passes, rng)
+                docs_read += len(docs)
+            if now is not None:
+                yield now, change()
+
+        total = summed(given, changes)
+        size, rest = ROWS * DIM, len(m.rest())
+        times, docs_read = np.maximum(total[2 * size : 2 * size + ROWS], 1)[:, None], total[-1]
+        for x, at, rest_at in ((m, 0, 2 * size + ROWS), (sums, size, 2 * size + ROWS + rest)):
+            x.add(total[at : at + size].reshape(ROWS, DIM) / times, total[rest_at : rest_at + rest] / docs_read)
     return m
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, common: float = 0.5) -> float:
-    """The threshold in [0.2, 0.8] of the fewest errors, the nearest to ``common`` of those."""
-    tried = np.linspace(0.2, 0.8, 61)
-    errors = ((scores[:, None] >= tried) != (labels[:, None] > 0)).sum(axis=0)
+def best_threshold(reached: np.ndarray, common: float = 0.5) -> float:
+    """The threshold of ``TRIED`` of the fewest errors, the nearest to ``common`` of those. ``reached`` counts documents by label and by how many thresholds their score reaches."""
+    upto = np.cumsum(reached, axis=1)[:, :-1]
+    errors = upto[1] + reached[0].sum() - upto[0]
     near = np.flatnonzero(errors == errors.min())
-    return float(tried[near[np.abs(tried[near] - common).argmin()]])
+    return float(TRIED[near[np.abs(TRIED[near] - common).argmin()]])
+
+
+def marked(ids: DataFrame, docs: DataFrame, doc_id: str, n: int) -> DataFrame:
+    """Rows of ``docs`` but most of those whose id is not among the ``n`` ids of a column: no other row is lost."""
+    i = ids.columns[0]
+    if ids.schema[i].dataType != docs.schema[doc_id].dataType:
+        return docs
+    size = max(1 << (MARKS * max(n, 1) - 1).bit_length(), MARKED)
+    at, block, bits = (fresh(x) for x in ("at", "block", "bits"))
+
+    def mark(key, data):
+        import pyarrow as pa
+
+        own = np.zeros(MARKED, np.uint8)
+        own[data.column(0).to_numpy() % MARKED] = 1
+        return pa.table({block: pa.array([key[0].as_py()], pa.int64()), bits: pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    places = ids.select(F.pmod(F.xxhash64(i), F.lit(size)).alias(at)).withColumn(block, F.floor(F.col(at) / MARKED).cast("long"))
+    marks = np.zeros(size // 8, np.uint8)
+    for r in places.groupBy(block).applyInArrow(mark, f"{block} long, {bits} binary").collect():
+        marks[r[0] * MARKED // 8 : (r[0] + 1) * MARKED // 8] = np.frombuffer(r[1], np.uint8)
+    told = docs.sparkSession.sparkContext.broadcast(marks)
+
+    @F.pandas_udf("boolean")
+    def among(place: pd.Series) -> pd.Series:
+        p = place.to_numpy()
+        return pd.Series((told.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0)
+
+    return docs.filter(among(F.pmod(F.xxhash64(doc_id), F.lit(size))))
 
 
 class Classifier:
@@ -217,43 +381,80 @@ class Classifier:
         self.model, self.common, self.by_lang = model, common, by_lang
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 5, per_class: int = PER_CLASS, least: int = 20) -> Classifier:
-    """Learn from rows whose crc32(id as text) mod ``held_out`` is not 0; those with remainder 1 set the thresholds.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 5, least: int = 20) -> Classifier:
+    """Learn from all rows whose crc32(id as text) mod ``held_out`` is not 0; those with remainder 1 set the thresholds.
 
     An id whose labels contradict each other, a null label and an id without a
     document teach nothing; of rows of one id one is read. A language takes a threshold of its own from
     ``least`` rows with label 1 on.
     """
-    i, y, z, part, own, data, read = (fresh(x) for x in ("id", "y", "z", "part", "lang", "data", "read"))
+    i, y, z, read = (fresh(x) for x in ("id", "y", "z", "read"))
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(i)).agg(F.min(label).alias(y), F.max(label).alias(z))
-    known = known.filter((F.col(y) == F.col(z)) & (crc_bucket(F.col(i), held_out) != 0))
-    picked = [known.filter(F.col(y) == x).orderBy(F.xxhash64(i), i).limit(per_class) for x in (0, 1)]
-    picked = picked[0].unionByName(picked[1]).select(i, y, crc_bucket(F.col(i), held_out).alias(part))
-    found = text_batches(docs).select(F.col(doc_id).alias(read), F.col(text).cast("binary").alias(data), F.col(lang).alias(own)).join(F.broadcast(picked), F.col(read) == F.col(i)).select(i, F.col(y).cast("int").alias(y), part, own, data)
-    found = found.select(F.col(i).alias("id"), F.col(y).alias("y"), F.col(part).alias("part"), F.col(own).alias("lang"), F.col(data).alias("t"))
+    known = known.filter((F.col(y) == F.col(z)) & F.col(y).isin(0, 1) & (crc_bucket(F.col(i), held_out) != 0)).select(i, F.col(y).cast("int").alias(y))
+    n = known.count()
+    shards = int(min(max(-(-n // SHARD), 1), SHARDS))
+    given = text_batches(docs).select(F.col(doc_id).alias(read), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("t")).filter(crc_bucket(F.col(read), held_out) != 0)
+    given = marked(known.select(i), given, read, n)
 
     def pack(batches):
         import pyarrow as pa
 
         for b in batches:
-            t = pa.array([zlib.compress(x.as_py() or b"", 1) for x in b.column(4).cast(pa.large_binary())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], t], names=b.schema.names)
-
-    # Of the rows of one id one is read, so no id brings more than a text to the driver.
-    packed = found.mapInArrow(pack, found.schema).groupBy("id", "y", "part").agg(F.min(F.struct("t", "lang")).alias("one")).select("id", "y", "part", "one.lang", "one.t")
-    rows = sorted(packed.collect(), key=lambda r: r.id)
-    texts = lambda own: [zlib.decompress(r.t) for r in own]
-    own, rest = [r for r in rows if r.part != 1], [r for r in rows if r.part == 1]
-    model = train(texts(own), np.array([r.y for r in own]))
-    scores, y = (Reader(model).scores(texts(rest)), np.array([r.y for r in rest])) if rest else (np.zeros(0), np.zeros(0))
-    common = best_threshold(scores, y) if len(y) else 0.5
-    by_lang = {}
-    for x in {r.lang for r in rest if r.lang is not None}:
-        at = np.array([r.lang == x for r in rest])
-        if y[at].sum() >= least and (1 - y[at]).sum() >= least:
-            by_lang[x] = best_threshold(scores[at], y[at], common)
-    # With the thresholds set, the model learns from all of the sample.
-    return Classifier(train(texts(rows), np.array([r.y for r in rows])), common, by_lang)
+            t = pa.array([zlib.compress(x.as_py() or b"", 1) for x in b.column(2).cast(pa.large_binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], t], names=b.schema.names)
+
+    def met(batches):
+        """The first document of each id that has a label, with it; rows of an id stand together, the label ahead."""
+        import pyarrow as pa
+
+        last, label = None, None
+        for b in batches:
+            keep, ys = [], []
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if y is not None:
+                    last, label = x, y
+                hit = y is None and label is not None and x == last
+                keep.append(hit)
+                ys.append(label if hit else None)
+                if hit:
+                    label = None
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(ys, pa.int32()), *b.columns[2:]], names=b.schema.names)
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    # Documents and labels are dealt together, so that texts are shuffled once for the join, the choice of a row of an id, and the shards.
+    found = given.mapInArrow(pack, given.schema).select(F.col(read).alias("id"), F.lit(None).cast("int").alias("y"), "t", "lang")
+    found = found.unionByName(known.select(F.col(i).alias("id"), y, F.lit(None).cast("binary").alias("t"), F.lit(None).cast(found.schema["lang"].dataType).alias("lang")).withColumnRenamed(y, "y"))
+    found = found.withColumn("apart", crc_bucket(F.col("id"), held_out) == 1).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    dealt = found.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.xxhash64("id"), "id", F.col("y").isNull(), "t", "lang")
+    rows = checkpointed(dealt.mapInArrow(met, dealt.schema))
+    seen, docs_of = counted(rows)
+    first, apart = train(rows.filter(~F.col("apart")), seen[0], docs_of[0]), rows.filter("apart")
+    told = rows.sparkSession.sparkContext.broadcast(first)
+
+    def reach(batches):
+        import pyarrow as pa
+
+        reader = Reader(told.value)
+        for b in batches:
+            got = [reader.scores([zlib.decompress(t) for t in b.column(2).slice(a, SCORED).to_pylist()]) for a in range(0, b.num_rows, SCORED)]
+            reached = np.searchsorted(TRIED, np.concatenate(got or [np.zeros(0)]), side="right")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(reached, pa.int32())], names=["lang", "y", "reached"])
+
+    told_of = apart.select("lang", "y", "t")
+    counts = checkpointed(told_of.mapInArrow(reach, T.StructType([told_of.schema["lang"], told_of.schema["y"], T.StructField("reached", T.IntegerType())])).groupBy("lang", "y", "reached").count())
+
+    def table_of(cells) -> np.ndarray:
+        out = np.zeros((2, len(TRIED) + 1), np.int64)
+        for c in cells:
+            out[c.y, c.reached] += c.n
+        return out
+
+    common = table_of(counts.groupBy("y", "reached").agg(F.sum("count").alias("n")).collect())
+    common = best_threshold(common) if common.any() else 0.5
+    cells = counts.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.collect_list(F.struct("y", "reached", F.col("count").alias("n"))).alias("cells"), F.sum(F.col("y") * F.col("count")).alias("ones"), F.sum((1 - F.col("y")) * F.col("count")).alias("zeros"))
+    by_lang = {r.lang: best_threshold(table_of(r.cells), common) for r in cells.filter((F.col("ones") >= least) & (F.col("zeros") >= least)).collect()}
+    # With the thresholds set, the model learns from those rows too.
+    return Classifier(train(rows, seen.sum(axis=0), docs_of.sum(axis=0)), common, by_lang)
 
 
 def score(docs: DataFrame, classifier: Classifier, text: str = "text", lang: str = "lang", out: tuple[str, str, str] = ("score", "threshold", "rejected"), keep: tuple[str, ...] | None = None) -> DataFrame:

@@ -61,3 +61,76 @@ def test_edge_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none)).count() == 0
     one = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, one)).count() == 5
+
+
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """A word that stands only in rows beyond the 5,000 of a label, by the hash of the id, that were read before."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    by_hash = [r.id for r in spark.range(9000).orderBy(F.xxhash64("id"), "id").collect() if part(r.id)]
+    assert len(by_hash) > 6500
+    rows = [(i, "alpha" if k < 5000 else "omega", "en", 1) for k, i in enumerate(by_hash)] + [(i, f"w{i} q{i}", "en", 0) for i in range(10_000, 12_000) if part(i)]
+    docs, labels = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string"), spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    read, own = [], toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "best_threshold", lambda reached, *rest: read.append(reached.sum(axis=1).tolist()) or own(reached, *rest))
+    scores = toxicity.Reader(toxicity.fit(docs, labels).model).scores([b"alpha", b"omega", b"w1 q1"])
+    assert scores[0] >= 0.5 and scores[1] >= 0.5 and scores[2] < 0.5
+    apart = [sum(part(i) == 1 and y == x for i, _, _, y in rows) for x in (0, 1)]
+    assert read == [apart, apart]  # the common threshold and that of the one language
+
+
+def test_thresholds_against_brute_force():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 200):
+        scores, labels = np.r_[rng.uniform(0, 1, n), 0.2, toxicity.TRIED[30], 0.8], np.r_[rng.integers(0, 2, n), 1, 0, 1]
+        reached = np.zeros((2, len(toxicity.TRIED) + 1), int)
+        np.add.at(reached, (labels, (scores[:, None] >= toxicity.TRIED).sum(axis=1)), 1)
+        errors = [((scores >= t) != (labels > 0)).sum() for t in toxicity.TRIED]
+        want = min((e, abs(t - 0.45), k) for k, (e, t) in enumerate(zip(errors, toxicity.TRIED)))[2]
+        assert toxicity.best_threshold(reached, 0.45) == toxicity.TRIED[want]
+
+
+def test_shards_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 150)
+    rows = corpus(1000)
+    docs, labels = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string"), spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    a, b = (toxicity.fit(d, x) for d, x in ((docs.coalesce(1), labels.repartition(3)), (docs.repartition(7), labels.coalesce(1))))
+    assert (a.model.table == b.model.table).all() and (a.model.rest() == b.model.rest()).all() and (a.common, a.by_lang) == (b.common, b.by_lang)
+    import zlib
+
+    apart = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    scores = toxicity.Reader(a.model).scores([t.encode() for _, t, _, _ in apart])
+    assert np.mean((scores >= 0.5) == np.array([y > 0 for *_, y in apart])) > 0.95
+
+
+def test_long_texts_are_learned_chunk_by_chunk(monkeypatch):
+    rng = np.random.default_rng(3)
+    m, sizes = toxicity.Model(2), np.array([0, 5, 90, 1, 40])
+    e = np.concatenate([rng.normal(0, 1, (30, toxicity.DIM)), np.zeros((1, toxicity.DIM))]).astype(np.float32)
+    starts = np.cumsum(sizes + 2) - sizes - 2
+    tokens = np.full((sizes + 2).sum(), -1)
+    for s, z in zip(starts, sizes):
+        tokens[s : s + z] = rng.integers(0, 30, z)
+    whole = toxicity.peaks(m, e, tokens, starts, sizes)
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    cut = toxicity.peaks(m, e, tokens, starts, sizes)
+    assert (whole[1] == cut[1]).all() and cut[0] == pytest.approx(whole[0], abs=1e-5)
+
+
+def test_marks_lose_no_labelled_row(spark):
+    from pyspark.sql import functions as F
+
+    ids, docs = spark.range(3000).select((F.col("id") * 7).alias("x")), spark.range(-50, 40_000).withColumnRenamed("id", "doc_id")
+    got = [r.doc_id for r in toxicity.marked(ids, docs, "doc_id", 3000).collect()]
+    assert set(range(0, 21_000, 7)) <= set(got) and len(got) < 3000 + 0.06 * 37_000
+
+
+def test_one_row_of_an_id_is_read(spark):
+    """Of rows of one id the first by packed text, however they are dealt."""
+    rows = corpus(300)
+    docs, labels = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string"), spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs.unionByName(docs).unionByName(docs).repartition(5), labels)
+    assert (a.model.table == b.model.table).all() and (a.common, a.by_lang) == (b.common, b.by_lang)
