@@ -79,3 +79,18 @@ def test_cuts_do_not_depend_on_the_blocks_of_the_benchmark(spark):
         assert got.schema == d.schema
         assert {r.doc_id: r.text and r.text.split() for r in got.collect()} == {1: ["x", "y"], 2: ["x", "y"], 3: None, 4: ["none", "here"]}
         assert all((r.spans, r["items"]) == (7, "k") for r in got.collect())
+
+
+def test_toxicity_stage_learns_from_all_labelled_rows(spark, tmp_path):
+    """Toxic documents with a word that only rows beyond the first 5,000 of a label hold go; they were kept while those rows taught nothing."""
+    import importlib
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    by_hash = [r.id for r in spark.range(9000).orderBy(F.xxhash64("id"), "id").collect() if zlib.crc32(str(r.id).encode()) % 5]
+    rows = [(i, "alpha" if k < 5000 else "omega", 1) for k, i in enumerate(by_hash)] + [(i, f"w{i} q{i}", 0) for i in range(10_000, 12_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.text for r in importlib.import_module("corpus_pipeline").toxicity_stage(spark, docs, str(tmp_path)).select("text").collect()}
+    assert not kept & {"alpha", "omega"} and len(kept) > 1900
