@@ -381,8 +381,8 @@ class Classifier:
         self.model, self.common, self.by_lang = model, common, by_lang
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 5, least: int = 20) -> Classifier:
-    """Learn from all rows whose crc32(id as text) mod ``held_out`` is not 0; those with remainder 1 set the thresholds.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 0, folds: int = 5, least: int = 20) -> Classifier:
+    """Learn from all rows; those whose crc32(id as text) mod ``folds`` is 1 set the thresholds, by a first fitting to the others. Where ``held_out`` is given, rows whose remainder by it is 0 teach nothing.
 
     An id whose labels contradict each other, a null label and an id without a
     document teach nothing; of rows of one id one is read. A language takes a threshold of its own from
@@ -390,10 +390,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     """
     i, y, z, read = (fresh(x) for x in ("id", "y", "z", "read"))
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(i)).agg(F.min(label).alias(y), F.max(label).alias(z))
-    known = known.filter((F.col(y) == F.col(z)) & F.col(y).isin(0, 1) & (crc_bucket(F.col(i), held_out) != 0)).select(i, F.col(y).cast("int").alias(y))
+    taught = lambda x: crc_bucket(F.col(x), held_out) != 0 if held_out else F.lit(True)
+    known = known.filter((F.col(y) == F.col(z)) & F.col(y).isin(0, 1) & taught(i)).select(i, F.col(y).cast("int").alias(y))
     n = known.count()
     shards = int(min(max(-(-n // SHARD), 1), SHARDS))
-    given = text_batches(docs).select(F.col(doc_id).alias(read), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("t")).filter(crc_bucket(F.col(read), held_out) != 0)
+    given = text_batches(docs).select(F.col(doc_id).alias(read), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("t")).filter(taught(read))
     given = marked(known.select(i), given, read, n)
 
     def pack(batches):
@@ -424,7 +425,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     # Documents and labels are dealt together, so that texts are shuffled once for the join, the choice of a row of an id, and the shards.
     found = given.mapInArrow(pack, given.schema).select(F.col(read).alias("id"), F.lit(None).cast("int").alias("y"), "t", "lang")
     found = found.unionByName(known.select(F.col(i).alias("id"), y, F.lit(None).cast("binary").alias("t"), F.lit(None).cast(found.schema["lang"].dataType).alias("lang")).withColumnRenamed(y, "y"))
-    found = found.withColumn("apart", crc_bucket(F.col("id"), held_out) == 1).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    found = found.withColumn("apart", crc_bucket(F.col("id"), folds) == 1).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     dealt = found.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.xxhash64("id"), "id", F.col("y").isNull(), "t", "lang")
     rows = checkpointed(dealt.mapInArrow(met, dealt.schema))
     seen, docs_of = counted(rows)
@@ -494,5 +495,5 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", lang: str
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), keep=("doc_id",))
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels"), held_out=5), keep=("doc_id",))
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")

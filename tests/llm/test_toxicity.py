@@ -134,3 +134,18 @@ def test_one_row_of_an_id_is_read(spark):
     docs, labels = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string"), spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
     a, b = toxicity.fit(docs, labels), toxicity.fit(docs.unionByName(docs).unionByName(docs).repartition(5), labels)
     assert (a.model.table == b.model.table).all() and (a.common, a.by_lang) == (b.common, b.by_lang)
+
+
+def test_rows_held_out_teach_nothing(spark):
+    """With ``held_out``, as the query asks, labels of rows with remainder 0 change nothing, and those rows are scored right all the same."""
+    import zlib
+
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    rows = corpus(1500)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = [spark.createDataFrame([(i, y if part(i) or not turned else 1 - y) for i, _, _, y in rows], "doc_id long, toxic int") for turned in (False, True)]
+    a, b = (toxicity.fit(docs, x, held_out=5) for x in labels)
+    assert (a.model.table == b.model.table).all() and (a.model.rest() == b.model.rest()).all() and (a.common, a.by_lang) == (b.common, b.by_lang)
+    held = [r for r in rows if part(r[0]) == 0]
+    scores = toxicity.Reader(a.model).scores([t.encode() for _, t, _, _ in held])
+    assert np.mean((scores >= 0.5) == np.array([y > 0 for *_, y in held])) > 0.97

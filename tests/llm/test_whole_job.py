@@ -94,3 +94,15 @@ def test_toxicity_stage_learns_from_all_labelled_rows(spark, tmp_path):
     spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = {r.text for r in importlib.import_module("corpus_pipeline").toxicity_stage(spark, docs, str(tmp_path)).select("text").collect()}
     assert not kept & {"alpha", "omega"} and len(kept) > 1900
+
+
+def test_toxicity_stage_holds_no_labelled_row_out(spark, tmp_path):
+    """A word that only rows with remainder 0 hold is learned too; no contract holds those rows out of the pipeline."""
+    import zlib
+
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    rows = [(i, "alpha" if part(i) else "omega", 1) for i in range(2000)] + [(i, f"w{i} q{i}", 0) for i in range(10_000, 12_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.text for r in importlib.import_module("corpus_pipeline").toxicity_stage(spark, docs, str(tmp_path)).select("text").collect()}
+    assert not kept & {"alpha", "omega"} and len(kept) > 1900
