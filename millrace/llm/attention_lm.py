@@ -21,13 +21,17 @@ LENGTH, STRIDE, DIM, HEAD, HIDDEN, MEMBERS = 48, 32, 16, 16, 24, 64
 CONTEXT = LENGTH - STRIDE
 #: Windows that go through the output layer, and through the attention, at once.
 BATCH, ATTENTION = 256, 32
-#: Logits are cut off here when scoring, where one could be above 80, so that no exponential overflows or vanishes; trained ones are far below.
+#: Logits are cut off here when scoring, where one could be above 80, and taken relative to a row's largest beyond it when learning, so that no exponential overflows or vanishes; trained ones are far below.
 TOP = np.float32(60)
 
 
-def _logsumexp(x):
-    top = x.max(axis=-1, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=-1, keepdims=True)))[..., 0]
+def _exp(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of rows of logits, in place: (the logits at flat places ``at``, sums of the rows). Where a logit is beyond ``TOP`` each row's largest is taken off first, so that no exponential overflows and no row vanishes."""
+    if max(x.max(initial=0), -x.min(initial=0)) > TOP:
+        x -= x.max(axis=-1, keepdims=True)
+    hit = x.ravel().take(at)
+    np.exp(x, out=x)
+    return hit, x @ np.ones(x.shape[-1], x.dtype)
 
 
 class Model:
@@ -140,64 +144,67 @@ class Model:
     def gradients(self, ids: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of a batch of windows and its gradients."""
         p, s = self.p, np.float32(HEAD**-0.5)
-        e = np.concatenate([p["E"], np.zeros((1, DIM), np.float32)])[ids]
-        own = e[:, LENGTH - STRIDE :]
-        q, k, v = own @ p["Wq"] * s, e @ p["Wk"], e @ p["Wv"]
-        a = q @ k.transpose(0, 2, 1) + self.bias() + np.where(ids == self.n, np.float32(-1e9), np.float32(0))[:, None, :]
-        a = np.exp(a - a.max(axis=-1, keepdims=True))
-        a /= a.sum(axis=-1, keepdims=True)
-        h0 = (a @ v + own).reshape(-1, DIM)
+        e = np.concatenate([p["E"], np.zeros((1, DIM), p["E"].dtype)]).take(ids, axis=0)
+        own = np.ascontiguousarray(e[:, LENGTH - STRIDE :])
+        flat, windowed = lambda x: x.reshape(-1, x.shape[-1]), lambda x: x.reshape(len(ids), -1, x.shape[-1])
+        q, k, v = windowed(flat(own) @ p["Wq"] * s), windowed(flat(e) @ p["Wk"]), windowed(flat(e) @ p["Wv"])
+        a = q @ k.transpose(0, 2, 1)
+        a += self.bias()
+        none = ids == self.n
+        padded = np.flatnonzero(none.any(axis=1))
+        a[padded] += np.where(none[padded], np.float32(-1e9), np.float32(0))[:, None, :]
+        a -= a.max(axis=-1, keepdims=True)
+        np.exp(a, out=a)
+        a /= (a @ np.ones(LENGTH, a.dtype))[..., None]
+        h0 = flat(a @ v + own)
         z = h0 @ p["W1"] + p["b1"]
         r = np.maximum(z, 0)
         h = h0 + r @ p["W2"]
         t = targets.ravel()
         real, t = (t >= 0).astype(np.float32), np.maximum(t, 0)
         c = h @ p["Wc"] + p["bc"]
-        at, mem, rows = self.cls[t], self.member[t], np.arange(len(t))
+        at, mem, rows = self.cls.take(t), self.member.take(t), np.arange(len(t))
         n = max(real.sum(), 1)
-        weight = (real / n)[:, None]
-        lc = c - _logsumexp(c)[:, None]
-        dc = np.exp(lc)
-        dc[rows, at] -= 1
-        dc *= weight
-        g = {"Wc": h.T @ dc, "bc": dc.sum(axis=0), "Wm": np.zeros_like(p["Wm"]), "bm": np.zeros_like(p["bm"])}
-        loss, dh = (lc[rows, at] * real).sum(), dc @ p["Wc"].T
-        # The rows of a class stand together, so each class is one product.
-        order = np.argsort(at, kind="stable")
+        weight = real / n
+        hit, total = _exp(c, rows * self.classes + at)
+        loss = ((hit - np.log(total)) * real).sum()
+        c *= (weight / total)[:, None]
+        c[rows, at] -= weight
+        g = {"Wc": h.T @ c, "bc": c.sum(axis=0), "Wm": np.zeros_like(p["Wm"]), "bm": np.zeros_like(p["bm"])}
+        dh = c @ p["Wc"].T
+        # The rows of a class are laid together once, so each class is one product of views.
+        order = np.argsort(at.astype(np.uint8 if self.classes < 256 else np.int32), kind="stable")
         ends, start = np.cumsum(np.bincount(at, minlength=self.classes)), 0
+        states, shares, aims, back = h.take(order, axis=0), weight.take(order), mem.take(order), np.empty_like(h)
+        hits, sums, one = np.empty(len(t), h.dtype), np.empty(len(t), h.dtype), np.ones(len(t), h.dtype)
         for x, end in enumerate(ends.tolist()):
             if end > start:
-                i = order[start:end]
-                state, place, target = h[i], np.arange(end - start), mem[i]
-                m = state @ p["Wm"][x] + p["bm"][x]
-                m -= _logsumexp(m)[:, None]
-                loss += (m[place, target] * real[i]).sum()
-                dm = np.exp(m)
-                dm[place, target] -= 1
-                dm *= weight[i]
-                g["Wm"][x], g["bm"][x] = state.T @ dm, dm.sum(axis=0)
-                dh[i] += dm @ p["Wm"][x].T
+                i = slice(start, end)
+                m, aim = states[i] @ p["Wm"][x], rows[: end - start] * MEMBERS + aims[i]
+                m += p["bm"][x]
+                hits[i], sums[i] = _exp(m, aim)
+                m *= (shares[i] / sums[i])[:, None]
+                m.ravel()[aim] -= shares[i]
+                np.matmul(states[i].T, m, out=g["Wm"][x])
+                g["bm"][x] = one[i] @ m
+                np.matmul(m, p["Wm"][x].T, out=back[i])
             start = end
-        loss = -float(loss / n)
+        loss = -float((loss + ((hits - np.log(sums)) * real.take(order)).sum()) / n)
+        dh[order] += back
         dz = (dh @ p["W2"].T) * (z > 0)
         g |= {"W2": r.T @ dh, "W1": h0.T @ dz, "b1": dz.sum(axis=0)}
         dh0 = (dh + dz @ p["W1"].T).reshape(len(ids), STRIDE, DIM)
         da, dv = dh0 @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh0
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
+        da *= a
+        ds = da - a * da.sum(axis=-1, keepdims=True)
         d = np.arange(LENGTH - STRIDE, LENGTH)[:, None] - np.arange(LENGTH)[None, :]
         g["rel"] = np.bincount(np.maximum(d, 0).ravel(), np.where(d >= 0, ds.sum(axis=0), 0).ravel(), minlength=LENGTH).astype(np.float32)
         dq, dk = ds @ k * s, ds.transpose(0, 2, 1) @ q
-        flat = lambda x: x.reshape(-1, x.shape[-1])
         g |= {"Wq": flat(own).T @ flat(dq), "Wk": flat(e).T @ flat(dk), "Wv": flat(e).T @ flat(dv)}
-        de = dk @ p["Wk"].T + dv @ p["Wv"].T
-        de[:, LENGTH - STRIDE :] += dq @ p["Wq"].T + dh0
-        # Rows of one id are summed where they stand together.
-        flat_ids, rows_of = ids.ravel(), flat(de)
-        order = np.argsort(flat_ids, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(flat_ids[order]) != 0])
-        ge = np.zeros((self.n + 1, DIM), rows_of.dtype)
-        ge[flat_ids[order[first]]] = np.add.reduceat(rows_of[order], first, axis=0)
-        g["E"] = ge[: self.n]
+        de = windowed(flat(dk) @ p["Wk"].T + flat(dv) @ p["Wv"].T)
+        de[:, LENGTH - STRIDE :] += windowed(flat(dq) @ p["Wq"].T) + dh0
+        flat_ids, rows_of = ids.ravel(), np.ascontiguousarray(flat(de).T)
+        g["E"] = np.stack([np.bincount(flat_ids, x, minlength=self.n + 1)[: self.n] for x in rows_of], axis=1).astype(de.dtype)
         return loss, g
 
     def train(self, ids: np.ndarray, targets: np.ndarray, steps: int, batch: int = 64, rate: float = 0.006, seed: int = 1) -> float:

@@ -72,6 +72,26 @@ def test_gradients():
             assert g[k][i] == pytest.approx((up - down) / (2 * step), abs=1e-4, rel=2e-2), k
 
 
+def test_gradients_of_far_logits():
+    """Logits beyond ``TOP``, above and below, and windows with places that stand for no id: the loss is that of a plain reader, and the gradients are its slopes."""
+    m, rng = toy_model(), np.random.default_rng(3)
+    m.p = {k: x.astype(np.float64) for k, x in m.p.items()}
+    m.p["bc"][0] += 150
+    m.p["bm"][1] -= 200
+    doc = np.r_[0, rng.integers(1, m.n, 40)]
+    ids, t, _ = A.windows(doc, np.array([41]), 0, m.n)
+    loss, g = m.gradients(ids, t)
+    assert loss == pytest.approx(-np.mean([math.log(slow(m, doc, i)[doc[i + 1] if i < 40 else 0]) for i in range(41)]), rel=1e-6)
+    for k in ("bc", "bm", "E", "Wk", "Wm"):
+        i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        old, ends = m.p[k][i], []
+        for step in (1e-4, -1e-4):
+            m.p[k][i] = old + step
+            ends.append(m.gradients(ids, t)[0])
+        m.p[k][i] = old
+        assert g[k][i] == pytest.approx((ends[0] - ends[1]) / 2e-4, abs=1e-4, rel=2e-2), k
+
+
 def test_words_are_a_distribution():
     """The pieces of a word and what follows: over all words of up to three pieces and the end, at most 1."""
     m = toy_model(9)
