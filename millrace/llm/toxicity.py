@@ -251,8 +251,8 @@ def held(batches):
         yield now, np.array(labels), docs, list(ids)
 
 
-def summed(rows: DataFrame, by_shard, parts: int = 32) -> np.ndarray | None:
-    """Sum of the arrays that ``by_shard`` makes of batches, (shard, array) each, in the order of the shards."""
+def summed(rows: DataFrame, by_shard, parts: int = 128) -> np.ndarray | None:
+    """Sum of the arrays that ``by_shard`` makes of batches, (shard, array) each, in the order of the shards, added up in double and given in single precision. It comes to the driver as Arrow batches, which its JVM hands on as they are, without a copy for each form a row takes."""
 
     def run(batches):
         import pyarrow as pa
@@ -266,11 +266,12 @@ def summed(rows: DataFrame, by_shard, parts: int = 32) -> np.ndarray | None:
 
         data = data.sort_by("shard")
         total = sum(np.frombuffer(c.as_py(), np.float32).astype(np.float64) for c in data.column("c"))
-        return pa.table({"part": data.column("part").slice(0, 1), "shard": data.column("shard").slice(0, 1), "c": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": data.column("part").slice(0, 1), "shard": data.column("shard").slice(0, 1), "c": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     schema = "part int, shard int, c binary"
-    got = rows.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()
-    return np.concatenate([np.frombuffer(r.c) for r in sorted(got, key=lambda r: r.part)]) if got else None
+    got = rows.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).select("part", "c").toArrow()
+    pieces = dict(zip(got.column("part").to_pylist(), got.column("c")))
+    return np.concatenate([np.frombuffer(pieces[k].as_buffer(), np.float32) for k in sorted(pieces)]) if pieces else None
 
 
 def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +294,7 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     for r in rows.groupBy(kind).count().collect():
         n[r.kind] = r["count"]
     got = summed(rows.select("shard", kind, "t"), seen)
-    return (np.zeros((4, ROWS)) if got is None else got.reshape(4, ROWS + 1)[:, :ROWS]).reshape(2, 2, ROWS), n.reshape(2, 2)
+    return (np.zeros((4, ROWS)) if got is None else got.astype(np.float64).reshape(4, ROWS + 1)[:, :ROWS]).reshape(2, 2, ROWS), n.reshape(2, 2)
 
 
 def train(rows: DataFrame, seen: np.ndarray, n: np.ndarray, seed: int = 1, epochs: int = EPOCHS, rounds: int = ROUNDS) -> Model:
@@ -313,8 +314,8 @@ def train(rows: DataFrame, seen: np.ndarray, n: np.ndarray, seed: int = 1, epoch
             def change():
                 """Changes of each row times the steps that made them, of the others times the documents."""
                 by = times[:ROWS, None].astype(np.float64)
-                rows_of_table = [(by * (x.table[:ROWS].astype(np.float64) - y.table[:ROWS])).ravel() for x, y in ((own, first), (own_sums, first_sums))]
-                return np.concatenate([*rows_of_table, times[:ROWS], *(docs_read * (x.rest() - y.rest()) for x, y in ((own, first), (own_sums, first_sums))), [docs_read]])
+                rows_of_table = [(by * (x.table[:ROWS].astype(np.float64) - y.table[:ROWS])).astype(np.float32).ravel() for x, y in ((own, first), (own_sums, first_sums))]
+                return np.concatenate([*rows_of_table, times[:ROWS], *(docs_read * (x.rest() - y.rest()) for x, y in ((own, first), (own_sums, first_sums))), [docs_read]], dtype=np.float32)
 
             first, first_sums = told.value
             now = None
@@ -330,6 +331,7 @@ def train(rows: DataFrame, seen: np.ndarray, n: np.ndarray, seed: int = 1, epoch
                 yield now, change()
 
         total = summed(given, changes)
+        told.destroy()  # else the driver holds the parameters of every round
         size, rest = ROWS * DIM, len(m.rest())
         times, docs_read = np.maximum(total[2 * size : 2 * size + ROWS], 1)[:, None], total[-1]
         for x, at, rest_at in ((m, 0, 2 * size + ROWS), (sums, size, 2 * size + ROWS + rest)):
@@ -443,6 +445,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
 
     told_of = apart.select("lang", "y", "t")
     counts = checkpointed(told_of.mapInArrow(reach, T.StructType([told_of.schema["lang"], told_of.schema["y"], T.StructField("reached", T.IntegerType())])).groupBy("lang", "y", "reached").count())
+    told.destroy()
 
     def table_of(cells) -> np.ndarray:
         out = np.zeros((2, len(TRIED) + 1), np.int64)

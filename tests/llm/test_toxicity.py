@@ -149,3 +149,27 @@ def test_rows_held_out_teach_nothing(spark):
     held = [r for r in rows if part(r[0]) == 0]
     scores = toxicity.Reader(a.model).scores([t.encode() for _, t, _, _ in held])
     assert np.mean((scores >= 0.5) == np.array([y > 0 for *_, y in held])) > 0.97
+
+
+def test_the_driver_holds_no_round(spark, monkeypatch):
+    """The shards' sums come in single precision, with no row object; the parameters told to the tasks of a round are given up after it."""
+    import os
+    import zlib
+
+    rows = spark.createDataFrame([(i % 3, float(i)) for i in range(30)], "shard int, x double").repartition(4, "shard")
+
+    def by_shard(batches):
+        for b in batches:
+            for shard, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield shard, np.arange(1000) * x
+
+    monkeypatch.setattr(type(rows), "collect", None)
+    got = toxicity.summed(rows, by_shard)
+    assert got.dtype == np.float32 and got == pytest.approx(np.arange(1000) * 435.0, rel=1e-6)
+    assert toxicity.summed(rows.limit(0), by_shard) is None
+    monkeypatch.undo()
+    told = os.listdir(spark.sparkContext._temp_dir)
+    given = spark.createDataFrame([(0, i % 2, zlib.compress(b"a b" if i % 2 else b"c d")) for i in range(40)], "shard int, y int, t binary")
+    model = toxicity.train(given, np.ones((2, toxicity.ROWS)), np.array([20.0, 20.0]))
+    assert toxicity.Reader(model).scores([b"a b"])[0] > 0.5 > toxicity.Reader(model).scores([b"c d"])[0]
+    assert sorted(os.listdir(spark.sparkContext._temp_dir)) == sorted(told)
