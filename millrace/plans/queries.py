@@ -386,9 +386,8 @@ def _factors(spark, d):
 @query("clusters_of_suppliers")
 def _clusters(spark, d):
     t = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("a"), (F.col("s_acctbal") / 1000).alias("b"))
-    x = multivariate.rows_of(t, ["a", "b"], "s_suppkey")
+    ids, x = multivariate.keyed_rows(t, ["a", "b"], "s_suppkey")
     tree, scan = multivariate.cut_tree(multivariate.hierarchical(x, "average"), k=min(3, len(x))), multivariate.dbscan(x, 2.0, 3)
-    ids = [r[0] for r in t.orderBy("s_suppkey").select("s_suppkey").collect()]
     return spark.createDataFrame([(i, int(a), int(b)) for i, a, b in zip(ids, tree, scan)], "s_suppkey long, tree int, dbscan int")
 
 
