@@ -139,8 +139,7 @@ for _how in ("minres", "paf", "ml"):
 
 
 def _balances(spark, d):
-    t = read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return multivariate.rows_of(t, ["s_acctbal"], "s_suppkey"), [r[0] for r in t.orderBy("s_suppkey").select("s_suppkey").collect()]
+    return multivariate.keyed_rows(read(spark, d, "supplier"), ["s_acctbal"], "s_suppkey")
 
 
 def _named_groups(spark, ids, labels) -> DataFrame:
@@ -156,25 +155,25 @@ _GAP_CLUSTERS = "SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY g) AS first
 
 @query("dbscan_line", _GAP_CLUSTERS.format(gap="150"))
 def _dbscan(spark, d):
-    x, ids = _balances(spark, d)
+    ids, x = _balances(spark, d)
     return _named_groups(spark, ids, multivariate.dbscan(x, 150.0, 1))
 
 
 @query("hclust_cut_height", _GAP_CLUSTERS.format(gap="200"))
 def _cut_height(spark, d):
-    x, ids = _balances(spark, d)
+    ids, x = _balances(spark, d)
     return _named_groups(spark, ids, multivariate.cut_tree(multivariate.hierarchical(x, "single"), height=200.0))
 
 
 @query("hclust_cut_k", "WITH g AS (SELECT s_suppkey, s_acctbal, s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) AS gap FROM supplier), k AS (SELECT *, row_number() OVER (ORDER BY gap DESC NULLS LAST) AS r FROM g), c AS (SELECT s_suppkey, sum(CASE WHEN r <= 3 THEN 1 ELSE 0 END) OVER (ORDER BY s_acctbal, s_suppkey) AS c FROM k) SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY c) AS first_member FROM c")
 def _cut_k(spark, d):
-    x, ids = _balances(spark, d)
+    ids, x = _balances(spark, d)
     return _named_groups(spark, ids, multivariate.cut_tree(multivariate.hierarchical(x, "single"), k=4))
 
 
 @query("silhouette_line", "WITH d AS (SELECT a.s_suppkey, a.s_suppkey % 2 AS own, b.s_suppkey % 2 AS other, avg(abs(a.s_acctbal - b.s_acctbal)) FILTER (a.s_suppkey <> b.s_suppkey) AS m FROM supplier a, supplier b GROUP BY 1, 2, 3), w AS (SELECT s_suppkey, max(m) FILTER (own = other) AS a, max(m) FILTER (own <> other) AS b FROM d GROUP BY 1) SELECT s_suppkey, round((b - a) / greatest(a, b), 8) AS width FROM w")
 def _silhouette(spark, d):
-    x, ids = _balances(spark, d)
+    ids, x = _balances(spark, d)
     widths, _ = multivariate.silhouette(x, [i % 2 for i in ids])
     return spark.createDataFrame([(i, round(float(w), 8)) for i, w in zip(ids, widths)], "s_suppkey long, width double")
 

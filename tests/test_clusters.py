@@ -65,3 +65,13 @@ def test_linkages_over_a_matrix_refuse_more(monkeypatch):
     monkeypatch.setattr(M, "MAX_ROWS", 5)
     with pytest.raises(ValueError, match="5 rows"):
         M.hierarchical(np.zeros((6, 1)), "complete")
+
+
+def test_cut_by_height_of_many_suppliers(spark, folder):
+    assert len(against_sql(spark, folder, "hclust_cut_height")) == 4
+
+
+def test_single_linkage_of_a_line_is_that_of_space():
+    x = np.random.default_rng(5).normal(0, 1, (40, 1))
+    line, space = M.hierarchical(x, "single"), M.hierarchical(np.hstack([x, np.zeros((40, 1))]), "single")
+    assert line.heights == space.heights and all(M.cut_tree(line, height=h) == M.cut_tree(space, height=h) for h in (0.01, 0.1, 0.3))
