@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import distributions as D
@@ -50,6 +50,18 @@ def moments(s: Sample) -> tuple[int, float, float]:
     return r[0], r[1] if r[1] is not None else math.nan, r[2] if r[2] is not None else math.nan
 
 
+def exact_mean(c: str | Column) -> Column:
+    """Mean as an aggregate that is the same however rows are split or ordered.
+
+    Each number is a whole multiple of 2**-20 and a rest of 2**-52s, both summed as integers, which is exact
+    while magnitudes sum to less than 8e9; larger sums round as usual.
+    """
+    scaled = number(c) * F.lit(2.0**20)
+    whole = F.rint(scaled)
+    rest = F.nanvl(F.rint((scaled - whole) * F.lit(2.0**32)), F.lit(0.0)).cast("long")
+    return F.try_divide((F.sum(whole) + F.sum(rest) / F.lit(2.0**32)) / F.lit(2.0**20), F.count(scaled))
+
+
 def central_moments(df: DataFrame, c: str, orders: Sequence[int]) -> list[float]:
     """Central moments, in two passes: the mean is sent to all tasks."""
     x = number(c)
@@ -408,7 +420,7 @@ def _normal_p(u: float, mean: float, var: float, alternative: str) -> float:
 def wilcoxon_single(s: Sample, mu: float = 0.0, alternative: str = "two-sided") -> Test:
     """Signed ranks of the differences without zeros; exact up to 50 without ties."""
     df, c = s
-    d = df.select((number(c) - F.lit(mu)).alias("d")).filter("d is not null and d <> 0").select("d", F.abs("d").alias("a"))
+    d = checkpointed(df.select((number(c) - F.lit(mu)).alias("d")).filter("d is not null and d <> 0").select("d", F.abs("d").alias("a")))
     ranked = rank_average(d, "a")
     v, n = ranked.agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)), F.count(F.lit(1))).first()
     ties = d.groupBy("a").count().agg(F.sum(F.col("count") * (F.col("count") * F.col("count") - 1)), F.max("count")).first()

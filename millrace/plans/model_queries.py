@@ -57,7 +57,7 @@ def _matched(t: DataFrame) -> DataFrame:
 _MATCHED = "m AS (SELECT l_suppkey AS s, l_linenumber AS c, avg(l_quantity) AS q FROM lineitem GROUP BY ALL)"
 stat_query("anova_repeated", "lineitem", lambda t: {"f": S.anova_repeated(_matched(t), "q", "l_suppkey", "l_linenumber").statistic}, f"WITH {_MATCHED}, g AS (SELECT avg(q) AS g, var_pop(q) * count(*) AS total FROM m), c AS (SELECT sum(n * (a - g) ^ 2) AS v, count(*) AS k FROM (SELECT avg(q) AS a, count(*) AS n FROM m GROUP BY c), g), s AS (SELECT sum(n * (a - g) ^ 2) AS v, count(*) AS k FROM (SELECT avg(q) AS a, count(*) AS n FROM m GROUP BY s), g) SELECT c.v / (c.k - 1) / ((total - c.v - s.v) / ((c.k - 1) * (s.k - 1))) AS f FROM g, c, s")
 stat_query("friedman", "lineitem", lambda t: {"q": S.friedman(_matched(t), "q", "l_suppkey", "l_linenumber").statistic}, f"WITH {_MATCHED}, r AS (SELECT c, rank() OVER (PARTITION BY s ORDER BY q) + (count(*) OVER (PARTITION BY s, q) - 1) / 2 AS r, count(*) OVER (PARTITION BY s, q) AS t FROM m), u AS (SELECT c, sum(r) AS r, count(*) AS n FROM r GROUP BY c), k AS (SELECT count(*) AS k, max(n) AS n FROM u) SELECT 12 * (SELECT sum((r - k.n * (k + 1) / 2) ^ 2) FROM u) / (n * k * (k + 1) - (SELECT sum(t * t - 1) FROM r) / (k - 1)) AS q FROM k")
-stat_query("wilcoxon_paired", "lineitem", lambda t: {"v": S.wilcoxon_paired(t.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("a"), F.avg(F.col("l_linenumber") * 6.4).alias("b")), "a", "b").statistic}, "WITH d AS (SELECT avg(l_quantity) - avg(l_linenumber * 6.4::DOUBLE) AS d FROM lineitem GROUP BY l_suppkey), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0) SELECT sum(r) FILTER (d > 0) AS v FROM r")
+stat_query("wilcoxon_paired", "lineitem", lambda t: {"v": S.wilcoxon_paired(t.groupBy("l_suppkey").agg(S.exact_mean("l_quantity").alias("a"), S.exact_mean(F.col("l_linenumber") * 6.4).alias("b")), "a", "b").statistic}, "WITH d AS (SELECT avg(l_quantity) - avg(l_linenumber * 6.4::DOUBLE) AS d FROM lineitem GROUP BY l_suppkey), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0) SELECT sum(r) FILTER (d > 0) AS v FROM r")
 on_value("diag", "region", lambda t: {"of": ",".join(f"{v:g}" for v in S.diag([[1, 2], [3, 4]])), "total": float(S.diag([5, 6], 3, 3).sum()), "size": int(S.diag(4).sum())}, "SELECT '1,4' AS \"of\", 16.0::DOUBLE AS total, 4 AS size")
 
 
